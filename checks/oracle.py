@@ -68,3 +68,101 @@ FROM obs o JOIN verdict v ON v.station_id=o.station_id AND v.win=(o.minute+9)//1
 CTES["targets"] = """
 SELECT *, lead(precip) OVER w AS target, coalesce(lead(valid) OVER w, 0) AS target_valid
 FROM truth WINDOW w AS (PARTITION BY station_id ORDER BY minute)"""
+
+_FFILL = "last_value({c} IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY minute ROWS BETWEEN 30 PRECEDING AND CURRENT ROW)"
+_SEEN = "minute - max(CASE WHEN {c} THEN minute END) OVER (PARTITION BY station_id ORDER BY minute)"
+
+CTES["filled"] = f"""
+SELECT station_id, minute, coalesce(p1_obs,0) AS rain_rt, CASE WHEN p1_obs IS NULL THEN 0.0 ELSE 1.0 END AS rain_avail,
+  coalesce({_FFILL.format(c='p10_obs')},0) AS p10_last,
+  coalesce(least(60, {_SEEN.format(c='p10_obs IS NOT NULL')}),60) AS p10_age,
+  {_FFILL.format(c='temp_dry')} AS temp, {_FFILL.format(c='humidity')} AS rh, {_FFILL.format(c='wind_speed')} AS ws,
+  {_FFILL.format(c='wind_dir')} AS wd, {_FFILL.format(c='cloud_cover')}/100 AS cloud,
+  coalesce(least(120, {_SEEN.format(c='temp_dry IS NOT NULL OR humidity IS NOT NULL OR wind_speed IS NOT NULL')}),120) AS met_age,
+  sum(coalesce(p1_obs,0)) OVER (PARTITION BY station_id ORDER BY minute ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS sum10
+FROM obs"""
+
+CTES["chan"] = """
+SELECT f.station_id, minute, rain_rt, rain_avail, p10_last, p10_age,
+  greatest(sum10, CASE WHEN p10_age<=9 THEN p10_last ELSE 0 END) AS rain_signal, temp, rh, ws AS wind_speed,
+  -ws*sin(radians(wd)) AS wind_u, -ws*cos(radians(wd)) AS wind_v, cloud,
+  temp - 243.12*g/(17.62-g) AS dewpoint_dep, met_age,
+  sin(2*pi()*(minute%24)/24) AS hour_sin, cos(2*pi()*(minute%24)/24) AS hour_cos,
+  sin(2*pi()*(1+minute//24)/365.25) AS doy_sin, cos(2*pi()*(1+minute//24)/365.25) AS doy_cos, s.lat, s.lon
+FROM (SELECT *, ln(greatest(least(rh,100),1)/100)+17.62*temp/(243.12+temp) AS g0,
+    CASE WHEN rh IS NULL THEN NULL ELSE ln(greatest(least(rh,100),1)/100)+17.62*temp/(243.12+temp) END AS g FROM filled) f
+LEFT JOIN stations s ON s.station_id=f.station_id"""
+
+CTES["pairs"] = """
+SELECT * FROM (SELECT a.station_id, b.station_id AS neighbour_id,
+  2*6371.0*asin(least(1,sqrt(pow(sin(radians(b.lat-a.lat)/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin(radians(b.lon-a.lon)/2),2)))) AS dist_km,
+  fmod(degrees(atan2(sin(radians(b.lon-a.lon))*cos(radians(b.lat)),
+    cos(radians(a.lat))*sin(radians(b.lat))-sin(radians(a.lat))*cos(radians(b.lat))*cos(radians(b.lon-a.lon))))+360,360) AS bearing_deg
+ FROM stations a JOIN stations b ON a.station_id<>b.station_id) WHERE dist_km<=60"""
+
+CTES["heard"] = """
+SELECT p.station_id, c.minute, p.neighbour_id, dist_km, bearing_deg, CAST(floor((bearing_deg+45)/90) AS INT)%4 AS q,
+  c.rain_signal AS s, c.wind_u AS u, c.wind_v AS v FROM pairs p JOIN chan c ON c.station_id=p.neighbour_id"""
+
+CTES["wind"] = """
+SELECT station_id, minute, u, v, coalesce(u*u+v*v>0.01,false) AS blows, fmod(degrees(atan2(u,v))+180,360) AS wind_from FROM (
+ SELECT station_id, minute, avg(u) AS u, avg(v) AS v FROM (SELECT station_id, minute, u, v FROM heard UNION ALL
+  SELECT station_id, minute, wind_u, wind_v FROM chan WHERE station_id IN (SELECT station_id FROM pairs)) GROUP BY 1,2)"""
+
+CTES["nb0"] = "SELECT c.station_id, c.minute, " + ", ".join(
+    f"coalesce(avg(s) FILTER (WHERE q={q} AND dist_km{'<25' if r == 0 else '>=25'}),0) AS nb_r{r}_{n}"
+    for r in (0, 1) for q, n in enumerate("NESW")) + """,
+  coalesce(max(s),0) AS nb_max, coalesce(avg(s),0) AS nb_mean, coalesce(avg(CASE WHEN s>0 THEN 1.0 WHEN s IS NOT NULL THEN 0 END),0) AS nb_wet_frac,
+  coalesce(arg_min(s, dist_km),0) AS nb_nearest,
+  coalesce(sum(k*s) FILTER (WHERE dist_km<=25)/nullif(sum(k) FILTER (WHERE dist_km<=25),0), avg(s) FILTER (WHERE dist_km<=25), 0) AS nb_upwind_r0,
+  coalesce(sum(k*s) FILTER (WHERE dist_km>=25)/nullif(sum(k) FILTER (WHERE dist_km>=25),0), avg(s) FILTER (WHERE dist_km>=25), 0) AS nb_upwind_r1,
+  coalesce(max(wu),0) AS regional_wind_u, coalesce(max(wv),0) AS regional_wind_v
+FROM chan c LEFT JOIN (SELECT h.*, w.u AS wu, w.v AS wv,
+    CASE WHEN blows THEN greatest(0, cos(radians(bearing_deg-wind_from))) ELSE 0 END AS k
+  FROM heard h JOIN wind w ON w.station_id=h.station_id AND w.minute=h.minute) x ON x.station_id=c.station_id AND x.minute=c.minute
+GROUP BY 1,2"""
+
+CTES["nb"] = """
+SELECT *, nb_max - coalesce(lag(nb_max,10) OVER (PARTITION BY station_id ORDER BY minute),0) AS nb_max_trend10 FROM nb0"""
+
+CTES["channels"] = "SELECT c.*, nb.* EXCLUDE (station_id, minute) FROM chan c JOIN nb ON nb.station_id=c.station_id AND nb.minute=c.minute"
+
+
+def _roll(fn: str, w: int) -> str:
+    return f"{fn} OVER (PARTITION BY station_id ORDER BY minute ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+
+
+CTES["hist"] = """
+SELECT station_id, minute, rain_rt, last_wet, last_dry, coalesce(least(1440, minute-last_wet),1440) AS P_mins_since_rain,
+  CASE WHEN rain_rt>0 THEN least(600, minute-coalesce(last_dry, first-1)) ELSE 0 END AS P_wet_run,
+  CASE WHEN rain_rt>0 THEN 0 ELSE least(1440, minute-coalesce(last_wet, first-1)) END AS P_dry_run,
+  CASE WHEN rain_rt>0 THEN sum(rain_rt) OVER (PARTITION BY station_id, spell ORDER BY minute) ELSE 0 END AS P_spell_accum
+FROM (SELECT station_id, minute, rain_rt, max(CASE WHEN rain_rt>0 THEN minute END) OVER w AS last_wet,
+    max(CASE WHEN rain_rt<=0 THEN minute END) OVER w AS last_dry, sum(CASE WHEN rain_rt<=0 THEN 1 ELSE 0 END) OVER w AS spell,
+    min(minute) OVER (PARTITION BY station_id) AS first
+  FROM chan WINDOW w AS (PARTITION BY station_id ORDER BY minute))"""
+
+CTES["roll"] = "SELECT station_id, minute, " + ", ".join(
+    f"{_roll('sum(rain_rt)', w)} AS P_sum{w}, {_roll('avg(CASE WHEN rain_rt>0 THEN 1.0 ELSE 0 END)', w)} AS P_wetfrac{w}"
+    for w in (5, 10, 30, 60)) + f", {_roll('max(rain_rt)', 10)} AS P_max10, {_roll('max(rain_rt)', 30)} AS P_max30 FROM chan"
+
+CTES["lags"] = "SELECT station_id, minute, " + ", ".join(f"lag(rain_rt,{k}) OVER w AS P_lag{k}" for k in range(10)) + """,
+  rain_rt - lag(rain_rt,3) OVER w AS P_slope3, lag(p10_last,10) OVER w AS P_p10_prev, """ + ", ".join(
+    f"{c} - lag({c},30) OVER w AS M_{c}_d30, {c} - lag({c},60) OVER w AS M_{c}_d60" for c in ("temp", "rh", "wind_speed", "dewpoint_dep")
+) + " FROM chan WINDOW w AS (PARTITION BY station_id ORDER BY minute)"
+
+CTES["feats"] = """
+SELECT c.station_id, c.minute, """ + ", ".join(f"P_lag{k}" for k in range(10)) + ", " + ", ".join(
+    f"P_sum{w}, P_wetfrac{w}" for w in (5, 10, 30, 60)) + """, P_max10, P_max30, P_mins_since_rain, P_wet_run, P_dry_run, P_spell_accum,
+  P_slope3, P_sum5 - lag(P_sum5,5) OVER w AS P_slope10, p10_last AS P_p10_last, p10_age AS P_p10_age, P_p10_prev, rain_signal AS P_signal,
+  """ + ", ".join(f"{c} AS M_{c}" for c in ("temp", "rh", "wind_speed", "wind_u", "wind_v", "cloud", "dewpoint_dep", "met_age")) + ", " + ", ".join(
+    f"M_{c}_d30, M_{c}_d60" for c in ("temp", "rh", "wind_speed", "dewpoint_dep")) + ", " + ", ".join(
+    f"{c} AS T_{c}" for c in ("hour_sin", "hour_cos", "doy_sin", "doy_cos", "lat", "lon")) + ", " + ", ".join(
+    f"{c} AS N_{c}" for c in [f"nb_r{r}_{q}" for r in (0, 1) for q in "NESW"] + ["nb_max", "nb_mean", "nb_wet_frac", "nb_nearest",
+    "nb_max_trend10", "nb_upwind_r0", "nb_upwind_r1", "regional_wind_u", "regional_wind_v"]) + """,
+  max(nb_max) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS N_nb_max_roll30,
+  avg(nb_wet_frac) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS N_nb_wet_frac_roll30,
+  nb_upwind_r1 - lag(nb_upwind_r1,10) OVER w AS N_upwind_r1_d10
+FROM channels c JOIN hist h ON h.station_id=c.station_id AND h.minute=c.minute
+  JOIN roll r ON r.station_id=c.station_id AND r.minute=c.minute JOIN lags l ON l.station_id=c.station_id AND l.minute=c.minute
+WINDOW w AS (PARTITION BY c.station_id ORDER BY c.minute)"""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.clock import Clock
-from gaugeflow.operators import quality, truth
+from gaugeflow.operators import channels, neighbours, quality, stations, truth
 from gaugeflow.operators.halo import Slices
 
 CLOCK = Clock(tick_s=3600, origin_s=1_704_067_200)  # tick 0 = 2024-01-01 00:00 UTC
@@ -69,3 +69,20 @@ class Proxy:
     @cached_property
     def targets(self) -> DataFrame:
         return truth.next_minute_target(self.truth, SLICES)
+
+    @cached_property
+    def own_channels(self) -> DataFrame:
+        return channels.station_channels(self.obs, self.stations, CLOCK, slices=SLICES)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return stations.station_pair_table(self.stations)
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        return neighbours.neighbour_profile(self.pairs, self.stations)
+
+    @cached_property
+    def channels(self) -> DataFrame:
+        wide = neighbours.neighbour_aggregates(self.own_channels, self.profile, payload=list(channels.OWN))
+        return neighbours.neighbour_trend(wide, SLICES)
