@@ -9,6 +9,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 from gaugeflow.session import get_session
 
@@ -27,7 +28,7 @@ def rows_of(frame):
     frame = frame[sorted(frame.columns)]
     out = []
     for row in frame.itertuples(index=False, name=None):
-        out.append(tuple(None if v is None or v != v else round(v, 5) + 0.0 if isinstance(v, float) else v
+        out.append(tuple(None if v is None or v is pd.NA or v != v else round(v, 5) + 0.0 if isinstance(v, float) else v
                          if isinstance(v, (str, bool)) else (int(v) if hasattr(v, "__int__") else str(v)) for v in row))
     return sorted(out, key=lambda r: tuple((v is not None, str(v)) for v in r))
 
@@ -65,7 +66,7 @@ def main():
     entry = importlib.import_module("__spark_entry__")
     sf_dir = f"/root/testdata/sf{sys.argv[1]}"
     parts = sys.argv[2:]
-    spark = get_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = get_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     oracles, bad = entry.oracle_sql(), []

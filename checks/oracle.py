@@ -166,3 +166,104 @@ SELECT c.station_id, c.minute, """ + ", ".join(f"P_lag{k}" for k in range(10)) +
 FROM channels c JOIN hist h ON h.station_id=c.station_id AND h.minute=c.minute
   JOIN roll r ON r.station_id=c.station_id AND r.minute=c.minute JOIN lags l ON l.station_id=c.station_id AND l.minute=c.minute
 WINDOW w AS (PARTITION BY c.station_id ORDER BY c.minute)"""
+
+CTES["yearly"] = """
+SELECT station_id, minute//360 AS year, count(*) AS minutes, avg(valid) AS valid_frac, count(p1_obs)/count(*)::DOUBLE AS p1_frac,
+  count(*) FILTER (p10_obs>0) AS rain_windows, avg(valid) FILTER (p10_obs>0) AS rain_coverage,
+  CASE WHEN sum(p10_obs)>0 THEN coalesce(sum(precip),0)/sum(p10_obs) END AS mass_ratio, count(*) FILTER (precip>0) AS wet_minutes,
+  coalesce(sum(precip),0) AS precip_mm, count(temp_dry)/count(*)::DOUBLE*10 AS met_frac FROM truth GROUP BY 1,2"""
+
+CTES["gated"] = """
+SELECT *, valid_frac>=0.3 AND rain_windows>=5 AND coalesce(rain_coverage,0)>=0.5 AND coalesce(mass_ratio BETWEEN 0.5 AND 1.25,false) AS ok
+FROM yearly"""
+
+CTES["parts"] = """
+SELECT * FROM (SELECT station_id, year, 'test-'||year AS part, greatest(500, year*360) AS start, least(721,(year+1)*360) AS "end" FROM gated WHERE ok)
+WHERE start<"end" """
+
+CTES["part_rows"] = """
+SELECT c.station_id, c.minute, p.year, p.part, c.rain_rt, c.rain_signal, c.nb_max, t.target, t.target_valid, c.minute>=p.start AS in_period
+FROM channels c JOIN targets t ON t.station_id=c.station_id AND t.minute=c.minute
+JOIN parts p ON p.station_id=c.station_id AND c.minute>=p.start-30 AND c.minute<p."end" """
+
+CTES["idx"] = """
+SELECT c.station_id, c.minute, target AS y_true, rain_rt AS rain_now, c.minute//24 AS day, CASE WHEN c.minute<540 THEN 'val' ELSE 'test' END AS split
+FROM chan c JOIN targets t ON t.station_id=c.station_id AND t.minute=c.minute WHERE target_valid=1 AND c.minute>=360"""
+
+_MODELS = [
+    ("zero", "0", "0", "0"), ("persistence", "CASE WHEN rain_rt>0 THEN 1 ELSE 0 END", "rain_rt", "rain_rt"),
+    ("moving_average", "P_wetfrac10", "P_sum10/10", None), ("kalman_ll", "P_wetfrac30", "P_sum30/30", "P_max30"),
+    ("lgbm_hurdle", "0.6*P_wetfrac5+0.4*P_wetfrac60", "0.5*rain_rt+0.05*P_sum10", "P_max10"),
+    ("A__logistic_hurdle", "P_sum5/2", "P_sum5/5", None), ("hyb_stack", "0.5*P_wetfrac10+0.5*P_wetfrac60", "P_sum60/60", None),
+    ("gru", "P_wetfrac60", "0.3*P_max10", "P_max30"), ("tcn", "P_wetfrac5", "0.2*P_max10", None)]
+
+CTES["preds"] = " UNION ALL ".join(
+    f"SELECT '{m}' AS model, r.station_id, r.minute, round(CAST({p} AS DOUBLE),6) AS p_rain, round(CAST({y} AS DOUBLE),6) AS y_hat, "
+    + (f"round(CAST({q} AS DOUBLE),6)" if q else "NULL::DOUBLE")
+    + " AS q90 FROM roll r JOIN chan c ON c.station_id=r.station_id AND c.minute=r.minute WHERE r.minute>=360"
+    + (" AND rain_avail=1" if m == "gru" else " AND rain_avail=0" if m == "tcn" else "") for m, p, y, q in _MODELS)
+
+CTES["kept"] = """
+SELECT model FROM preds p JOIN idx i ON i.station_id=p.station_id AND i.minute=p.minute WHERE split='test'
+GROUP BY model HAVING count(*) >= 0.85*(SELECT count(*) FROM idx WHERE split='test')"""
+
+CTES["common"] = """
+SELECT * FROM idx WHERE split='test' AND (station_id, minute) IN (SELECT (station_id, minute) FROM preds WHERE model IN (SELECT model FROM kept)
+ GROUP BY station_id, minute HAVING count(*) = (SELECT count(*) FROM kept))"""
+
+CTES["val_rows"] = """
+SELECT p.model, i.*, p_rain, y_hat, q90 FROM idx i JOIN preds p ON p.station_id=i.station_id AND p.minute=i.minute WHERE split='val'"""
+
+
+def tuned(score: str, event: str, name: str, rows: str = "val_rows", by: str = "model") -> str:
+    """Best-CSI threshold per group written out over sorted arrays of scores."""
+    return f"""
+SELECT s.{by}, CASE WHEN s.kinds<2 OR s.pos=0 THEN 0.5 ELSE c.thr END AS {name} FROM
+ (SELECT {by}, count(DISTINCT {score}) AS kinds, count(*) FILTER (WHERE {event}) AS pos FROM {rows} GROUP BY 1) s
+LEFT JOIN (SELECT {by}, arg_min(thr, (-(CASE WHEN thr>0 THEN 1 ELSE 0 END), -csi, thr)) AS thr FROM (
+  SELECT t.{by}, t.thr, coalesce(count(*) FILTER (WHERE ({event}) AND {score}>=t.thr)/nullif(count(*) FILTER (WHERE ({event}) OR {score}>=t.thr),0)::DOUBLE,0) AS csi
+  FROM (SELECT DISTINCT {by}, a[lo+1]+(a[hi+1]-a[lo+1])*(h-lo) AS thr FROM (
+    SELECT {by}, a, h, CAST(floor(h) AS BIGINT) AS lo, CAST(ceil(h) AS BIGINT) AS hi FROM (
+     SELECT {by}, a, (CASE WHEN j=199 THEN 0.9999::DOUBLE ELSE 0.5::DOUBLE+j*((0.9999::DOUBLE-0.5::DOUBLE)/199) END)*(len(a)-1) AS h FROM
+      (SELECT {by}, list({score} ORDER BY {score}) AS a FROM {rows} WHERE {score} IS NOT NULL GROUP BY 1), (SELECT unnest(range(0,200)) AS j)))) t
+  JOIN {rows} r ON r.{by}=t.{by} GROUP BY 1,2) GROUP BY 1) c ON c.{by}=s.{by}"""
+
+
+CTES["thr_a"] = tuned("p_rain", "y_true>0", "thr_rain")
+CTES["thr_b"] = tuned("y_hat", "y_true*60>=12", "thr_ge12")
+CTES["thr_c"] = tuned("y_hat", "y_true*60>=40", "thr_ge40")
+CTES["thr"] = "SELECT a.model, thr_rain, thr_ge12, thr_ge40 FROM thr_a a JOIN thr_b b ON a.model=b.model JOIN thr_c c ON a.model=c.model"
+
+CTES["scored"] = """
+SELECT p.model, i.*, coalesce(p_rain,0) AS p_rain, coalesce(y_hat,0) AS y_hat, q90, thr_rain, thr_ge12, thr_ge40
+FROM common i JOIN preds p ON p.station_id=i.station_id AND p.minute=i.minute JOIN thr t ON t.model=p.model WHERE p.model IN (SELECT model FROM kept)"""
+
+CTES["cells"] = """
+SELECT model, count(*) FILTER (y_true>0 AND p_rain>=thr_rain)::DOUBLE AS h, count(*) FILTER (y_true>0 AND p_rain<thr_rain)::DOUBLE AS m,
+  count(*) FILTER (y_true<=0 AND p_rain>=thr_rain)::DOUBLE AS f, count(*) FILTER (y_true<=0 AND p_rain<thr_rain)::DOUBLE AS c FROM scored GROUP BY 1"""
+
+CTES["errs"] = """
+SELECT model, count(*) AS rows, sqrt(avg((y_hat-y_true)**2)) AS rmse, avg(abs(y_hat-y_true)) AS mae, avg(y_hat-y_true) AS bias,
+  CASE WHEN stddev_pop(y_true)>0 AND stddev_pop(y_hat)>0 THEN corr(y_true,y_hat) END AS corr,
+  sqrt(avg((y_hat-y_true)**2) FILTER (y_true>0)) AS rmse_wet, avg(abs(y_hat-y_true)) FILTER (y_true>0) AS mae_wet FROM scored GROUP BY 1"""
+
+CTES["cats"] = """
+SELECT model, h/nullif(h+m,0) AS pod, f/nullif(h+f,0) AS far, h/nullif(h+m+f,0) AS csi, (h+f)/nullif(h+m,0) AS fbias,
+  (h-r)/nullif(h+m+f-r,0) AS ets, (h+c-x)/nullif(h+m+f+c-x,0) AS hss FROM (
+  SELECT *, (h+m)*(h+f)/(h+m+f+c) AS r, ((h+m)*(h+f)+(c+m)*(c+f))/(h+m+f+c) AS x FROM cells)"""
+
+CTES["board"] = """
+SELECT e.model, rmse, csi AS csi_rain, 1-rmse/(SELECT rmse FROM errs WHERE model='persistence') AS skill_rmse FROM errs e JOIN cats c ON c.model=e.model"""
+
+CTES["daily"] = """
+SELECT model, day, sum((y_hat-y_true)**2) AS sse, count(*) AS n, count(*) FILTER (y_true>0 AND p_rain>=thr_rain) AS hits,
+  count(*) FILTER (y_true>0 AND p_rain<thr_rain) AS misses, count(*) FILTER (y_true<=0 AND p_rain>=thr_rain) AS false_alarms FROM scored GROUP BY 1,2"""
+
+CTES["draws"] = """
+SELECT b AS draw, d[1+CAST(floor(CAST('0x'||substr(md5(b||'|'||s||'|42'),1,8) AS BIGINT)/4294967296.0*len(d)) AS INT)] AS day, count(*) AS times
+FROM (SELECT d, b, unnest(range(0,len(d))) AS s FROM (SELECT d, unnest(range(0,200)) AS b FROM (SELECT list(DISTINCT day ORDER BY day) AS d FROM daily)))
+GROUP BY 1,2"""
+
+CTES["replicates"] = """
+SELECT draw, model, sqrt(sum(times*sse)/sum(times*n)) AS rmse, sum(times*hits)/nullif(sum(times*(hits+misses+false_alarms)),0) AS csi
+FROM draws d JOIN daily s ON s.day=d.day GROUP BY 1,2"""

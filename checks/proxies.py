@@ -12,12 +12,43 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.clock import Clock
-from gaugeflow.operators import channels, neighbours, quality, stations, truth
+from gaugeflow.operators import channels, features, neighbours, quality, splits, stations, truth, verify
 from gaugeflow.operators.halo import Slices
+from gaugeflow.params import EvalParams, GateParams
+from gaugeflow.session import materialise
 
 CLOCK = Clock(tick_s=3600, origin_s=1_704_067_200)  # tick 0 = 2024-01-01 00:00 UTC
 SLICES = Slices(chunk=240)
-SPLITS = {"train": (0, 360), "val": (360, 540), "test": (540, 721)}
+GATE = GateParams(min_valid_frac=0.3, min_rain_windows=5, min_rain_coverage=0.5, mass_ratio_range=(0.5, 1.25))
+EVAL = EvalParams(intensity_mmh=(12.0, 40.0), bootstrap=200, min_coverage=0.85)
+
+# Stand-in forecasts: name, probability, amount, upper quantile.
+MODELS = (
+    ("zero", "0", "0", "0"), ("persistence", "CASE WHEN rain_rt > 0 THEN 1 ELSE 0 END", "rain_rt", "rain_rt"),
+    ("moving_average", "P_wetfrac10", "P_sum10 / 10", None), ("kalman_ll", "P_wetfrac30", "P_sum30 / 30", "P_max30"),
+    ("lgbm_hurdle", "0.6D * P_wetfrac5 + 0.4D * P_wetfrac60", "0.5D * rain_rt + 0.05D * P_sum10", "P_max10"),
+    ("A__logistic_hurdle", "P_sum5 / 2", "P_sum5 / 5", None),
+    ("hyb_stack", "0.5D * P_wetfrac10 + 0.5D * P_wetfrac60", "P_sum60 / 60", None),
+    ("gru", "P_wetfrac60", "0.3D * P_max10", "P_max30"), ("tcn", "P_wetfrac5", "0.2D * P_max10", None))
+
+
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(build):
+    """A view that feeds many checks: written once per session to the shared folder and read back.
+
+    The same thing the batch plan does with its truth, channel and forecast tables.
+    """
+    name = build.__name__.removeprefix("build_")
+
+    def read(self) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _STORED:
+            _STORED[key] = materialise(build(self), name)
+        return _STORED[key]
+
+    return property(read)
 
 
 class Proxy:
@@ -51,8 +82,7 @@ class Proxy:
     def ded(self) -> DataFrame:
         return quality.dedup_first_nonnull(quality.range_clean(self.raw))
 
-    @cached_property
-    def obs(self) -> DataFrame:
+    def build_obs(self) -> DataFrame:
         grid = truth.place_on_grid(self.ded, SLICES.chunk).drop("p10_obs")
         block = Window.partitionBy("station_id", "block")
         return (grid.withColumn("block", F.ceil(F.col("minute") / 10))
@@ -62,27 +92,85 @@ class Proxy:
                     F.col("sum_") + F.when(F.col("n_") % 7 == 0, 1.0).otherwise(0.0), 1)))
                 .select("station_id", "minute", "p1_obs", "p10_obs", *quality.MET))
 
+    obs = stored(build_obs)
+
     @cached_property
     def truth(self) -> DataFrame:
         return truth.validate_truth(self.obs, slices=SLICES)
 
-    @cached_property
-    def targets(self) -> DataFrame:
+    def build_targets(self) -> DataFrame:
         return truth.next_minute_target(self.truth, SLICES)
 
-    @cached_property
-    def own_channels(self) -> DataFrame:
+    targets = stored(build_targets)
+
+    def build_own_channels(self) -> DataFrame:
         return channels.station_channels(self.obs, self.stations, CLOCK, slices=SLICES)
 
+    own_channels = stored(build_own_channels)
+
     @cached_property
     def pairs(self) -> DataFrame:
         return stations.station_pair_table(self.stations)
 
-    @cached_property
-    def profile(self) -> DataFrame:
+    def build_profile(self) -> DataFrame:
         return neighbours.neighbour_profile(self.pairs, self.stations)
 
-    @cached_property
-    def channels(self) -> DataFrame:
+    profile = stored(build_profile)
+
+    def build_channels(self) -> DataFrame:
         wide = neighbours.neighbour_aggregates(self.own_channels, self.profile, payload=list(channels.OWN))
         return neighbours.neighbour_trend(wide, SLICES)
+
+    channels = stored(build_channels)
+
+    @cached_property
+    def gated(self) -> DataFrame:
+        yearly = quality.quality_by_year(self.truth, CLOCK, F.floor(F.col("minute") / 360).cast("long"))
+        return quality.quality_gate(yearly, GATE)
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        return splits.split_parts(self.gated, "test", 500, 721, lambda y: (y * 360, (y + 1) * 360))
+
+    @cached_property
+    def part_rows(self) -> DataFrame:
+        rows = (self.channels.select("station_id", "minute", "rain_rt", "rain_signal", "nb_max")
+                .join(self.targets.select("station_id", "minute", "target", "target_valid"), ["station_id", "minute"]))
+        return splits.part_history_join(rows, self.parts, 30, None, SLICES.chunk)
+
+    def build_rolled(self) -> DataFrame:
+        df = features.rolling_stats(SLICES.widen(self.own_channels.select("station_id", "minute", "rain_rt", "rain_avail"), 60), SLICES)
+        return SLICES.own(df)
+
+    rolled = stored(build_rolled)
+
+    def build_index(self) -> DataFrame:
+        split = F.when(F.col("minute") < 540, "val").otherwise("test")
+        return (self.targets.where("target_valid = 1 AND minute >= 360")
+                .select("station_id", "minute", F.col("target").alias("y_true"), F.coalesce("p1_obs", F.lit(0.0)).alias("rain_now"),
+                        F.floor(F.col("minute") / 24).cast("long").alias("day"), split.alias("split")))
+
+    index = stored(build_index)
+
+    def build_preds(self) -> DataFrame:
+        items = []
+        for model, p, y, q in MODELS:
+            ok = "rain_avail = 1" if model == "gru" else "rain_avail = 0" if model == "tcn" else "true"
+            r = lambda e: f"round(CAST({e} AS DOUBLE), 6)"
+            items.append(f"CASE WHEN {ok} THEN named_struct('model', '{model}', 'p_rain', {r(p)}, 'y_hat', {r(y)}, "
+                         f"'q90', {r(q) if q else 'CAST(NULL AS DOUBLE)'}) END")
+        rows = self.rolled.where("minute >= 360").select("station_id", "minute", F.explode(F.expr(f"array({', '.join(items)})")).alias("f"))
+        return rows.where("f is not null").select("f.model", "station_id", "minute", "f.p_rain", "f.y_hat", "f.q90")
+
+    preds = stored(build_preds)
+
+    @cached_property
+    def thresholds(self) -> DataFrame:
+        val = verify.index_prediction_join(self.index.where("split = 'val'"), self.preds)
+        return verify.tuned_thresholds(val, EVAL)
+
+    def build_scored(self) -> DataFrame:
+        rows = verify.kept_predictions(self.index.where("split = 'test'"), self.preds, EVAL.min_coverage)
+        return rows.join(self.thresholds, "model")
+
+    scored = stored(build_scored)

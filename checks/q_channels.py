@@ -46,7 +46,7 @@ def wind_components(p):
 
 @query("dewpoint_depression", "SELECT station_id, minute, dewpoint_dep FROM chan", dbl="dewpoint_dep")
 def dewpoint_depression(p):
-    return p.own_channels.select("station_id", "minute", "dewpoint_dep")
+    return p.build_own_channels().select("station_id", "minute", "dewpoint_dep")
 
 
 @query("calendar_encoding", "SELECT minute, sin(2*pi()*(minute%24)/24) AS hour_sin, cos(2*pi()*(minute%24)/24) AS hour_cos, "
@@ -64,17 +64,17 @@ def ffill_limited(p):
 
 @query("age_since_observation", "SELECT station_id, minute, p10_age, met_age FROM filled")
 def age_since_observation(p):
-    return p.own_channels.select("station_id", "minute", "p10_age", "met_age")
+    return p.build_own_channels().select("station_id", "minute", "p10_age", "met_age")
 
 
 @query("rain_signal", "SELECT station_id, minute, rain_signal FROM chan", dbl="rain_signal")
 def rain_signal(p):
-    return p.own_channels.select("station_id", "minute", "rain_signal")
+    return p.build_own_channels().select("station_id", "minute", "rain_signal")
 
 
 @query("station_channels", "SELECT * FROM chan", dbl=OWN_DBL)
 def station_channels(p):
-    return p.own_channels
+    return p.build_own_channels()
 
 
 @query("neighbour_signal_join", "SELECT station_id, minute, neighbour_id, dist_km, s AS rain_signal FROM heard", dbl="dist_km rain_signal")
@@ -102,7 +102,7 @@ def regional_wind_mean(p):
 
 @query("all_channels", "SELECT * FROM channels", dbl=OWN_DBL + " " + NB_DBL)
 def all_channels(p):
-    return p.channels
+    return p.build_channels()
 
 
 LAG_NAMES = [f"P_lag{k}" for k in range(10)] + ["P_slope3", "P_p10_prev"] + [

@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions import names
 from gaugeflow.operators import quality, stations, truth
-from gaugeflow.params import GateParams, StationParams
+from gaugeflow.params import StationParams
 
 from .proxies import CLOCK, SLICES
 from .registry import query
 
 MET_SQL = "temp_dry humidity wind_speed wind_dir cloud_cover"
-GATE = GateParams(min_valid_frac=0.3, min_rain_windows=5, min_rain_coverage=0.5, mass_ratio_range=(0.5, 1.25))
 
 FLAGSHIP_SQL = """
 SELECT station_id, count(*) AS n, count(*) FILTER (y>0 AND r>0) AS hits, count(*) FILTER (y>0 AND r<=0) AS misses,
@@ -25,7 +24,7 @@ FROM (SELECT station_id, target AS y, coalesce(p1_obs,0) AS r FROM targets WHERE
 def persistence_csi_by_station(p):
     y, r = F.col("target") > 0, F.coalesce("p1_obs", F.lit(0.0)) > 0
     n = lambda c: F.count(F.when(c, 1))
-    return (p.targets.where("target_valid = 1").groupBy("station_id").agg(
+    return (p.build_targets().where("target_valid = 1").groupBy("station_id").agg(
         F.count(F.lit(1)).alias("n"), n(y & r).alias("hits"), n(y & ~r).alias("misses"), n(~y & r).alias("false_alarms"),
         F.try_divide(n(y & r), n(y | r)).alias("csi")))
 
@@ -91,7 +90,7 @@ def tip_harmonise(p):
 
 @query("next_minute_target", "SELECT station_id, minute, target, target_valid FROM targets", dbl="target", long="target_valid")
 def next_minute_target(p):
-    return p.targets.select("station_id", "minute", "target", "target_valid")
+    return p.build_targets().select("station_id", "minute", "target", "target_valid")
 
 
 @query("scan_truth_slice", "SELECT minute, precip, valid FROM truth WHERE station_id='00000' AND minute>=100 AND minute<400",
@@ -100,40 +99,32 @@ def scan_truth_slice(p):
     return truth.scan_truth_slice(p.truth, "00000", 100, 400, ["precip", "valid"])
 
 
-QUALITY_SQL = """
-SELECT station_id, minute//360 AS year, count(*) AS minutes, avg(valid) AS valid_frac, count(p1_obs)/count(*)::DOUBLE AS p1_frac,
-  count(*) FILTER (p10_obs>0) AS rain_windows, avg(valid) FILTER (p10_obs>0) AS rain_coverage,
-  CASE WHEN sum(p10_obs)>0 THEN coalesce(sum(precip),0)/sum(p10_obs) END AS mass_ratio, count(*) FILTER (precip>0) AS wet_minutes,
-  coalesce(sum(precip),0) AS precip_mm, count(temp_dry)/count(*)::DOUBLE*10 AS met_frac FROM truth GROUP BY 1,2"""
 QUALITY_DBL = "valid_frac p1_frac rain_coverage mass_ratio precip_mm met_frac"
-GATE_SQL = f"""
-SELECT *, valid_frac>=0.3 AND rain_windows>=5 AND coalesce(rain_coverage,0)>=0.5 AND coalesce(mass_ratio BETWEEN 0.5 AND 1.25,false) AS ok
-FROM ({QUALITY_SQL})"""
 
 
-@query("quality_by_year", QUALITY_SQL, dbl=QUALITY_DBL)
+@query("quality_by_year", "SELECT * FROM yearly", dbl=QUALITY_DBL)
 def quality_by_year(p):
     return quality.quality_by_year(p.truth, CLOCK, F.floor(F.col("minute") / 360).cast("long"))
 
 
-@query("quality_gate", GATE_SQL, dbl=QUALITY_DBL)
+@query("quality_gate", "SELECT * FROM gated", dbl=QUALITY_DBL)
 def quality_gate(p):
-    return quality.quality_gate(quality_by_year(p), GATE)
+    return p.gated
 
 
-@query("quality_by_calendar_year", f"""
+@query("quality_by_calendar_year", """
 SELECT year, count(DISTINCT station_id) AS stations, count(*) FILTER (ok) AS ok_station_years,
   quantile_cont(rain_coverage,0.5) AS median_rain_coverage, quantile_cont(mass_ratio,0.5) AS median_mass_ratio,
-  sum(wet_minutes) AS wet_minutes FROM ({GATE_SQL}) GROUP BY 1""",
+  sum(wet_minutes) AS wet_minutes FROM gated GROUP BY 1""",
        dbl="median_rain_coverage median_mass_ratio", long="wet_minutes")
 def quality_by_calendar_year(p):
-    return quality.quality_by_calendar_year(quality_gate(p))
+    return quality.quality_by_calendar_year(p.gated)
 
 
-@query("needed_station_years", f"""
-SELECT station_id, year FROM ({GATE_SQL}) WHERE ok AND year IN (SELECT unnest(range(400//360, (720-1)//360+1)))""")
+@query("needed_station_years", """
+SELECT station_id, year FROM gated WHERE ok AND year IN (SELECT unnest(range(400//360, (720-1)//360+1)))""")
 def needed_station_years(p):
-    return quality.needed_station_years(quality_gate(p), [(400, 720)], CLOCK, lambda m: F.floor(m / 360).cast("long"))
+    return quality.needed_station_years(p.gated, [(400, 720)], CLOCK, lambda m: F.floor(m / 360).cast("long"))
 
 
 @query("normalize_station_id", """
