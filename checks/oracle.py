@@ -267,3 +267,55 @@ GROUP BY 1,2"""
 CTES["replicates"] = """
 SELECT draw, model, sqrt(sum(times*sse)/sum(times*n)) AS rmse, sum(times*hits)/nullif(sum(times*(hits+misses+false_alarms)),0) AS csi
 FROM draws d JOIN daily s ON s.day=d.day GROUP BY 1,2"""
+
+CTES["idx"] = CTES["idx"].replace("c.minute//24 AS day", "c.minute//12 AS day")
+
+CTES["px"] = """
+SELECT (vec_id//3)*4 AS scan, vec_id%3 AS site, i//8 AS row, i%8 AS col, CASE WHEN raw=255 THEN NULL WHEN raw=0 THEN 0 WHEN r<0.05 THEN 0 ELSE r END AS rain
+FROM (SELECT *, pow(pow(10,(0.5*raw-32)/10)/200,1/1.6) AS r FROM (SELECT vec_id, i,
+  CASE WHEN abs(x)<0.02 THEN 0 WHEN x>0.12 THEN 255 ELSE CAST(floor(64+abs(x)*200) AS INT) END AS raw
+  FROM (SELECT vec_id, unnest(range(0,64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)))"""
+
+CTES["comp"] = """
+SELECT scan, row, col, arg_min(rain, (dist, site)) FILTER (WHERE rain IS NOT NULL) AS rain FROM (
+ SELECT px.*, sqrt(pow(row-CASE site WHEN 0 THEN 1 WHEN 1 THEN 6 ELSE 3 END,2)+pow(col-CASE site WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 6 END,2)) AS dist FROM px)
+GROUP BY 1,2,3"""
+
+CTES["st_px"] = "SELECT station_id, 2+CAST(station_id AS BIGINT)%4 AS row, 2+(CAST(station_id AS BIGINT)*3)%4 AS col FROM stations"
+
+CTES["scanstat"] = "SELECT c.scan, s.station_id, max(rain) FILTER (c.row=s.row AND c.col=s.col) AS radar_r_pix, " + ", ".join(
+    f"avg(rain) FILTER ({d}) AS radar_r_mean{k}, max(rain) FILTER ({d}) AS radar_r_max{k}, CASE WHEN count(rain) FILTER ({d})>0 THEN count(*) FILTER ({d} AND rain>0.1)/(count(*) FILTER ({d}))::DOUBLE END AS radar_wetfrac{k}"
+    for k, d in ((k, f"abs(c.row-s.row)<={k // 2} AND abs(c.col-s.col)<={k // 2}") for k in (3, 5, 7))
+) + """, count(*) FILTER (rain IS NULL)/count(*)::DOUBLE AS radar_nodata7
+FROM comp c JOIN st_px s ON abs(c.row-s.row)<=3 AND abs(c.col-s.col)<=3 GROUP BY 1,2"""
+
+CTES["tiles"] = """
+SELECT scan, t.r0+2.0::DOUBLE AS tile_r, t.c0+2.0::DOUBLE AS tile_c, round(avg(coalesce(rain,0))*0.05-0.2,6) AS vy, round(0.3-avg(coalesce(rain,0))*0.04,6) AS vx
+FROM comp c JOIN (SELECT r0, c0 FROM (SELECT unnest([0,2,4]) AS r0), (SELECT unnest([0,2,4]) AS c0)) t
+  ON c.row>=t.r0 AND c.row<t.r0+4 AND c.col>=t.c0 AND c.col<t.c0+4 GROUP BY scan, t.r0, t.c0 HAVING avg(coalesce(rain,0))>1.5"""
+
+CTES["whole"] = "SELECT scan, 0.1::DOUBLE AS vy, -0.1::DOUBLE*((scan//4)%3) AS vx FROM comp GROUP BY 1"
+
+CTES["moving"] = """
+SELECT x.*, CASE WHEN t.sw IS NULL THEN w.vy ELSE (t.sy+0.05*w.vy)/(t.sw+0.05) END AS vy, CASE WHEN t.sw IS NULL THEN w.vx ELSE (t.sx+0.05*w.vx)/(t.sw+0.05) END AS vx
+FROM (SELECT scan, station_id, row, col FROM (SELECT DISTINCT scan FROM comp), st_px) x
+LEFT JOIN whole w ON w.scan=x.scan
+LEFT JOIN (SELECT t.scan, s.station_id, sum(k) AS sw, sum(k*vy) AS sy, sum(k*vx) AS sx FROM (
+  SELECT t.*, s.station_id, exp(-(pow(tile_r-row,2)+pow(tile_c-col,2))/22500) AS k FROM tiles t, st_px s) t JOIN st_px s ON s.station_id=t.station_id GROUP BY 1,2) t
+ ON t.scan=x.scan AND t.station_id=x.station_id"""
+
+CTES["adv"] = """
+SELECT m.scan, m.station_id, l.lead, CASE WHEN rr BETWEEN 1 AND 6 AND cc BETWEEN 1 AND 6 THEN
+  (SELECT avg(rain) FROM comp c WHERE c.scan=m.scan AND abs(c.row-rr)<=1 AND abs(c.col-cc)<=1) END AS rain
+FROM (SELECT m.*, lead, CAST(round_even(row-vy*lead,0) AS BIGINT) AS rr, CAST(round_even(col-vx*lead,0) AS BIGINT) AS cc FROM moving m, (SELECT unnest(range(1,6)) AS lead)) m
+JOIN (SELECT unnest(range(1,6)) AS lead) l ON l.lead=m.lead"""
+
+CTES["scanfeat"] = """
+SELECT s.*, s.radar_r_mean5-coalesce(lag(s.radar_r_mean5) OVER w, NULL) AS d5, -m.vy AS radar_motion_v, m.vx AS radar_motion_u, a.adv
+FROM scanstat s JOIN moving m ON m.scan=s.scan AND m.station_id=s.station_id
+JOIN (SELECT scan, station_id, list(rain ORDER BY lead) AS adv FROM adv GROUP BY 1,2) a ON a.scan=s.scan AND a.station_id=s.station_id
+WINDOW w AS (PARTITION BY s.station_id ORDER BY s.scan)"""
+
+CTES["near_scan"] = """
+SELECT station_id, minute, CASE WHEN minute-(scan+1)<=2 THEN scan END AS scan FROM (
+ SELECT g.station_id, g.minute, x.scan FROM grid g ASOF LEFT JOIN (SELECT station_id, scan, scan+1 AS avail FROM scanstat) x ON x.station_id=g.station_id AND x.avail<=g.minute)"""

@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.clock import Clock
-from gaugeflow.operators import channels, features, neighbours, quality, splits, stations, truth, verify
+from gaugeflow.operators import channels, features, neighbours, quality, radar, splits, stations, truth, verify
 from gaugeflow.operators.halo import Slices
-from gaugeflow.params import EvalParams, GateParams
+from gaugeflow.params import EvalParams, GateParams, RadarParams
 from gaugeflow.session import materialise
 
 CLOCK = Clock(tick_s=3600, origin_s=1_704_067_200)  # tick 0 = 2024-01-01 00:00 UTC
 SLICES = Slices(chunk=240)
 GATE = GateParams(min_valid_frac=0.3, min_rain_windows=5, min_rain_coverage=0.5, mass_ratio_range=(0.5, 1.25))
 EVAL = EvalParams(intensity_mmh=(12.0, 40.0), bootstrap=200, min_coverage=0.85)
+RADAR = RadarParams(latency=1, tolerance=2, max_lead=5, windows=(3, 5, 7), size=8, tile=4, tile_step=2)
 
 # Stand-in forecasts: name, probability, amount, upper quantile.
 MODELS = (
@@ -148,7 +149,7 @@ class Proxy:
         split = F.when(F.col("minute") < 540, "val").otherwise("test")
         return (self.targets.where("target_valid = 1 AND minute >= 360")
                 .select("station_id", "minute", F.col("target").alias("y_true"), F.coalesce("p1_obs", F.lit(0.0)).alias("rain_now"),
-                        F.floor(F.col("minute") / 24).cast("long").alias("day"), split.alias("split")))
+                        F.floor(F.col("minute") / 12).cast("long").alias("day"), split.alias("split")))
 
     index = stored(build_index)
 
@@ -174,3 +175,53 @@ class Proxy:
         return rows.join(self.thresholds, "model")
 
     scored = stored(build_scored)
+
+    @cached_property
+    def images(self) -> DataFrame:
+        raw = F.transform("embedding", lambda e: F.when(F.abs(e.cast("double")) < 0.02, 0).when(e.cast("double") > 0.12, 255)
+                          .otherwise(F.floor(64 + F.abs(e.cast("double")) * 200).cast("int")))
+        return self.table("embeddings").select((F.floor(F.col("vec_id") / 3) * 4).cast("long").alias("scan"), (F.col("vec_id") % 3).alias("site"),
+                                               F.lit(0).alias("geom_id"), raw.alias("raw"))
+
+    @cached_property
+    def geometries(self) -> DataFrame:
+        """One map grid per radar site that occurs in the images, around a station of the network."""
+        site = self.images.select("site", "geom_id").distinct()
+        return site.selectExpr("site", "geom_id", "160 AS nx", "160 AS ny", "0.5D AS xscale", "0.5D AS yscale", "9.9D + site * 0.3D AS ll_lon",
+                               "55.7D AS ll_lat", "10.5D + site * 0.3D AS lon0", "56.1D AS lat0")
+
+    def build_comp(self) -> DataFrame:
+        shape = self.images.select("site", "geom_id").distinct().withColumns({"nx": F.lit(8), "ny": F.lit(8)})
+        cell = shape.withColumn("pixel", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        r, c = F.floor(F.col("pixel") / 8), F.col("pixel") % 8
+        at = lambda a, b, d: F.when(F.col("site") == 0, a).when(F.col("site") == 1, b).otherwise(d)
+        grid = cell.select("site", "geom_id", "pixel", r.alias("row"), c.cast("long").alias("col"),
+                           F.sqrt(F.pow(r - at(1, 6, 3), F.lit(2)) + F.pow(c - at(1, 2, 6), F.lit(2))).alias("dist_km"))
+        return radar.nearest_site_composite(radar.image_pixels(self.images, shape), grid)
+
+    comp = stored(build_comp)
+
+    @cached_property
+    def st_px(self) -> DataFrame:
+        return self.stations.selectExpr("station_id", "2 + CAST(station_id AS BIGINT) % 4 AS row", "2 + (CAST(station_id AS BIGINT) * 3) % 4 AS col")
+
+    def build_scanstat(self) -> DataFrame:
+        return radar.pixel_window_stats(self.comp, self.st_px, RADAR)
+
+    scanstat = stored(build_scanstat)
+
+    def build_moving(self) -> DataFrame:
+        t = lambda c: F.explode(F.filter(F.array(*[F.lit(x).cast("long") for x in (0, 2, 4)]), lambda o: (F.col(c) >= o) & (F.col(c) < o + 4)))
+        mean = F.avg(F.coalesce("rain", F.lit(0.0)))
+        tiles = (self.comp.withColumn("r0", t("row")).withColumn("c0", t("col")).groupBy("scan", "r0", "c0").agg(mean.alias("m")).where("m > 1.5")
+                 .selectExpr("scan", "r0 + 2D AS tile_r", "c0 + 2D AS tile_c", "round(m * 0.05D - 0.2D, 6) AS vy", "round(0.3D - m * 0.04D, 6) AS vx"))
+        whole = self.comp.select("scan").distinct().selectExpr("scan", "0.1D AS vy", "-0.1D * ((scan div 4) % 3) AS vx")
+        at = self.scanstat.select("scan", "station_id").join(self.st_px, "station_id")
+        return radar.motion_blend(at, tiles, whole, RADAR)
+
+    moving = stored(build_moving)
+
+    def build_scanfeat(self) -> DataFrame:
+        return radar.advect_nowcast(self.comp, self.moving, RADAR).join(self.scanstat, ["scan", "station_id"])
+
+    scanfeat = stored(build_scanfeat)

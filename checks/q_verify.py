@@ -289,10 +289,10 @@ def station_latitude_lookup(p):
     return links.station_latitude_lookup(p.scored, p.stations.where("station_id <> '00001'"), ["model"])
 
 
-@query("scenario_reference_table", f"SELECT scenario, f AS f_ghz, pol, k, alpha, {_att('10.0::DOUBLE', '56.0')} AS a_db_at_10mmh, {_att('50.0::DOUBLE', '56.0')} AS a_db_at_50mmh FROM ({_scenarios_sql()})",
+@query("scenario_reference_table", f"SELECT station_id, scenario, f AS f_ghz, pol, k, alpha, {_att('10.0::DOUBLE', 'lat')} AS a_db_at_10mmh, {_att('50.0::DOUBLE', 'lat')} AS a_db_at_50mmh FROM stations, ({_scenarios_sql()})",
        dbl="f_ghz k alpha a_db_at_10mmh a_db_at_50mmh")
 def scenario_reference_table(p):
-    return links.scenario_reference_table(p.spark)
+    return links.scenario_reference_table(p.stations)
 
 
 ATT_COLS = ["rmse_db", "mae_db", "bias_db", "rmse_db_when_fading", "corr"] + [f"{k}_{m}dB{s}" for m in (3, 5, 10) for k, s in (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.link import scenario_array, scenario_attenuation
@@ -50,9 +50,9 @@ def attenuation_scores(df: DataFrame, stations: DataFrame, p: LinkParams = LinkP
     return a.groupBy("model", "scenario").agg(*aggs).select(*cols)
 
 
-def scenario_reference_table(spark: SparkSession, p: LinkParams = LinkParams()) -> DataFrame:
-    """Coefficients and attenuation at 10 and 50 mm/h of each configured link."""
-    s = F.col("s")
-    at = lambda mmh: scenario_attenuation(F.lit(mmh / 60.0), s, F.lit(p.default_lat), p.rain_height_km)
-    return (spark.range(1).select(F.explode(scenario_array(p.scenarios)).alias("s"))
-            .select("s.scenario", "s.f_ghz", "s.pol", "s.k", "s.alpha", at(10.0).alias("a_db_at_10mmh"), at(50.0).alias("a_db_at_50mmh")))
+def scenario_reference_table(places: DataFrame, p: LinkParams = LinkParams()) -> DataFrame:
+    """Coefficients and attenuation at 10 and 50 mm/h of each configured link at each place."""
+    s, lat = F.col("s"), F.coalesce("lat", F.lit(p.default_lat))
+    at = lambda mmh: scenario_attenuation(F.lit(mmh / 60.0), s, lat, p.rain_height_km)
+    return (places.withColumn("s", F.explode(scenario_array(p.scenarios)))
+            .select("station_id", "s.scenario", "s.f_ghz", "s.pol", "s.k", "s.alpha", at(10.0).alias("a_db_at_10mmh"), at(50.0).alias("a_db_at_50mmh")))
