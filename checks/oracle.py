@@ -319,3 +319,26 @@ WINDOW w AS (PARTITION BY s.station_id ORDER BY s.scan)"""
 CTES["near_scan"] = """
 SELECT station_id, minute, CASE WHEN minute-(scan+1)<=2 THEN scan END AS scan FROM (
  SELECT g.station_id, g.minute, x.scan FROM grid g ASOF LEFT JOIN (SELECT station_id, scan, scan+1 AS avail FROM scanstat) x ON x.station_id=g.station_id AND x.avail<=g.minute)"""
+
+CTES["tab"] = """
+SELECT r.station_id, r.minute, c.rain_rt AS P_lag0, coalesce(lag(c.rain_rt) OVER (PARTITION BY r.station_id ORDER BY r.minute),0) AS P_lag1, P_sum10, P_wetfrac10,
+  1 AS month, r.minute%24 AS hour, t.target AS y, 1.0+r.minute%2 AS w, t.target_valid
+FROM roll r JOIN chan c ON c.station_id=r.station_id AND c.minute=r.minute JOIN targets t ON t.station_id=r.station_id AND t.minute=r.minute"""
+
+CTES["tab_train"] = "SELECT * FROM tab WHERE target_valid=1 AND minute<360"
+
+CTES["clim"] = """
+SELECT month, hour, sum(y*w)/sum(w) AS mean_amount, sum((y>0)::INT*w)/sum(w) AS wet_share, false AS overall FROM tab_train WHERE hour<>7 GROUP BY 1,2
+UNION ALL SELECT NULL, NULL, sum(y*w)/sum(w), sum((y>0)::INT*w)/sum(w), true FROM tab_train WHERE hour<>7"""
+
+CTES["fit_rows"] = """
+SELECT p.model, i.station_id, i.minute, y_true, rain_now, p_rain, y_hat FROM idx i JOIN preds p ON p.station_id=i.station_id AND p.minute=i.minute
+WHERE split='val' AND model IN ('persistence','kalman_ll','lgbm_hurdle')"""
+
+CTES["dry_rows"] = "SELECT * FROM fit_rows WHERE rain_now=0"
+CTES["dry_thr"] = tuned("p_rain", "y_true>0", "threshold", "dry_rows")
+
+CTES["choice"] = """
+SELECT (SELECT arg_min(model,(-csi,model)) FROM (SELECT r.model, count(*) FILTER (y_true>0 AND p_rain>=threshold)/nullif(count(*) FILTER (y_true>0 OR p_rain>=threshold),0)::DOUBLE AS csi
+  FROM dry_rows r JOIN dry_thr t ON t.model=r.model GROUP BY 1)) AS best_dry,
+ (SELECT arg_min(model,(rmse,model)) FROM (SELECT model, sqrt(avg((y_hat-y_true)**2)) AS rmse FROM fit_rows WHERE rain_now>0 GROUP BY 1)) AS best_wet"""

@@ -225,3 +225,25 @@ class Proxy:
         return radar.advect_nowcast(self.comp, self.moving, RADAR).join(self.scanstat, ["scan", "station_id"])
 
     scanfeat = stored(build_scanfeat)
+
+    def build_tab(self) -> DataFrame:
+        """Training table of the small models: a few features, target, weight."""
+        lag1 = SLICES.own(SLICES.widen(self.rolled, 1).withColumn("P_lag1", F.coalesce(F.lag("rain_rt").over(SLICES.window()), F.lit(0.0))))
+        return (lag1.join(self.targets.select("station_id", "minute", "target", "target_valid"), ["station_id", "minute"])
+                .select("station_id", "minute", F.col("rain_rt").alias("P_lag0"), "P_lag1", "P_sum10", "P_wetfrac10", F.lit(1).alias("month"),
+                        (F.col("minute") % 24).alias("hour"), F.col("target").alias("y"), (1.0 + F.col("minute") % 2).alias("w"), "target_valid"))
+
+    tab = stored(build_tab)
+
+    def build_wide_tab(self) -> DataFrame:
+        """All features with target, weight and the current rain, as the fitted models take them."""
+        f = features.build_features(self.channels, slices=SLICES)
+        t = self.targets.where("target_valid = 1").select("station_id", "minute", F.col("target").alias("y"), F.coalesce("p1_obs", F.lit(0.0)).alias("rain_now"))
+        return f.join(t, ["station_id", "minute"]).withColumn("w", F.lit(1.0))
+
+    wide_tab = stored(build_wide_tab)
+
+    @cached_property
+    def fit_rows(self) -> DataFrame:
+        rows = verify.index_prediction_join(self.index.where("split = 'val'"), self.preds)
+        return rows.where("model IN ('persistence', 'kalman_ll', 'lgbm_hurdle')")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from .oracle import CTES
 from .proxies import Proxy
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -51,6 +53,8 @@ def oracle(body: str, dbl: str = "", long: str = "", digits: int = 6) -> str:
 def query(name: str, sql: str | None = None, dbl: str = "", long: str = "", digits: int = 6):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # local Python workers look for the package where the driver found it
+            spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
             return tidy(fn(Proxy(spark, sf_dir)), digits)
 
         run.__name__ = name
