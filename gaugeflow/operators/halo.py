@@ -20,6 +20,15 @@ from ..clock import floor_div
 CHUNK = "chunk_"
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Spread few rows over all tasks because each is about to become many.
+
+    The explicit number keeps adaptive execution from merging the small partitions again: it sizes
+    them by the rows before the expansion.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 @dataclass(frozen=True)
 class Slices:
     """How series are cut: ``chunk`` ticks per slice along ``order``, within ``keys``."""

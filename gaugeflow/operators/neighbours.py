@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.meteo import wind_from_deg
 from ..params import ChannelParams
 from .channels import CELLS
-from .halo import Slices
+from .halo import Slices, spread
 from .stations import pair_profile
 
 SALTS = 64
@@ -46,7 +46,7 @@ def neighbour_signal_join(signals: DataFrame, profile: DataFrame, values: list[s
     own = [F.struct(*payload).alias("own_")] if payload else []
     sig = signals.select(F.col("station_id").alias("neighbour_id"), "minute", *values, *own)
     if fits_broadcast(profile):
-        out = sig.repartition("minute").join(profile, "neighbour_id")
+        out = spread(sig, "minute").join(profile, "neighbour_id")
     else:
         salted = profile.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         out = (sig.withColumn("salt_", F.pmod(F.col("minute"), F.lit(SALTS)).cast("int"))

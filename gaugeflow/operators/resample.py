@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.rain import hash01
+from .halo import spread
 from .verify import ratio
 
 
@@ -29,7 +30,8 @@ def day_draws(stats: DataFrame, n_boot: int = 500, seed: int = 42) -> DataFrame:
     """How often each day is drawn in each replicate; the same for all models."""
     days = (stats.select("day").distinct().agg(F.sort_array(F.collect_list("day")).alias("days_"))
             .withColumn("n_", F.size("days_")).where("n_ > 0"))
-    slots = (days.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition("draw")
+    draws = days.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    slots = (spread(draws, "draw")
              .withColumn("slot_", F.explode(F.sequence(F.lit(0), F.col("n_") - 1))))
     pick = F.floor(hash01(F.col("draw"), F.col("slot_"), F.lit(seed)) * F.col("n_")).cast("int")
     return (slots.select("draw", F.element_at("days_", pick + 1).alias("day"))

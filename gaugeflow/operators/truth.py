@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..clock import floor_div
 from ..params import TruthParams
-from .halo import CHUNK, Slices, earlier_chunks, prefix_over_chunks
+from .halo import CHUNK, Slices, earlier_chunks, prefix_over_chunks, spread
 from .quality import MET
 
 TRUTH_COLUMNS = ("station_id", "minute", "p1_obs", "p10_obs", "precip", "valid", *MET)
@@ -35,8 +35,8 @@ def minute_grid(readings: DataFrame, chunk: int = 10_080, block: int = 10, share
         spans = spans.select("station_id").withColumn("k_", F.lit(1)).join(total, "k_").drop("k_")
     spans = spans.select("station_id", (floor_div(F.col("a"), block) * block).alias("a"),
                          (F.ceil(F.col("b") / block) * block).alias("b"))
-    slices = (spans.withColumn("c", F.explode(F.sequence(floor_div(F.col("a"), chunk), floor_div(F.col("b"), chunk))))
-              .repartition("station_id", "c"))
+    slices = spread(spans.withColumn("c", F.explode(F.sequence(floor_div(F.col("a"), chunk), floor_div(F.col("b"), chunk)))),
+                    "station_id", "c")
     return slices.select("station_id", F.explode(F.sequence(
         F.greatest(F.col("a"), F.col("c") * chunk), F.least(F.col("b"), F.col("c") * chunk + chunk - 1))).alias("minute"))
 
@@ -46,8 +46,8 @@ def minute_union_grid(series: DataFrame) -> DataFrame:
     ticks = series.select("minute").distinct()
     stations = series.select("station_id").distinct().withColumn("k_", F.lit(1))
     edges = ticks.agg(F.min("minute").alias("a"), F.max("minute").alias("b")).withColumn("k_", F.lit(1))
-    dense = (stations.join(edges, "k_").withColumn("c", F.explode(F.sequence(floor_div(F.col("a"), 1440), floor_div(F.col("b"), 1440))))
-             .repartition("station_id", "c")
+    days = stations.join(edges, "k_").withColumn("c", F.explode(F.sequence(floor_div(F.col("a"), 1440), floor_div(F.col("b"), 1440))))
+    dense = (spread(days, "station_id", "c")
              .select("station_id", F.explode(F.sequence(F.greatest(F.col("a"), F.col("c") * 1440),
                                                         F.least(F.col("b"), F.col("c") * 1440 + 1439))).alias("minute")))
     return dense.join(ticks, "minute", "left_semi").select("station_id", "minute")
