@@ -19,6 +19,7 @@ from gaugeflow.session import materialise
 
 CLOCK = Clock(tick_s=3600, origin_s=1_704_067_200)  # tick 0 = 2024-01-01 00:00 UTC
 SLICES = Slices(chunk=240)
+LONG_SLICES = Slices(chunk=720)  # for the day-long look-back of the features
 SPLITS = {"train": (0, 360), "val": (360, 540), "test": (540, 721)}
 GATE = GateParams(min_valid_frac=0.3, min_rain_windows=5, min_rain_coverage=0.5, mass_ratio_range=(0.5, 1.25))
 EVAL = EvalParams(intensity_mmh=(12.0, 40.0), bootstrap=200, min_coverage=0.85)
@@ -238,7 +239,7 @@ class Proxy:
 
     def build_wide_tab(self) -> DataFrame:
         """All features with target, weight and the current rain, as the fitted models take them."""
-        f = features.build_features(self.channels, slices=SLICES)
+        f = features.build_features(self.channels, slices=LONG_SLICES)
         t = self.targets.where("target_valid = 1").select("station_id", "minute", F.col("target").alias("y"), F.coalesce("p1_obs", F.lit(0.0)).alias("rain_now"))
         return f.join(t, ["station_id", "minute"]).withColumn("w", F.lit(1.0))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugeflow.functions import geo, meteo
 from gaugeflow.operators import channels, features, halo, neighbours
 
-from .proxies import CLOCK, SLICES
+from .proxies import CLOCK, LONG_SLICES, SLICES
 from .registry import query
 
 OWN_DBL = ("rain_rt rain_avail p10_last rain_signal temp rh wind_speed wind_u wind_v cloud dewpoint_dep "
@@ -15,7 +15,7 @@ OWN_DBL = ("rain_rt rain_avail p10_last rain_signal temp rh wind_speed wind_u wi
 NB_DBL = " ".join(channels.NEIGHBOUR)
 
 
-def widened(p, back=1500):
+def widened(p, back=60):
     return SLICES.widen(p.own_channels, back)
 
 
@@ -124,7 +124,7 @@ def rolling_stats(p):
 
 @query("time_since_and_runs", "SELECT station_id, minute, P_mins_since_rain, P_wet_run, P_dry_run FROM hist")
 def time_since_and_runs(p):
-    return SLICES.own(features.time_since_and_runs(widened(p), SLICES)).select("station_id", "minute", "P_mins_since_rain", "P_wet_run", "P_dry_run")
+    return LONG_SLICES.own(features.time_since_and_runs(LONG_SLICES.widen(p.own_channels, 1500), LONG_SLICES)).select("station_id", "minute", "P_mins_since_rain", "P_wet_run", "P_dry_run")
 
 
 @query("spell_accumulation", "SELECT station_id, minute, P_spell_accum FROM hist", dbl="P_spell_accum")
@@ -141,7 +141,7 @@ def neighbour_trends(p):
 
 
 def feature_frame(p):
-    return features.build_features(p.channels, slices=SLICES)
+    return features.build_features(p.channels, slices=LONG_SLICES)
 
 
 @query("build_features", "SELECT * REPLACE (" + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in (

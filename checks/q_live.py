@@ -10,7 +10,7 @@ from gaugeflow.plans.batch import Benchmark
 from gaugeflow.sources import catalog, sinks
 from gaugeflow.streaming import live
 
-from .proxies import CLOCK, GATE, SLICES, SPLITS
+from .proxies import CLOCK, GATE, SLICES, SPLITS, stored
 from .registry import query
 
 FIELDS = ("precip_past1min", "temp_dry", "humidity", "wind_speed", "wind_dir", "cloud_cover")
@@ -28,6 +28,18 @@ def state(p):
     return live.upsert(ingest(p, p.raw.where("minute < 400")), ingest(p))
 
 
+class Live:
+    """The state as the service finds it: a stored table."""
+
+    def __init__(self, p):
+        self.spark, self.dir, self.p = p.spark, p.dir, p
+
+    def build_state(self):
+        return state(self.p)
+
+    table = stored(build_state)
+
+
 @query("ingest_upsert", STATE, dbl=DBL)
 def ingest_upsert(p):
     return ingest(p)
@@ -40,13 +52,13 @@ def stateful_event_dedup(p):
 
 @query("late_data_cutoff", f"SELECT s.* FROM ({STATE}) s JOIN (SELECT station_id, max(minute)-270 AS a FROM raw GROUP BY 1) m ON m.station_id=s.station_id AND s.minute>=m.a", dbl=DBL)
 def late_data_cutoff(p):
-    return live.late_data_cutoff(state(p))
+    return live.late_data_cutoff(Live(p).table)
 
 
 @query("staleness_flag", f"SELECT station_id, (SELECT max(minute) FROM raw)-max(minute) FILTER (WHERE precip_past1min IS NOT NULL) AS input_age_min, "
        f"coalesce((SELECT max(minute) FROM raw)-max(minute) FILTER (WHERE precip_past1min IS NOT NULL)>10,true) AS warning FROM ({STATE}) GROUP BY 1")
 def staleness_flag(p):
-    s = state(p)
+    s = Live(p).table
     return live.staleness_flag(s, live.latest_tick(s))
 
 
@@ -55,7 +67,7 @@ SELECT g.station_id, n AS issue_minute, n+1 AS valid_minute, avg((coalesce(p1,0)
 FROM (SELECT station_id, n, unnest(range(n-9,n+1)) AS minute FROM (SELECT DISTINCT station_id, (SELECT max(minute) FROM raw) AS n FROM raw)) g
 LEFT JOIN (SELECT station_id, minute, precip_past1min AS p1 FROM ({STATE})) s ON s.station_id=g.station_id AND s.minute=g.minute GROUP BY 1,2""", dbl="p_rain rain_mm_next_minute")
 def rolling_history_forecast(p):
-    out = live.rolling_history_forecast(state(p), p.stations, p.profile, baselines.moving_average, clock=CLOCK, slices=SLICES)
+    out = live.rolling_history_forecast(Live(p).table, p.stations, p.profile, baselines.moving_average, clock=CLOCK, slices=SLICES)
     return out.select("station_id", "issue_minute", "valid_minute", "p_rain", "rain_mm_next_minute")
 
 

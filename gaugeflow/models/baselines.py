@@ -51,10 +51,9 @@ def climatology_lookup(df: DataFrame, table: DataFrame) -> DataFrame:
 
     The table has at most 12 x 24 + 1 rows, so broadcasting it is bounded by the calendar.
     """
-    overall = table.where("overall").select(F.col("mean_amount").alias("m_"), F.col("wet_share").alias("s_"), F.lit(1).alias("k_"))
-    out = df.withColumn("k_", F.lit(1)).join(F.broadcast(overall), "k_").drop("k_")
-    out = out.join(F.broadcast(table.where("NOT overall").drop("overall")), ["month", "hour"], "left")
-    return out.withColumns({"mean_amount": F.coalesce("mean_amount", "m_"), "wet_share": F.coalesce("wet_share", "s_")}).drop("m_", "s_")
+    overall = table.where("overall").select(F.struct("mean_amount", "wet_share")).scalar()
+    out = df.withColumn("all_", overall).join(F.broadcast(table.where("NOT overall").drop("overall")), ["month", "hour"], "left")
+    return out.withColumns({c: F.coalesce(c, f"all_.{c}") for c in ("mean_amount", "wet_share")}).drop("all_")
 
 
 def climatology(df: DataFrame, table: DataFrame) -> DataFrame:

@@ -60,9 +60,10 @@ def regime_choice(fit: DataFrame, score: str = "p_rain") -> DataFrame:
 
 def regime_switch(rows: DataFrame, choice: DataFrame) -> DataFrame:
     """Forecast of the chosen model for the row's regime. The choice is a single row."""
-    j = rows.withColumn("k_", F.lit(1)).join(choice.withColumn("k_", F.lit(1)), "k_").drop("k_")
-    wanted = F.when(F.col("rain_now") > 0, F.col("best_wet")).otherwise(F.col("best_dry"))
-    return j.where(F.col("model") == wanted).select(*KEYS, F.lit("hyb_regime").alias("model"), "p_rain", "y_hat")
+    pick = lambda m, wet: F.struct(F.col(m).alias("model"), F.lit(wet).alias("wet_"))
+    picks = choice.select(F.explode(F.array(pick("best_dry", False), pick("best_wet", True))).alias("c")).select("c.*")
+    return (rows.withColumn("wet_", F.col("rain_now") > 0).join(picks, ["model", "wet_"])
+            .select(*KEYS, F.lit("hyb_regime").alias("model"), "p_rain", "y_hat"))
 
 
 # ----------------------------------------------------------------------------- stack

@@ -56,7 +56,7 @@ def rolling_stats(df: DataFrame, s: Slices, p: FeatureParams = FeatureParams())
 def time_since_and_runs(df: DataFrame, s: Slices, p: FeatureParams = FeatureParams()) -> DataFrame:
     """Ticks since rain and lengths of the current wet and dry runs; a run may start at the first row."""
     wet = F.col("rain_rt") > 0
-    before = F.min(s.order).over(s.whole()) - 1
+    before = F.first(s.order).over(s.running()) - 1
 
     def run(here: Column, other: Column, cap: int) -> Column:
         length = F.col(s.order) - F.coalesce(last_seen(s, other), before)
@@ -94,7 +94,7 @@ def spell_accumulation(df: DataFrame, s: Slices, carry: DataFrame) -> DataFrame:
     dry = F.col("rain_rt") <= 0
     df = df.withColumn("total_", F.sum("rain_rt").over(s.running()))
     at_dry = F.last(F.when(dry, F.col("total_")), ignorenulls=True).over(s.running())
-    outside = F.max(F.when(F.col(s.order) < F.col(CHUNK) * s.chunk, F.col("total_"))).over(s.whole())
+    outside = F.max(F.when(F.col(s.order) < F.col(CHUNK) * s.chunk, F.col("total_"))).over(s.running())
     from_carry = F.col("total_") - F.coalesce(outside, F.lit(0.0)) + F.coalesce("carry_", F.lit(0.0))
     value = F.when(dry, F.lit(0.0)).otherwise(F.round(F.coalesce(F.col("total_") - at_dry, from_carry), 9))
     return df.withColumn("P_spell_accum", value).drop("total_", "carry_")

@@ -88,12 +88,12 @@ def add_rolling_sums(df: DataFrame, s: Slices, specs: Sequence[tuple[str, Column
     Spark re-adds a sliding frame for every row; the difference costs two lookups instead.
     Rounding removes the floating noise of the subtraction (gauges report 0.01 mm).
     """
-    totals: dict[str, str] = {}
+    totals, sums = {}, {}
     for i, (_, value, _) in enumerate(specs):
-        key = str(value)
-        if key not in totals:
-            totals[key] = f"total_{i}_"
-            df = df.withColumn(totals[key], F.sum(F.coalesce(value, F.lit(0))).over(s.running()))
+        if str(value) not in totals:
+            totals[str(value)] = f"total_{i}_"
+            sums[f"total_{i}_"] = F.sum(F.coalesce(value, F.lit(0))).over(s.running())
+    df = df.withColumns(sums)
     w = s.window()
     cols = {}
     for name, value, width in specs:
@@ -104,7 +104,7 @@ def add_rolling_sums(df: DataFrame, s: Slices, specs: Sequence[tuple[str, Column
 
 def rows_in_frame(s: Slices, width: int) -> Column:
     """How many rows the frame of the last ``width`` ticks holds (dense series)."""
-    first = F.min(s.order).over(s.whole())
+    first = F.first(s.order).over(s.running())
     return F.least(F.col(s.order) - first + 1, F.lit(width))
 
 

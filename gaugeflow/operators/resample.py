@@ -61,10 +61,10 @@ def block_bootstrap_ci(scores: DataFrame, reference: str = "persistence") -> Dat
 
 
 def model_pairs(models: DataFrame, focus: DataFrame) -> DataFrame:
-    """(focus model, other model) with different names."""
-    a = focus.select(F.col("model").alias("model_a")).distinct().withColumn("k_", F.lit(1))
-    b = models.select(F.col("model").alias("model_b")).distinct().withColumn("k_", F.lit(1))
-    return a.join(b, "k_").drop("k_").where("model_a <> model_b")
+    """(focus model, other model) with different names; the model names are a short list."""
+    others = models.agg(F.collect_set("model")).scalar()
+    a = focus.select(F.col("model").alias("model_a")).distinct().withColumn("others_", others)
+    return a.select("model_a", F.explode("others_").alias("model_b")).where("model_a <> model_b")
 
 
 def paired_bootstrap(scores: DataFrame, pairs: DataFrame) -> DataFrame:

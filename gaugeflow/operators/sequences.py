@@ -36,9 +36,10 @@ def channel_scaler(df: DataFrame, channels: list[str]) -> DataFrame:
 
 def scaled(df: DataFrame, channels: list[str], scaler: DataFrame) -> DataFrame:
     """Channels on the network's scale; the scaler is a single row."""
-    j = df.withColumn("k_", F.lit(1)).join(scaler.withColumn("k_", F.lit(1)), "k_")
+    s = F.col("scale_")
+    j = df.withColumn("scale_", scaler.select(F.struct(*scaler.columns)).scalar())
     cols = {c: rain_rate_transform(c, F.col(c)) if is_rain_like(c)
-            else rain_rate_transform(c, F.col(c), F.col(f"{c}__mean"), F.col(f"{c}__std")) for c in channels}
+            else rain_rate_transform(c, F.col(c), s[f"{c}__mean"], s[f"{c}__std"]) for c in channels}
     return j.withColumns(cols).select(*df.columns)
 
 

@@ -78,16 +78,15 @@ def sample_weights(df: DataFrame, p: SampleParams = SampleParams(), slices: Slic
 def day_hash_sample(df: DataFrame, frac: float, clock: Clock = Clock(), day: Column | None = None) -> DataFrame:
     """A fixed share of days; all of them when none would be chosen."""
     day = clock.day_number(F.col("minute")) if day is None else day
-    df = df.withColumn("day_in_", F.pmod(day * F.lit(2654435761), F.lit(1000)) < int(1000 * frac)).withColumn("k_", F.lit(1))
-    found = df.agg(F.coalesce(F.max("day_in_"), F.lit(False)).alias("any_")).withColumn("k_", F.lit(1))
-    return df.join(found, "k_").where(F.col("day_in_") | ~F.col("any_")).drop("day_in_", "any_", "k_")
+    df = df.withColumn("day_in_", F.pmod(day * F.lit(2654435761), F.lit(1000)) < int(1000 * frac))
+    found = df.agg(F.coalesce(F.max("day_in_"), F.lit(False))).scalar()
+    return df.where(F.col("day_in_") | ~found).drop("day_in_")
 
 
 def uniform_row_cap(df: DataFrame, cap: int, keys: tuple[str, ...] = ("station_id", "minute"), seed: int = 42) -> DataFrame:
     """A uniform subset of about ``cap`` rows when there are more; the choice ignores order and partitions."""
-    total = df.agg(F.count(F.lit(1)).alias("n_")).withColumn("k_", F.lit(1))
-    kept = hash01(*[F.col(k) for k in keys], F.lit(seed)) * F.col("n_") < cap
-    return df.withColumn("k_", F.lit(1)).join(total, "k_").where(kept).drop("k_", "n_")
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return df.where(hash01(*[F.col(k) for k in keys], F.lit(seed)) * total < cap)
 
 
 def val_fit_select_split(index: DataFrame) -> DataFrame:
@@ -96,6 +95,5 @@ def val_fit_select_split(index: DataFrame) -> DataFrame:
     Only the distinct days (bounded by the calendar) are gathered.
     """
     days = (index.select("day").distinct().agg(F.sort_array(F.collect_list("day")).alias("d_"))
-            .select(F.when(F.size("d_") >= 2, F.element_at("d_", (F.size("d_") / 2).cast("int"))).alias("cut_"), F.lit(1).alias("k_")))
-    return (index.withColumn("k_", F.lit(1)).join(days, "k_")
-            .withColumn("fits", F.coalesce(F.col("day") <= F.col("cut_"), F.lit(False))).drop("k_", "cut_"))
+            .select(F.when(F.size("d_") >= 2, F.element_at("d_", (F.size("d_") / 2).cast("int")))))
+    return index.withColumn("fits", F.coalesce(F.col("day") <= days.scalar(), F.lit(False)))

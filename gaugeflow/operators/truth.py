@@ -31,8 +31,8 @@ def minute_grid(readings: DataFrame, chunk: int = 10_080, block: int = 10, share
     first, last = F.min("minute"), F.max("minute")
     spans = readings.groupBy("station_id").agg(first.alias("a"), last.alias("b"))
     if shared:
-        total = readings.agg(F.min("minute").alias("a"), F.max("minute").alias("b")).withColumn("k_", F.lit(1))
-        spans = spans.select("station_id").withColumn("k_", F.lit(1)).join(total, "k_").drop("k_")
+        total = readings.agg(F.struct(first.alias("a"), last.alias("b"))).scalar()
+        spans = spans.withColumn("all_", total).select("station_id", "all_.*")
     spans = spans.select("station_id", (floor_div(F.col("a"), block) * block).alias("a"),
                          (F.ceil(F.col("b") / block) * block).alias("b"))
     slices = spread(spans.withColumn("c", F.explode(F.sequence(floor_div(F.col("a"), chunk), floor_div(F.col("b"), chunk)))),
@@ -44,9 +44,9 @@ def minute_grid(readings: DataFrame, chunk: int = 10_080, block: int = 10, share
 def minute_union_grid(series: DataFrame) -> DataFrame:
     """All ticks any station reports, for every station."""
     ticks = series.select("minute").distinct()
-    stations = series.select("station_id").distinct().withColumn("k_", F.lit(1))
-    edges = ticks.agg(F.min("minute").alias("a"), F.max("minute").alias("b")).withColumn("k_", F.lit(1))
-    days = stations.join(edges, "k_").withColumn("c", F.explode(F.sequence(floor_div(F.col("a"), 1440), floor_div(F.col("b"), 1440))))
+    edges = ticks.agg(F.struct(F.min("minute").alias("a"), F.max("minute").alias("b"))).scalar()
+    stations = series.select("station_id").distinct().withColumn("all_", edges).select("station_id", "all_.*")
+    days = stations.withColumn("c", F.explode(F.sequence(floor_div(F.col("a"), 1440), floor_div(F.col("b"), 1440))))
     dense = (spread(days, "station_id", "c")
              .select("station_id", F.explode(F.sequence(F.greatest(F.col("a"), F.col("c") * 1440),
                                                         F.least(F.col("b"), F.col("c") * 1440 + 1439))).alias("minute")))

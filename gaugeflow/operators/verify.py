@@ -32,10 +32,10 @@ def index_prediction_join(index: DataFrame, preds: DataFrame) -> DataFrame:
 
 def model_coverage(index: DataFrame, preds: DataFrame) -> DataFrame:
     """Share of the index each model predicts."""
-    total = index.agg(F.count(F.lit(1)).alias("n_")).withColumn("k_", F.lit(1))
+    total = index.agg(F.count(F.lit(1))).scalar()
     hit = (distinct_keys(preds).join(index.select(*KEYS), list(KEYS), "left_semi")
-           .groupBy("model").agg(F.count(F.lit(1)).alias("rows")).withColumn("k_", F.lit(1)))
-    return hit.join(total, "k_").select("model", "rows", ratio(F.col("rows"), F.col("n_")).alias("coverage"))
+           .groupBy("model").agg(F.count(F.lit(1)).alias("rows")))
+    return hit.select("model", "rows", ratio(F.col("rows"), total).alias("coverage"))
 
 
 def complete_forecasts(index: DataFrame, preds: DataFrame, min_coverage: float = 0.9) -> DataFrame:
@@ -45,11 +45,9 @@ def complete_forecasts(index: DataFrame, preds: DataFrame, min_coverage: float =
     further shuffle; the kept models themselves are a handful of rows.
     """
     kept = model_coverage(index, preds).where(F.col("coverage") >= min_coverage).select("model")
-    need = kept.agg(F.count(F.lit(1)).alias("need_"), F.collect_list("model").alias("kept_")).withColumn("k_", F.lit(1))
-    rows = (index_prediction_join(index, preds).withColumn("k_", F.lit(1)).join(need, "k_")
-            .where(F.array_contains("kept_", F.col("model"))))
+    rows = index_prediction_join(index, preds.join(kept, "model", "left_semi"))
     have = F.size(F.collect_set("model").over(Window.partitionBy(*KEYS)))
-    return rows.where("need_ > 0").withColumn("have_", have).where("have_ = need_").drop("have_", "need_", "kept_", "k_")
+    return rows.withColumn("have_", have).where(F.col("have_") == kept.agg(F.count(F.lit(1))).scalar()).drop("have_")
 
 
 def common_row_intersection(index: DataFrame, preds: DataFrame, min_coverage: float = 0.9) -> DataFrame:
@@ -298,10 +296,8 @@ def station_score_summary(by_station: DataFrame) -> DataFrame:
 
 def skill_vs_reference(scores: DataFrame, reference: str = "persistence") -> DataFrame:
     """1 - RMSE / RMSE of the reference (the first model by name when the reference is absent)."""
-    ref = scores.agg(F.coalesce(F.max(F.when(F.col("model") == reference, F.col("rmse"))), F.min_by("rmse", "model")).alias("ref_"),
-                     F.lit(1).alias("k_"))
-    return (scores.withColumn("k_", F.lit(1)).join(ref, "k_")
-            .withColumn("skill_rmse", 1 - ratio(F.col("rmse"), F.col("ref_"))).drop("k_", "ref_"))
+    ref = scores.agg(F.coalesce(F.max(F.when(F.col("model") == reference, F.col("rmse"))), F.min_by("rmse", "model")))
+    return scores.withColumn("skill_rmse", 1 - ratio(F.col("rmse"), ref.scalar()))
 
 
 def model_scores(df: DataFrame, p: EvalParams = EvalParams()) -> DataFrame:
@@ -322,11 +318,11 @@ def leaderboard(scores: DataFrame) -> DataFrame:
     """Models by CSI, then skill, flagged as best overall and best deployable (a few dozen rows)."""
     ranked = scores.withColumn("deployable", deployable(F.col("model"))).withColumn(
         "key_", F.struct(F.coalesce("csi_rain", F.lit(-1.0)), F.coalesce("skill_rmse", F.lit(float("-inf"))), "model"))
-    best = ranked.agg(F.max_by("model", "key_").alias("best_overall"),
-                      F.max_by("model", F.when(F.col("deployable"), F.col("key_"))).alias("best_deployable"), F.lit(1).alias("k_"))
-    return (ranked.withColumn("k_", F.lit(1)).join(best, "k_").orderBy(F.col("key_").desc())
-            .select("model", "csi_rain", "skill_rmse", "deployable", (F.col("model") == F.col("best_overall")).alias("best_overall"),
-                    F.coalesce(F.col("model") == F.col("best_deployable"), F.lit(False)).alias("best_deployable")))
+    best = ranked.agg(F.struct(F.max_by("model", "key_").alias("overall"),
+                               F.max_by("model", F.when(F.col("deployable"), F.col("key_"))).alias("deployable")))
+    return (ranked.withColumn("best_", best.scalar()).orderBy(F.col("key_").desc())
+            .select("model", "csi_rain", "skill_rmse", "deployable", (F.col("model") == F.col("best_.overall")).alias("best_overall"),
+                    F.coalesce(F.col("model") == F.col("best_.deployable"), F.lit(False)).alias("best_deployable")))
 
 
 def best_per_family(scores: DataFrame, reference: str = "persistence") -> DataFrame:

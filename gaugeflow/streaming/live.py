@@ -55,7 +55,7 @@ def late_data_cutoff(state: DataFrame, keep: int = HISTORY + SLACK) -> DataFrame
 
 def staleness_flag(state: DataFrame, now: DataFrame) -> DataFrame:
     """Ticks since a station's last own one-minute value at ``now`` (a single row) and the warning."""
-    last = state.withColumn("k_", F.lit(1)).join(now.withColumn("k_", F.lit(1)), "k_").where("minute <= now")
+    last = state.withColumn("now", now.scalar()).where("minute <= now")
     age = last.groupBy("station_id").agg((F.max("now") - F.max(F.when(F.col("precip_past1min").isNotNull(), F.col("minute")))).alias("input_age_min"))
     return age.withColumn("warning", F.col("input_age_min").isNull() | (F.col("input_age_min") > STALE))
 
@@ -66,8 +66,7 @@ def latest_tick(state: DataFrame) -> DataFrame:
 
 def history_slice(state: DataFrame, now: DataFrame, history: int = HISTORY) -> DataFrame:
     """Dense last ``history`` ticks of every station in the state."""
-    one = now.withColumn("k_", F.lit(1))
-    ids = state.select("station_id").distinct().withColumn("k_", F.lit(1)).join(one, "k_")
+    ids = state.select("station_id").distinct().withColumn("now", now.scalar())
     grid = ids.select("station_id", F.explode(F.sequence(F.col("now") - (history - 1), F.col("now"))).alias("minute"))
     obs = grid.join(state, ["station_id", "minute"], "left")
     return obs.select("station_id", "minute", F.col("precip_past1min").alias("p1_obs"), F.col("precip_past10min").alias("p10_obs"), *MET)
@@ -82,7 +81,7 @@ def rolling_history_forecast(state: DataFrame, stations: DataFrame, profile: Dat
     obs = history_slice(state, now, history)
     own = station_channels(obs, stations, clock, channel, slices)
     chans = neighbour_trend(neighbour_aggregates(own, profile, channel, list(OWN)), slices)
-    rows = build_features(chans, feature, slices).withColumn("k_", F.lit(1)).join(now.withColumn("k_", F.lit(1)), "k_").where("minute = now").drop("k_", "now")
+    rows = build_features(chans, feature, slices).where(F.col("minute") == now.scalar())
     rows = rows.withColumns({"month": clock.month(F.col("minute")), "hour": clock.hour(F.col("minute"))})
     out = predict(rows).select("station_id", F.col("minute").alias("issue_minute"), (F.col("minute") + 1).alias("valid_minute"), "p_rain",
                                F.col("y_hat").alias("rain_mm_next_minute"), (F.col("y_hat") * 60).alias("rain_rate_mmh"), F.col("q90").alias("rain_mm_q90"))

@@ -53,7 +53,7 @@ def test_features_do_not_see_the_future(spark):
 
 
 def test_slicing_does_not_change_features(spark):
-    same(build(spark, 1, 10_080), build(spark, 1, 1600))
+    same(build(spark, 1, 10_080), build(spark, 1, 100))
 
 
 def test_wet_spell_longer_than_a_slice(spark):
