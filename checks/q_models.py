@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from gaugeflow.models import baselines, fitted, hybrids, loop, sequential
 from gaugeflow.operators import sequences, verify
 
 from .proxies import SLICES
+from .q_splits import sql_hash
 from .registry import query
 
 OUT = "p_rain y_hat q90"
@@ -111,12 +114,35 @@ def rain_weighted(p):
     return sequential.rain_weighted_blocks(rows, n, 168, 24)
 
 
-@query("rain_weighted_blocks")
+@query("rain_weighted_blocks", f"""
+SELECT station_id, 'train' AS part, block, n AS rows, wet FROM (SELECT *, -ln(greatest({sql_hash('station_id', "'train'", 'block', "'42'")},1e-12))/(wet+1) AS k FROM (
+ SELECT station_id, (minute-min_)//168 AS block, count(*) AS n, count(*) FILTER (rain_rt>0) AS wet FROM (SELECT *, min(minute) OVER (PARTITION BY station_id) AS min_ FROM chan) GROUP BY 1,2) WHERE n=168)
+ORDER BY k LIMIT (SELECT 2*count(*) FROM stations)""")
 def rain_weighted_blocks(p):
     return rain_weighted(p).drop("z")
 
 
-@query("regime_filter")
+G3 = [[0.98 if i == j else 0.01 for j in range(3)] for i in range(3)]
+
+
+def _regime_sql() -> str:
+    """The filter written as a recursion over the ticks, all stations at once."""
+    p0, mu, sg = (0.995, 0.5225, 0.05), [math.log(0.02), math.log(0.02 * 0.4) / 2, math.log(0.4)], (0.5, 0.7, 0.9)
+    like = [f"((CASE WHEN rain_rt>0 THEN {1 - p0[i]!r}*exp(-0.5*pow((ln(CASE WHEN rain_rt>0 THEN rain_rt ELSE 1 END)-({mu[i]!r}))/{sg[i]},2))/({sg[i]}*sqrt(2*pi())) ELSE {p0[i]} END)::DOUBLE)" for i in range(3)]
+    rows = f"SELECT station_id, minute, row_number() OVER (PARTITION BY station_id ORDER BY minute) AS i, {', '.join(f'{e} AS e{k}' for k, e in enumerate(like))} FROM chan"
+    step = ", ".join(f"({'+'.join(f'r.a{k}*{G3[k][j]}' for k in range(3))})*l.e{j} AS b{j}" for j in range(3))
+    nxt = [f"({'+'.join(f'a{k}*{G3[k][j]}' for k in range(3))})" for j in range(3)]
+    wet = "+".join(f"{nxt[j]}*{1 - p0[j]!r}" for j in range(3))
+    amount = "+".join(f"{nxt[j]}*{(1 - p0[j]) * math.exp(mu[j] + sg[j] ** 2 / 2)!r}" for j in range(3))
+    return f"""
+SELECT station_id, minute, {wet} AS p_rain, {amount} AS y_hat, a0 AS p_dry FROM (
+ WITH RECURSIVE l AS MATERIALIZED ({rows}), r AS (
+  SELECT station_id, minute, i, e0/(e0+e1+e2) AS a0, e1/(e0+e1+e2) AS a1, e2/(e0+e1+e2) AS a2 FROM l WHERE i=1
+  UNION ALL SELECT station_id, minute, i, b0/(b0+b1+b2), b1/(b0+b1+b2), b2/(b0+b1+b2) FROM (SELECT l.station_id, l.minute, l.i, {step} FROM r JOIN l ON l.station_id=r.station_id AND l.i=r.i+1))
+ SELECT * FROM r)"""
+
+
+@query("regime_filter", _regime_sql(), dbl="p_rain y_hat p_dry")
 def regime_filter(p):
     d = sequential.RegimeModel().filter_forecast(p.own_channels.select("station_id", "minute", "rain_rt"), slices=SLICES)
     return d.select("station_id", "minute", "p_rain", "y_hat", F.col("regime")[0].alias("p_dry"))
@@ -148,7 +174,12 @@ def regime_switch(p):
     return hybrids.regime_switch(p.fit_rows, hybrids.regime_choice(p.fit_rows))
 
 
-@query("isotonic_calibration")
+@query("isotonic_calibration", """
+WITH d AS (SELECT *, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs, row_number() OVER (ORDER BY x) AS i FROM (
+  SELECT y_hat AS x, count(*)::DOUBLE AS w, sum((y_true>0)::INT)::DOUBLE AS s FROM fit_rows WHERE model='lgbm_hurdle' GROUP BY 1)),
+p AS (SELECT j.i AS j, k.i AS k, (k.cs-j.cs+j.s)/(k.cw-j.cw+j.w) AS m FROM d j JOIN d k ON k.i>=j.i),
+q AS (SELECT i, max(lo) AS v FROM (SELECT d.i, p.j, min(p.m) AS lo FROM d JOIN p ON p.j<=d.i AND p.k>=d.i GROUP BY 1,2) GROUP BY 1)
+SELECT station_id, minute, y_hat, v AS p_cal FROM fit_rows f JOIN d ON d.x=f.y_hat JOIN q ON q.i=d.i WHERE model='lgbm_hurdle'""", dbl="y_hat p_cal")
 def isotonic_calibration(p):
     rows = p.fit_rows.where("model = 'lgbm_hurdle'")
     return fitted.IsotonicCalibrator().fit(rows, "y_hat", F.col("y_true") > 0).apply(rows, "y_hat", "p_cal").select("station_id", "minute", "y_hat", "p_cal")
@@ -183,11 +214,27 @@ def tweedie_amount(p):
     return fitted.TweedieAmount(groups=("T",)).fit(train, val).predict(test).select("station_id", "minute", *OUT.split())
 
 
-@query("fit_predict_loop")
+LOOP_SQL = " UNION ALL ".join(f"SELECT '{pre}{m}' AS model, 'test' AS split, t.station_id, t.minute, {v} FROM tab t, (SELECT sum(y*w)/sum(w) AS m, sum((y>0)::INT*w)/sum(w) AS s FROM tab_train) o "
+                              "LEFT JOIN (SELECT hour, sum(y*w)/sum(w) AS cm, sum((y>0)::INT*w)/sum(w) AS cs FROM tab_train GROUP BY 1) c ON c.hour=t.hour WHERE t.minute>=540"
+                              for pre in ("", "A__") for m, v in (
+    ("zero", "0.0 AS p_rain, 0.0 AS y_hat, 0.0 AS q90"), ("climatology", "coalesce(cs,o.s) AS p_rain, coalesce(cm,o.m) AS y_hat, NULL AS q90"),
+    ("persistence", "(P_lag0>0)::INT AS p_rain, P_lag0 AS y_hat, P_lag0 AS q90"), ("moving_average", "P_wetfrac10 AS p_rain, P_sum10/10 AS y_hat, NULL AS q90")))
+
+
+class Broken:
+    name = "broken"
+
+    def fit(self, train, val):
+        raise ValueError("a model that cannot be fitted")
+
+
+@query("fit_predict_loop", LOOP_SQL, dbl=OUT)
 def fit_predict_loop(p):
     test = p.tab.where("minute >= 540")
-    models = [baselines.Simple(n) for n in ("zero", "climatology", "persistence", "moving_average")] + [baselines.PersistenceDecay()]
-    return loop.fit_predict_loop(models, tab_train(p), tab_train(p), {"test": test}, {"test": test})[0]
+    models = [baselines.Simple("zero"), Broken(), *[baselines.Simple(n) for n in ("climatology", "persistence", "moving_average")]]
+    out, failed = loop.fit_predict_loop(models, tab_train(p), tab_train(p), {"test": test}, {"test": test})
+    assert list(failed) == ["broken"]
+    return out
 
 
 def importance(p):

@@ -95,13 +95,39 @@ def station_coverage(p):
     return radar.station_coverage(p.scanstat)
 
 
-@query("site_grid_map")
+def _plane(lon: str, lat: str, lon0: str, lat0: str) -> tuple[str, str]:
+    c = f"(sin(radians({lat0}))*sin(radians({lat}))+cos(radians({lat0}))*cos(radians({lat}))*cos(radians({lon}-({lon0}))))"
+    x = f"(6378.137*cos(radians({lat}))*sin(radians({lon}-({lon0})))/{c})"
+    y = f"(6378.137*(cos(radians({lat0}))*sin(radians({lat}))-sin(radians({lat0}))*cos(radians({lat}))*cos(radians({lon}-({lon0}))))/{c})"
+    return x, y
+
+
+X0, Y0 = _plane("ll_lon", "ll_lat", "lon0", "lat0")
+PX, PY = _plane("lon", "lat", "lon0", "lat0")
+GEO = ("SELECT DISTINCT vec_id%3 AS site, 9.9::DOUBLE+(vec_id%3)*0.3::DOUBLE AS ll_lon, 55.7::DOUBLE AS ll_lat, 10.5::DOUBLE+(vec_id%3)*0.3::DOUBLE AS lon0, "
+       "56.1::DOUBLE AS lat0 FROM embeddings")
+GRID_SQL = f"""
+SELECT site, 0 AS geom_id, count(*) AS cells, min(2*6371.0*asin(least(1,sqrt(pow(sin(radians(lat0-lat)/2),2)+cos(radians(lat))*cos(radians(lat0))*pow(sin(radians(lon0-lon)/2),2))))) AS nearest_km,
+ max(iy*160+ix) AS last_pixel FROM (SELECT *, CAST(floor(({PX}-{X0})/0.5) AS BIGINT) AS ix, 159-CAST(floor(({PY}-{Y0})/0.5) AS BIGINT) AS iy FROM (
+  SELECT *, degrees(asin(cos(c)*sin(radians(56.1))+y*sin(c)*cos(radians(56.1))/rho)) AS lat,
+   10.6+degrees(atan2(x*sin(c), rho*cos(radians(56.1))*cos(c)-y*sin(radians(56.1))*sin(c))) AS lon FROM (
+   SELECT *, sqrt(x*x+y*y) AS rho, atan(sqrt(x*x+y*y)/6378.137) AS c FROM (
+    SELECT g.*, c.i+0.5-40 AS x, 79-r.i+0.5-40 AS y FROM ({GEO}) g, (SELECT unnest(range(0,80)) AS i) r, (SELECT unnest(range(0,80)) AS i) c))))
+WHERE ix>=0 AND ix<160 AND iy>=0 AND iy<160 GROUP BY 1"""
+
+
+@query("site_grid_map", GRID_SQL, dbl="nearest_km", long="last_pixel")
 def site_grid_map(p):
     return radar.site_grid_map(p.geometries, half_km=40.0).groupBy("site", "geom_id").agg(
         F.count(F.lit(1)).alias("cells"), F.min("dist_km").alias("nearest_km"), F.max("pixel").alias("last_pixel"))
 
 
-@query("lookup_audit")
+@query("lookup_audit", f"""
+SELECT site, quantile_cont(e,0.5) AS median_error_px, quantile_cont(e,0.5)*0.5 AS median_error_km, max(e)*0.5 AS max_error_km,
+ count(*) FILTER (gx BETWEEN 0 AND 159 AND gy BETWEEN 0 AND 159) AS stations_inside_site_grid FROM (
+ SELECT site, gx, gy, sqrt(pow(gx-ix,2)+pow(gy-iy,2)) AS e FROM (SELECT site, l.col AS ix, l.row AS iy, CAST(floor(({PX}-{X0})/0.5) AS BIGINT) AS gx, 159-CAST(floor(({PY}-{Y0})/0.5) AS BIGINT) AS gy
+  FROM stations s JOIN ({GNOM}) l ON l.station_id=s.station_id, ({GEO}) WHERE l.row BETWEEN 2 AND 517 AND l.col BETWEEN 2 AND 517)) GROUP BY 1""",
+       dbl="median_error_px median_error_km max_error_km")
 def lookup_audit(p):
     px = radar.station_pixels(p.stations)
     lookup = p.stations.join(px.select("station_id", F.col("col").alias("ix"), F.col("row").alias("iy")), "station_id")

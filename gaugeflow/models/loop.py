@@ -37,7 +37,7 @@ def fit_predict_loop(models: Iterable, train: DataFrame, val: DataFrame, splits:
                     sink(name, split, pred)
                 out = pred if out is None else out.unionByName(pred)
         except Exception as err:  # one model must not stop the others
-            log.exception("model %s failed", getattr(model, "name", model))
+            log.warning("model %s failed: %s", getattr(model, "name", model), err)
             failed[str(getattr(model, "name", model))] = str(err)
     return out, failed
 

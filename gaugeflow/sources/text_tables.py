@@ -57,8 +57,14 @@ def station_from_folder(file: Column) -> Column:
     return normalize_station_id(F.regexp_extract(F.url_decode(file), r"station_id=([^/]+)/", 1))
 
 
+def utc_time(text: Column) -> Column:
+    """Timestamp of an ISO text; without a zone it is UTC, whatever the session's zone. Junk is null."""
+    zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})\s*$")
+    return F.try_to_timestamp(F.when(zoned, text).otherwise(F.concat(F.trim(text), F.lit("Z"))))
+
+
 def _readings(lines: DataFrame, station: Column, columns: tuple[str, ...]) -> DataFrame:
-    time = F.try_to_timestamp(named("time"))
+    time = utc_time(named("time"))
     return (lines.select(station.alias("station_id"), time.alias("time"), "seq", *[number(c).alias(c) for c in columns])
             .where("time is not null"))
 
