@@ -192,14 +192,22 @@ class Proxy:
         return site.selectExpr("site", "geom_id", "160 AS nx", "160 AS ny", "0.5D AS xscale", "0.5D AS yscale", "9.9D + site * 0.3D AS ll_lon",
                                "55.7D AS ll_lat", "10.5D + site * 0.3D AS lon0", "56.1D AS lat0")
 
-    def build_comp(self) -> DataFrame:
-        shape = self.images.select("site", "geom_id").distinct().withColumns({"nx": F.lit(8), "ny": F.lit(8)})
+    @cached_property
+    def shape(self) -> DataFrame:
+        return self.images.select("site", "geom_id").distinct().withColumns({"nx": F.lit(8), "ny": F.lit(8)})
+
+    def build_cell_map(self) -> DataFrame:
+        shape = self.shape
         cell = shape.withColumn("pixel", F.explode(F.sequence(F.lit(0), F.lit(63))))
         r, c = F.floor(F.col("pixel") / 8), F.col("pixel") % 8
         at = lambda a, b, d: F.when(F.col("site") == 0, a).when(F.col("site") == 1, b).otherwise(d)
-        grid = cell.select("site", "geom_id", "pixel", r.alias("row"), c.cast("long").alias("col"),
+        return cell.select("site", "geom_id", "pixel", r.alias("row"), c.cast("long").alias("col"),
                            F.sqrt(F.pow(r - at(1, 6, 3), F.lit(2)) + F.pow(c - at(1, 2, 6), F.lit(2))).alias("dist_km"))
-        return radar.nearest_site_composite(radar.image_pixels(self.images, shape), grid)
+
+    cell_map = stored(build_cell_map)
+
+    def build_comp(self) -> DataFrame:
+        return radar.nearest_site_composite(radar.image_pixels(self.images, self.shape), self.cell_map)
 
     comp = stored(build_comp)
 

@@ -37,6 +37,11 @@ def nearest_site_composite(p):
     return p.build_comp()
 
 
+@query("composite_from_images", "SELECT * FROM comp", dbl="rain")
+def composite_from_images(p):
+    return radar.composite_from_images(p.images, p.cell_map)
+
+
 @query("pixel_window_stats", "SELECT * FROM scanstat", dbl=STAT_DBL)
 def pixel_window_stats(p):
     return p.build_scanstat()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.meteo import wind_from_deg
 from ..params import ChannelParams
 from .channels import CELLS
-from .halo import Slices, spread
+from .halo import Slices, fits_broadcast, spread
 from .stations import pair_profile
 
 SALTS = 64
@@ -29,13 +29,6 @@ def neighbour_profile(pairs: DataFrame, stations: DataFrame, p: ChannelParams =
     return prof.unionByName(own, allowMissingColumns=True)
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the planner's own size estimate allows broadcasting ``df`` (driver-side, no job)."""
-    spark = df.sparkSession
-    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
-
-
 def neighbour_signal_join(signals: DataFrame, profile: DataFrame, values: list[str], payload: list[str] = ()) -> DataFrame:
     """One row per (station, minute, partner) with the partner's ``values``.
 
