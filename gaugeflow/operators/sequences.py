@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rain import is_rain_like, rain_rate_transform
 from .channels import ALL_CHANNELS
-from .halo import Slices
+from .halo import CHUNK, Slices
 
 
 def sequence_channels(df: DataFrame) -> list[str]:
@@ -43,18 +43,25 @@ def scaled(df: DataFrame, channels: list[str], scaler: DataFrame) -> DataFrame:
     return j.withColumns(cols).select(*df.columns)
 
 
-def sequence_windows(df: DataFrame, channels: list[str], length: int, slices: Slices = Slices(), wanted: Column | None = None) -> DataFrame:
-    """The last ``length`` rows x channels block of each wanted row; rows with less history drop out.
+def sequence_windows(df: DataFrame, channels: list[str], length: int, slices: Slices = Slices(), wanted: Column | None = None,
+                     keep: tuple[str, ...] = ()) -> DataFrame:
+    """The last ``length`` rows x channels block of each wanted row of a dense series; rows with less history drop out.
 
-    Only the blocks of wanted rows are kept; the frame holds ``length`` small arrays at a time.
+    A slice of a series is gathered once (its size is fixed by the slicing) and only the blocks of
+    wanted rows are cut out of it, so a sparse training sample does not pay for the other rows.
     """
     s = slices
-    d = s.widen(df, length - 1)
-    row = F.array(*[F.col(c).cast("float") for c in channels])
-    d = s.own(d.withColumn("x", F.collect_list(row).over(s.frame(length - 1))))
+    cols = list(dict.fromkeys([*s.keys, s.order, *keep]))
+    want = F.col(CHUNK) == s.number()
     if wanted is not None:
-        d = d.where(wanted)
-    return d.where(F.size("x") == length)
+        want = want & F.coalesce(wanted, F.lit(False))
+    item = F.struct(F.col(s.order).alias("at"), want.alias("want"), F.array(*[F.col(c).cast("float") for c in channels]).alias("x"),
+                    F.struct(*[c for c in cols if c not in s.keys]).alias("row"))
+    d = s.widen(df, length - 1).groupBy(*s.keys, CHUNK).agg(F.sort_array(F.collect_list(item)).alias("s_"))
+    ends = F.filter(F.sequence(F.lit(length - 1), F.size("s_") - 1), lambda i: F.get("s_", i)["want"])
+    block = lambda i: F.struct(F.get("s_", i)["row"].alias("row"), F.transform(F.slice("s_", i - length + 2, length), lambda e: e["x"]).alias("x"))
+    d = d.where(F.size("s_") >= length).select(*s.keys, F.explode(F.transform(ends, block)).alias("b"))
+    return d.select(*s.keys, *[F.col("b.row")[c].alias(c) for c in cols if c not in s.keys], F.col("b.x").alias("x"))
 
 
 def batch_window_predict(windows: DataFrame, model: Callable[[np.ndarray], pd.DataFrame]) -> DataFrame:

@@ -163,3 +163,10 @@ def test_sequences_do_not_depend_on_slices(spark):
     df = series(spark, range(50), "rain_rt")
     a, b = ({r["minute"]: r["x"] for r in sequences.sequence_windows(df, ["rain_rt"], 6, s).collect()} for s in (Slices(), Slices(9)))
     assert a == b and min(a) == 5 and a[7] == [[float(i)] for i in range(2, 8)]
+
+
+def test_only_wanted_sequences_are_built(spark):
+    df = series(spark, range(40), "rain_rt").withColumn("w", F.col("minute") % 7)
+    got = sequences.sequence_windows(df, ["rain_rt"], 5, Slices(8), F.col("w") == 0, ("w",)).collect()
+    assert sorted(r["minute"] for r in got) == [7, 14, 21, 28, 35]
+    assert all([v[0] for v in r["x"]] == [float(i) for i in range(r["minute"] - 4, r["minute"] + 1)] and r["w"] == 0 for r in got)
