@@ -102,7 +102,7 @@ class Proxy:
         return truth.validate_truth(self.obs, slices=SLICES)
 
     def build_targets(self) -> DataFrame:
-        return truth.next_minute_target(self.truth, SLICES)
+        return truth.validate_truth(self.obs, slices=SLICES, target=True)
 
     targets = stored(build_targets)
 

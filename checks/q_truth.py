@@ -90,7 +90,7 @@ def tip_harmonise(p):
 
 @query("next_minute_target", "SELECT station_id, minute, target, target_valid FROM targets", dbl="target", long="target_valid")
 def next_minute_target(p):
-    return p.build_targets().select("station_id", "minute", "target", "target_valid")
+    return truth.next_minute_target(p.truth, SLICES).select("station_id", "minute", "target", "target_valid")
 
 
 @query("scan_truth_slice", "SELECT minute, precip, valid FROM truth WHERE station_id='00000' AND minute>=100 AND minute<400",

@@ -119,14 +119,15 @@ def dense_regime(df: DataFrame, p: TruthParams = TruthParams(), slices: Slices =
     return df if widened else s.own(df)
 
 
-def validate_truth(grid: DataFrame, p: TruthParams = TruthParams(), slices: Slices = Slices()) -> DataFrame:
+def validate_truth(grid: DataFrame, p: TruthParams = TruthParams(), slices: Slices = Slices(), target: bool = False) -> DataFrame:
     """Validated rain per tick from gridded readings (``place_on_grid`` after ``tip_harmonise``).
 
     Everything happens inside one slicing: a block's numbers sit on its last tick, the verdict is
     handed back to the block's earlier ticks by a short forward frame. One shuffle, one sort.
+    ``target`` adds the columns of ``next_minute_target`` in the same pass.
     """
     s, block = slices, p.block
-    df = dense_regime(s.widen(grid, p.dense_half + block, p.dense_half + block), p, s, widened=True)
+    df = dense_regime(s.widen(grid, p.dense_half + block, p.dense_half + block + int(target)), p, s, widened=True)
     frame = s.frame(block - 1)
     at_end = F.pmod(F.col("minute"), F.lit(block)) == 0
     total, n1 = F.col("p10_obs"), F.col("n1_")
@@ -139,7 +140,18 @@ def validate_truth(grid: DataFrame, p: TruthParams = TruthParams(), slices: Slic
     df = df.withColumn("good_", F.when(at_end, good))
     df = df.withColumn("valid", F.coalesce(F.max("good_").over(s.frame(0, block - 1)), F.lit(False)))
     df = df.withColumn("precip", F.when(F.col("valid"), F.coalesce("p1_obs", F.lit(0.0))))
-    return s.own(df).withColumn("valid", F.col("valid").cast("int")).select(*TRUTH_COLUMNS)
+    df = df.withColumn("valid", F.col("valid").cast("int"))
+    if target:
+        return s.own(_with_target(df, s)).select(*TRUTH_COLUMNS, "target", "target_valid")
+    return s.own(df).select(*TRUTH_COLUMNS)
+
+
+def _with_target(df: DataFrame, s: Slices) -> DataFrame:
+    w = s.window()
+    follows = F.lead("minute").over(w) == F.col("minute") + 1
+    df = df.withColumns({"target": F.when(follows, F.lead("precip").over(w)),
+                         "target_valid": F.when(follows, F.lead("valid").over(w))})
+    return df.withColumn("target_valid", F.coalesce("target_valid", F.lit(0)))
 
 
 def next_minute_target(truth: DataFrame, slices: Slices = Slices()) -> DataFrame:
@@ -147,13 +159,7 @@ def next_minute_target(truth: DataFrame, slices: Slices = Slices()) -> DataFrame
 
     A tick equi-join partner would be a second shuffle; a lead inside slices is not.
     """
-    s = slices
-    w = s.window()
-    df = s.widen(truth, 0, 1)
-    follows = F.lead("minute").over(w) == F.col("minute") + 1
-    df = df.withColumns({"target": F.when(follows, F.lead("precip").over(w)),
-                         "target_valid": F.when(follows, F.lead("valid").over(w))})
-    return s.own(df.withColumn("target_valid", F.coalesce("target_valid", F.lit(0))))
+    return slices.own(_with_target(slices.widen(truth, 0, 1), slices))
 
 
 def scan_truth_slice(truth: DataFrame, station_id: str, start: int, end: int, columns: list[str]) -> DataFrame:

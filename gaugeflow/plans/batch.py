@@ -39,10 +39,15 @@ class Benchmark:
     def truth_table(self, readings: DataFrame) -> DataFrame:
         """``readings``: station_id, minute, seq and raw columns."""
         clean = quality.dedup_first_nonnull(quality.range_clean(readings, self.truth))
+        for name in ("precip_past1min", "precip_past10min"):
+            if name not in clean.columns:
+                clean = clean.withColumn(name, F.lit(None).cast("double"))
+        if self.truth.tip_mm > 0:
+            # tips depend on reported values alone, so they are formed before gaps become rows
+            clean = truth.tip_harmonise(clean, "precip_past1min", self.truth.tip_mm, self.slices)
+            clean = clean.withColumn("precip_past10min", truth.whole_tips(F.col("precip_past10min"), self.truth.tip_mm))
         grid = truth.place_on_grid(clean, self.slices.chunk, self.truth, shared=True)
-        grid = truth.tip_harmonise(grid, "p1_obs", self.truth.tip_mm, self.slices)
-        grid = grid.withColumn("p10_obs", truth.whole_tips(F.col("p10_obs"), self.truth.tip_mm))
-        return materialise(truth.next_minute_target(truth.validate_truth(grid, self.truth, self.slices), self.slices), "truth")
+        return materialise(truth.validate_truth(grid, self.truth, self.slices, target=True), "truth")
 
     def gated(self, truth_table: DataFrame, year=None) -> DataFrame:
         return quality.quality_gate(quality.quality_by_year(truth_table, self.clock, year), self.gate)

@@ -60,6 +60,7 @@ def test_slices_do_not_change_truth(spark):
     p10 = {m: round(sum(p1.get(k, 0) for k in range(m - 9, m + 1)) + rng.choice([0, 0, 1]), 1) for m in range(0, 600, 10) if rng.random() < 0.8}
     a, b = (by_minute(truth.next_minute_target(truth.validate_truth(obs(spark, 600, p1, p10), slices=s), s)) for s in (Slices(), Slices(50)))
     assert a == b
+    assert by_minute(truth.validate_truth(obs(spark, 600, p1, p10), slices=Slices(50), target=True)) == a
 
 
 def test_first_nonnull_is_per_column(spark):
