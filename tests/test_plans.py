@@ -31,7 +31,7 @@ def test_no_cross_join_and_no_single_task_window(spark, name):
 
 
 def test_no_window_is_partitioned_by_station_alone(spark):
-    for name in ("validate_truth", "station_channels", "next_minute_target", "dense_regime", "asof_scan_to_minute", "sequence_windows"):
+    for name in ("validate_truth", "station_channels", "next_minute_target", "dense_regime", "asof_scan_to_minute", "rolling_stats"):
         plan = plan_of(entry.queries()[name](spark, SF))
         assert "Window" in plan
         for line in plan.splitlines():
