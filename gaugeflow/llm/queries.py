@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontam, pack
+from . import binary, decontam, pack, rules
 from .tables import require, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,51 @@ hit_items AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
 """
+
+
+@query
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _quality_sql(least_words: int = 10, most_repeated: int = 20) -> str:
+    """The same estimation as rules.estimate, its rounds written out one after the other."""
+    names, first = [r.name for r in rules.RULES], rules.start()
+    space, kinds, v = r"\x09-\x0D\x20", range(len(first)), lambda n: f"v_{n}"
+    words = f"regexp_extract_all(t, '[^{space}]+')"
+    ctes = [
+        "d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents)",
+        f"w AS MATERIALIZED (SELECT rid, {words} AS words FROM d)",
+        f"l AS (SELECT rid, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^{space}]')] AS lines FROM d)",
+        "g AS (SELECT rid, k, array_to_string(words[k + 1 : k + 5], chr(1)) AS gram FROM (SELECT rid, words, unnest(range(greatest(len(words) - 4, 0))) AS k FROM w))",
+        "r AS (SELECT rid, count(DISTINCT i) AS n FROM (SELECT rid, unnest(range(k, k + 5)) AS i FROM (SELECT rid, k, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n > 1) GROUP BY rid)",
+        "f AS (SELECT rid, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(len(list_distinct(words)) AS BIGINT) AS n_distinct,"
+        " CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,"
+        + ", ".join(f" CAST(length(regexp_replace(t, '[^{keep}]+', '', 'g')) AS BIGINT) AS {name}" for name, keep in (("n_symbols", "#*$%&|<>"), ("n_upper", r"\p{Lu}"), ("n_bangs", "!"), ("n_stops", ".,")))
+        + " FROM d JOIN w USING (rid) JOIN l USING (rid) LEFT JOIN r USING (rid))",
+        "v AS MATERIALIZED (SELECT *, " + ", ".join(f"CASE WHEN {r.bad} THEN 0 WHEN {r.good} THEN 1 END AS v_{r.name}" for r in rules.RULES) + " FROM f)",
+        f"p AS MATERIALIZED (SELECT {', '.join(map(v, names))}, count(*) AS n FROM v GROUP BY ALL)",
+    ]
+    params = [f"CAST({share!r} AS DOUBLE) AS s{k}" for k, (share, _) in enumerate(first)]
+    params += [f"CAST({of[j][b]!r} AS DOUBLE) AS q{k}_{j}_{b}" for k, (_, of) in enumerate(first) for j in range(len(names)) for b in (0, 1)]
+    ctes.append("m0 AS MATERIALIZED (SELECT " + ", ".join(params) + ")")
+    clip = lambda x: f"least({1 - rules.EDGE!r}::DOUBLE, greatest({rules.EDGE!r}::DOUBLE, {x}))"
+    weights = [" * ".join([f"s{k}", *[f"(CASE v_{n} WHEN 0 THEN {clip(f'q{k}_{j}_0')} WHEN 1 THEN {clip(f'q{k}_{j}_1')} ELSE {clip(f'1::DOUBLE - q{k}_{j}_0 - q{k}_{j}_1')} END)" for j, n in enumerate(names)]]) for k in kinds]
+    for i in range(rules.ROUNDS):
+        ctes.append(f"e{i} AS MATERIALIZED (SELECT p.*, {', '.join(f'{w} AS w{k}' for k, w in enumerate(weights))} FROM p, m{i})")
+        total = " + ".join(f"w{k}" for k in kinds)
+        ctes.append(f"c{i} AS MATERIALIZED (SELECT * REPLACE ({', '.join(f'n * w{k} / ({total}) AS w{k}' for k in kinds)}) FROM e{i})")
+        new = [f"sum(w{k}) / sum(n) AS s{k}" for k in kinds]
+        for k, (_, of) in enumerate(first):
+            for j, n in enumerate(names):
+                for b in (0, 1):
+                    share = f"(coalesce(sum(w{k}) FILTER (v_{n} = {b}), 0) + {rules.WEIGHT!r}::DOUBLE * {of[j][b]!r}::DOUBLE) / (sum(w{k}) + {rules.WEIGHT!r}::DOUBLE)"
+                    new.append(f"{f'least({rules.FALSE!r}::DOUBLE, {share})' if (k, b) == (0, 0) else share} AS q{k}_{j}_{b}")
+        ctes.append(f"m{i + 1} AS MATERIALIZED (SELECT {', '.join(new)} FROM c{i})")
+    failed = f"(n_words < {least_words} OR 100 * n_repeat_words > {most_repeated} * n_words)"
+    good = f"({weights[0]}) / ({' + '.join(f'({w})' for w in weights)}) >= 0.5"
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND {good} AS kept FROM v, m{rules.ROUNDS}"
+
+
+ORACLES["op6_weak_supervision"] = _quality_sql()
