@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import on_arrow, require, written
+from .tables import on_arrow, require, small_batches, written
 from .words import ALNUM, FOLD, shingles, text_slices, words
 
 FOUND = "doc_id bigint, text string, n_words bigint, spans array<bigint>, items array<bigint>"
@@ -194,4 +194,5 @@ def clean(documents: DataFrame, benchmark: DataFrame, remove: str = "documents",
                 else:
                     yield part
 
+    small_batches(spark)
     return documents.mapInArrow(run, documents.schema)

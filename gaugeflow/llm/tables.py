@@ -15,7 +15,7 @@ from ..session import shared_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-__all__ = ["shared_dir", "new_folder", "written", "table", "on_arrow", "require", "partitions_for"]
+__all__ = ["shared_dir", "new_folder", "written", "table", "on_arrow", "small_batches", "require", "partitions_for"]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -41,8 +41,17 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Hold the session's Arrow batches at 8 MB, which bounds what a task and its Python worker keep at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "67108864b").removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
+
+
 def on_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose results may be dicts of arrays in the order of ``schema``."""
+    """``mapInArrow`` whose results may be lists of columns in the order of ``schema``."""
+    small_batches(df.sparkSession)
     kinds = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in T._parse_datatype_string(schema).fields])
 
     def run(batches):

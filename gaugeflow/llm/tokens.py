@@ -22,7 +22,7 @@ _KIND[128:] = 0
 _ENCODERS: dict[tuple[str, int], "Encoder"] = {}
 
 
-def encoder(path: str, slots_log2: int = 21) -> "Encoder":
+def encoder(path: str, slots_log2: int = 20) -> "Encoder":
     """The worker's encoder for a tokenizer file; kept between tasks."""
     key = (path, slots_log2)
     if key not in _ENCODERS:
@@ -31,9 +31,13 @@ def encoder(path: str, slots_log2: int = 21) -> "Encoder":
 
 
 class Encoder:
-    """Encodes slices of texts. ``slots_log2`` bounds the table of known pieces (12 bytes a slot)."""
+    """Encodes slices of texts.
 
-    def __init__(self, path: str, slots_log2: int = 21):
+    ``slots_log2`` bounds the table of known pieces (12 bytes a slot); half as many pieces are kept,
+    the first that come, which are the frequent ones. Others are encoded anew in each slice.
+    """
+
+    def __init__(self, path: str, slots_log2: int = 20):
         import json
 
         from tokenizers import Tokenizer
@@ -52,9 +56,6 @@ class Encoder:
         for piece, i in spec["model"]["vocab"].items():
             self.ends[i] = piece.endswith(suffix)
         self.bits = slots_log2
-        self._clear()
-
-    def _clear(self) -> None:
         self.key = np.zeros(1 << self.bits, np.uint64)
         self.entry = np.full(1 << self.bits, -1, np.int32)
         self.start, self.length, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
@@ -97,8 +98,7 @@ class Encoder:
         """Ids of all texts, one after the other (uint32), and the number of ids of each text."""
         if self._has_special(raw):
             return self._by_library(raw, off)
-        if self.entries > (1 << self.bits):
-            self._clear()
+        kept, used = self.entries, self.used
         kind = _KIND[raw]
         cut = np.zeros(len(raw), bool)
         cut[1:] = (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
@@ -117,7 +117,7 @@ class Encoder:
             blob, where = FOLD[raw].tobytes(), lost[first]
             entries = self._encode_pieces([blob[a:b].decode("utf-8") for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
             at[lost] = entries[back]
-            for shift in (0, self.bits):  # the first free of a piece's two slots
+            for shift in (0, self.bits) if self.entries <= 1 << (self.bits - 1) else ():  # the first free of a piece's two slots
                 slot = ((new >> np.uint64(shift)) & mask).astype(np.int64)
                 free = self.entry[slot] < 0
                 self.key[slot[free]], self.entry[slot[free]] = new[free], entries[free]
@@ -127,6 +127,8 @@ class Encoder:
         stop = np.cumsum(lengths)
         total = int(stop[-1]) if len(stop) else 0
         ids = self.pool[np.repeat(self.start[at] - (stop - lengths), lengths) + np.arange(total)]
+        if self.entries > 1 << (self.bits - 1):
+            self.entries, self.used = kept, used
         edge = np.cumsum(counts)
         reach = np.append(0, stop)
         return ids, reach[edge] - reach[edge - counts]

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
