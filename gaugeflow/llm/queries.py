@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, chat, decontam, jaccard, pack, rules, shard, substring
+from . import binary, chat, decontam, jaccard, pack, rules, shard, substring, urls
 from .tables import require, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,11 @@ def op4_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = require(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").unionByName(more)
     formatted = chat.windows(given, tokenizer_path(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     return chat.read_back(formatted)
+
+
+@query
+def op5_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is the label of the document with its number: bad if toxic or of low quality."""
+    rules = [urls.Rule("com/", "allow"), urls.Rule("example.com/en/", "block"), urls.Rule("www.example.com/en/", "allow"), urls.Rule("net/es/", "block"), urls.Rule("net/fr/", "block")]
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return urls.judge(table(spark, sf_dir, "pages"), labels, rules).drop("p_bad")
