@@ -4,11 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeflow.llm import decontam, pack
+from gaugeflow.llm import decontam, jaccard, pack, rules, substring
 from gaugeflow.llm.queries import tokenizer_path
 from gaugeflow.llm.tables import table, written
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and that the weighed votes of the rules call good."""
+    return rules.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard.keep_first(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document holds too; documents that were nothing else go."""
+    return substring.clean(docs, written(substring.passages(docs), "passages"))
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"), "documents", 10)
@@ -19,7 +34,14 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack.pack(pack.token_table(docs, tokenizer_path(), end_id=2), 4096)
 
 
-STAGES = [("benchmark decontamination", decontamination), ("packing", packing)]
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
+#: Passages are found by min-hashes, which SQL cannot state; tests/llm compares the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -1,7 +1,8 @@
 """Token-ID output in binary files of patched frame-of-reference blocks, and reading them back.
 
-File (little-endian): magic ``PFB1``, counts of documents and of ids (u64); document ids (i64, the
-smallest value for null); then two coded series, ids per document and the ids themselves. A series
+File (little-endian): magic ``PFB1``, then segments of about ``SEGMENT`` ids: bytes that follow,
+counts of documents and of ids (u64); document ids (i64, the smallest value for null); two coded series, ids per document
+and the ids themselves. A series
 is: values and blocks (u64), block minimum (u32 each), packed width (u8 each), exceptions per
 block (u16 each), start of each block in the payload in 32-bit words (u64 each, the index), payload,
 exception places in the block (u16 each), exception values (u32 each). A block has 1024 values in
@@ -20,17 +21,19 @@ Nulls: a null text is empty (the end id alone). An empty table gives no files. O
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import new_folder, on_arrow, require, written
 from .tokens import encoder
 from .words import text_slices
 
-BLOCK, LANES = 1024, 32
+BLOCK, LANES, SEGMENT = 1024, 32, 1 << 20
 NULL_ID = -(1 << 63)
 MAGIC = b"PFB1"
 
@@ -114,84 +117,104 @@ def decode_series(blob: memoryview, at: int, first: int = 0, last: int | None =
     return (rest + low[a:b, None]).reshape(-1)[first - a * BLOCK : last - a * BLOCK], at
 
 
-def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, percentile: float = 95.0) -> bytes:
-    return b"".join([MAGIC, struct.pack("<QQ", len(doc_ids), len(ids)), doc_ids.astype("<i8").tobytes(), encode_series(counts, percentile), encode_series(ids, percentile)])
+def encode_segment(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, percentile: float = 95.0) -> bytes:
+    body = b"".join([struct.pack("<QQ", len(doc_ids), len(ids)), doc_ids.astype("<i8").tobytes(), encode_series(counts, percentile), encode_series(ids, percentile)])
+    return struct.pack("<Q", len(body)) + body
 
 
-def decode_file(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids, ids per document, ids."""
-    view = memoryview(blob)
-    if view[:4] != MAGIC:
+def decode_stream(read: Callable[[int], bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Document ids, ids per document and ids of each segment; one segment is held at a time."""
+    if read(4) != MAGIC:
         raise ValueError("not a token file")
-    docs, n = struct.unpack_from("<QQ", view, 4)
-    counts, at = decode_series(view, 20 + 8 * docs)
-    ids, _ = decode_series(view, at)
-    if len(ids) != n or len(counts) != docs:
-        raise ValueError("damaged token file")
-    return np.frombuffer(view, "<i8", docs, 20), counts.astype(np.int64), ids
-
-
-def _save(folder: str, name: str, blob: bytes) -> None:
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    own = f"{path}/.{name}.{TaskContext.get().taskAttemptId()}"
-    with store.open_output_stream(own) as out:
-        out.write(blob)
-    store.move(own, f"{path}/{name}")
-
-
-def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int, file_ids: int = 4 << 20, percentile: float = 95.0) -> DataFrame:
+    while head := read(8):
+        size = struct.unpack("<Q", head)[0]
+        view = memoryview(read(size))
+        if len(view) != size:
+            raise ValueError("damaged token file")
+        docs, n = struct.unpack_from("<QQ", view, 0)
+        doc_ids = np.frombuffer(view, "<i8", docs, 16)
+        counts, at = decode_series(view, 16 + 8 * docs)
+        ids, _ = decode_series(view, at)
+        if len(ids) != n or len(counts) != docs:
+            raise ValueError("damaged token file")
+        yield doc_ids, counts.astype(np.int64), ids
+
+
+class _File:
+    """A file of the folder, written under a name of the task's attempt and renamed when whole."""
+
+    def __init__(self, folder: str, name: str):
+        from pyarrow import fs
+
+        self.store, self.folder = fs.FileSystem.from_uri(folder)
+        self.store.create_dir(self.folder, recursive=True)
+        self.name, self.docs, self.ids = name, 0, 0
+        self.own = f"{self.folder}/.{name}.{TaskContext.get().taskAttemptId()}"
+        self.out = self.store.open_output_stream(self.own)
+        self.out.write(MAGIC)
+
+    def add(self, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, percentile: float) -> None:
+        self.out.write(encode_segment(doc_ids, counts, ids, percentile))
+        self.docs, self.ids = self.docs + len(doc_ids), self.ids + len(ids)
+
+    def close(self) -> None:
+        self.out.close()
+        self.store.move(self.own, f"{self.folder}/{self.name}")
+
+
+def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int, file_ids: int = 64 << 20, percentile: float = 95.0) -> DataFrame:
     """Write the files; a table of them: part, number, name, docs, ids."""
 
     def run(batches):
-        known, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        doc_ids, counts, ids, size = [], [], [], 0
-
-        def flush():
-            nonlocal number, size
-            name = f"{part:07d}-{number:05d}.pfb"
-            d, c, v = np.concatenate(doc_ids), np.concatenate(counts), np.concatenate(ids)
-            _save(folder, name, encode_file(d, c, v, percentile))
-            row = ([part], [number], [name], [len(d)], [len(v)])
+        known, part, number, file = encoder(tokenizer), TaskContext.get().partitionId(), 0, None
+        doc_ids, counts, ids = [], [], []
+
+        def segment():
+            nonlocal file
+            file = file or _File(folder, f"{part:07d}-{number:05d}.pfb")
+            file.add(np.concatenate(doc_ids), np.concatenate(counts), np.concatenate(ids), percentile)
             doc_ids.clear(), counts.clear(), ids.clear()
-            number, size = number + 1, 0
-            return row
 
         for batch in batches:
             for i, j, raw, off in text_slices(batch.column(1)):
                 got, n = known.encode(raw, off)
                 doc_ids.append(batch.column(0).slice(i, j - i).fill_null(NULL_ID).to_numpy())
                 counts.append(n + 1), ids.append(np.insert(got, np.cumsum(n), end_id).astype(np.uint32))
-                size += len(ids[-1])
-                if size >= file_ids:
-                    yield flush()
-        if size:
-            yield flush()
+                if sum(map(len, ids)) >= SEGMENT:
+                    segment()
+                if file and file.ids >= file_ids:
+                    file.close()
+                    yield ([part], [number], [file.name], [file.docs], [file.ids])
+                    number, file = number + 1, None
+        if ids:
+            segment()
+        if file:
+            file.close()
+            yield ([part], [number], [file.name], [file.docs], [file.ids])
 
     ordered = require(documents, "doc_id", "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
     return written(on_arrow(ordered, run, "part int, number int, name string, docs bigint, ids bigint"), "token-files")
 
 
-def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
+def read_tokens(folder: str, files: DataFrame, partitions: int) -> DataFrame:
     """Every document read back: doc_id, start (ids before it in all files), n_tokens, ids (binary, unsigned 32-bit)."""
 
     def run(batches):
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name, blob in zip(batch.column(0), batch.column(1), strict=True):
-                doc_ids, counts, ids = decode_file(blob.as_buffer())
-                stop = np.cumsum(counts)
-                flat = memoryview(ids.astype("<u4").tobytes())
-                step = 2048  # documents a batch
-                for a in range(0, len(counts), step):
-                    cut = slice(a, a + step)
-                    lo, hi = (stop - counts)[cut], stop[cut]
-                    yield ([name.as_py()] * len(lo), [None if d == NULL_ID else d for d in doc_ids[cut].tolist()], lo, counts[cut],
-                           [flat[4 * x : 4 * y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])
-
-    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfb").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    parts = on_arrow(read, run, "name string, doc_id bigint, start_in_file bigint, n_tokens bigint, ids binary")
+            for name in batch.column(0).to_pylist():
+                before = 0
+                with store.open_input_stream(f"{path}/{name}") as source:
+                    for doc_ids, counts, ids in decode_stream(source.read):
+                        stop = np.cumsum(counts)
+                        flat = memoryview(ids.astype("<u4").tobytes())
+                        yield ([name] * len(counts), pa.array(doc_ids, mask=doc_ids == NULL_ID), before + stop - counts, counts,
+                               [flat[4 * x : 4 * y] for x, y in zip((stop - counts).tolist(), stop.tolist(), strict=True)])
+                        before += len(ids)
+
+    parts = on_arrow(files.select("name").repartition(partitions, "name"), run, "name string, doc_id bigint, start_in_file bigint, n_tokens bigint, ids binary")
     # one row per file, and the running total over them
     bases = files.select("name", (F.sum("ids").over(Window.orderBy("part", "number")) - F.col("ids")).alias("base"))
     return parts.join(F.broadcast(bases), "name").select("doc_id", (F.col("base") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
@@ -199,11 +222,6 @@ def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame
 
 def round_trip(documents: DataFrame, tokenizer: str, end_id: int, partitions: int | None = None) -> DataFrame:
     """Write ``documents`` to a fresh folder below the shared one and read the files back."""
-    spark = documents.sparkSession
-    folder = new_folder(spark, "token-ids")
-    files = write_tokens(documents, folder, tokenizer, end_id, partitions or max(1, documents.rdd.getNumPartitions()))
-    if not files.head(1):
-        return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids binary")
-    return read_tokens(spark, folder, files)
-
-
+    folder = new_folder(documents.sparkSession, "token-ids")
+    partitions = partitions or max(1, documents.rdd.getNumPartitions())
+    return read_tokens(folder, write_tokens(documents, folder, tokenizer, end_id, partitions), partitions)

@@ -299,3 +299,9 @@ def classify(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     classes, links = join(documents, width, percent)
     comp = components(links).select(F.col("node").alias("standing"), "component")
     return classes.join(comp, "standing", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "standing", "doc_id")).alias("component_id"))
+
+
+def keep_first(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, the smallest id, with all its columns; documents without words or id stay."""
+    kept = written(classify(documents, width, percent).where("doc_id IS NULL OR component_id = doc_id").select(F.col("doc_id").alias("__doc")).distinct(), "first")
+    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["__doc"]), "left_semi")

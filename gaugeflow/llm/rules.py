@@ -145,3 +145,9 @@ def judge(documents: DataFrame, rules: tuple[Rule, ...] = RULES, least_words: in
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     out = voted.withColumn("base_failed", failed).withColumn("p_good", posterior(model))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+
+
+def keep_good(documents: DataFrame, **options) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns. Rows of one id are kept or dropped together."""
+    verdict = written(judge(documents, **options).groupBy("doc_id").agg(F.min("kept").alias("kept")).where("kept"), "kept").select(F.col("doc_id").alias("__doc"))
+    return documents.join(verdict, documents["doc_id"].eqNullSafe(verdict["__doc"]), "left_semi")
