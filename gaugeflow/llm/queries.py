@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, chat, decontam, jaccard, pack, rules, shard, substring, urls
+from . import binary, chat, decontam, dom, jaccard, pack, rules, shard, substring, urls
 from .tables import require, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,9 @@ def op5_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [urls.Rule("com/", "allow"), urls.Rule("example.com/en/", "block"), urls.Rule("www.example.com/en/", "allow"), urls.Rule("net/es/", "block"), urls.Rule("net/fr/", "block")]
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
     return urls.judge(table(spark, sf_dir, "pages"), labels, rules).drop("p_bad")
+
+
+@query
+def op2_boosted_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return dom.extract(pages, dom.train(pages)).withColumn("n_chars", F.length("text").cast("long"))
