@@ -39,7 +39,7 @@ def nearest_site_composite(p):
 
 @query("composite_from_images", "SELECT * FROM comp", dbl="rain")
 def composite_from_images(p):
-    return radar.composite_from_images(p.images, p.cell_map)
+    return radar.composite_from_images(p.images, p.cell_map, p.shape)
 
 
 @query("pixel_window_stats", "SELECT * FROM scanstat", dbl=STAT_DBL)
@@ -139,8 +139,42 @@ def lookup_audit(p):
     return radar.lookup_audit(lookup, p.geometries)
 
 
-@query("tile_motion")
+def _motion_sql(least_now: str, least_before: str, peak: float, fields: str) -> str:
+    """Exhaustive block matching: every tile, every shift up to the highest speed, cosine of the wet cells."""
+    return f"""
+SELECT {fields} FROM (SELECT q.*, up - 2*score + down AS by_, lft - 2*score + rgt AS bx_ FROM (
+ SELECT *, max(score) FILTER (k=1) OVER w AS top_, any_value(u) FILTER (k=1) OVER w AS up, any_value(dn) FILTER (k=1) OVER w AS down, any_value(l) FILTER (k=1) OVER w AS lft, any_value(r) FILTER (k=1) OVER w AS rgt FROM (
+  SELECT s.*, row_number() OVER (PARTITION BY scan,tr,tc ORDER BY score DESC, dy*dy+dx*dx, dy, dx) AS k,
+   (SELECT max(x.score) FROM sc x WHERE x.scan=s.scan AND x.tr=s.tr AND x.tc=s.tc AND x.dy=s.dy-1 AND x.dx=s.dx) AS u, (SELECT max(x.score) FROM sc x WHERE x.scan=s.scan AND x.tr=s.tr AND x.tc=s.tc AND x.dy=s.dy+1 AND x.dx=s.dx) AS dn,
+   (SELECT max(x.score) FROM sc x WHERE x.scan=s.scan AND x.tr=s.tr AND x.tc=s.tc AND x.dy=s.dy AND x.dx=s.dx-1) AS l, (SELECT max(x.score) FROM sc x WHERE x.scan=s.scan AND x.tr=s.tr AND x.tc=s.tc AND x.dy=s.dy AND x.dx=s.dx+1) AS r
+  FROM sc s) WINDOW w AS (PARTITION BY scan,tr,tc)) q WHERE k=1) m
+ JOIN now_ USING (scan,tr,tc) LEFT JOIN old_ USING (scan,tr,tc) WHERE wet_now {least_now} AND {least_before} AND score >= {peak}"""
+
+
+TILED = "(SELECT unnest(range(0,{n}+1,{s})) AS tr) a, (SELECT unnest(range(0,{n}+1,{s})) AS tc) b WHERE row>=tr AND row<tr+{t} AND col>=tc AND col<tc+{t}"
+
+
+def _motion_cte(tile: int, step: int) -> str:
+    cut = TILED.format(n=8 - tile, s=step, t=tile)
+    return f"""wet AS (SELECT scan, row, col, ln(1+rain) AS a FROM comp WHERE rain>0),
+pr AS (SELECT * FROM (SELECT scan, lag(scan) OVER (ORDER BY scan) AS prev FROM (SELECT DISTINCT scan FROM comp)) WHERE scan-prev<=30),
+cur AS (SELECT w.* FROM wet w JOIN pr USING (scan)), bef AS (SELECT pr.scan, pr.scan-prev AS dt, row, col, a FROM wet w JOIN pr ON pr.prev=w.scan),
+now_ AS (SELECT scan, tr, tc, count(*) AS wet_now, sum(a*a) AS bb FROM cur, {cut} GROUP BY 1,2,3), old_ AS (SELECT scan, tr, tc, count(*) AS wet_before FROM bef, {cut} GROUP BY 1,2,3),
+mov AS (SELECT scan, dt, row+dy AS row, col+dx AS col, dy, dx, a FROM bef, (SELECT unnest(range(-7,8)) AS dy) y, (SELECT unnest(range(-7,8)) AS dx) x WHERE dy*dy+dx*dx<=pow(2.5*dt,2)),
+hit AS (SELECT m.*, c.a AS b FROM mov m LEFT JOIN cur c ON c.scan=m.scan AND c.row=m.row AND c.col=m.col),
+sc AS MATERIALIZED (SELECT h.scan, dt, h.tr, h.tc, dy, dx, round(coalesce(ab,0)/sqrt(aa*bb), 9) AS score FROM (SELECT scan, dt, tr, tc, dy, dx, sum(a*b) AS ab, sum(a*a) AS aa FROM hit, {cut} GROUP BY ALL) h JOIN now_ n ON n.scan=h.scan AND n.tr=h.tr AND n.tc=h.tc)"""
+
+
+SHIFT = "(dy+coalesce(CASE WHEN by_<0 THEN 0.5*(up-down)/by_ END,0))/dt AS vy, (dx+coalesce(CASE WHEN bx_<0 THEN 0.5*(lft-rgt)/bx_ END,0))/dt AS vx"
+TILES_SQL = f"WITH {_motion_cte(4, 2)} {_motion_sql('>= 0.32', 'wet_before >= 0.32', 0.05, f'scan, tr+2.0 AS tile_r, tc+2.0 AS tile_c, {SHIFT}')}"
+WHOLE_SQL = f"WITH {_motion_cte(8, 8)} {_motion_sql('> 0.32', 'true', -9, f'scan, {SHIFT}')}"
+
+
+@query("tile_motion", f"SELECT * FROM ({TILES_SQL})", dbl="tile_r tile_c vy vx", digits=4)
 def tile_motion(p):
-    tiles, whole = radar.tile_motion(p.comp, RADAR)
-    return (tiles.groupBy("scan").agg(F.count(F.lit(1)).alias("tiles"), F.avg("vy").alias("tile_vy"), F.avg("vx").alias("tile_vx"))
-            .join(whole, "scan", "full"))
+    return radar.tile_motion(p.comp, RADAR, coarse=1)[0]
+
+
+@query("whole_field_motion", f"SELECT * FROM ({WHOLE_SQL})", dbl="vy vx", digits=4)
+def whole_field_motion(p):
+    return radar.tile_motion(p.comp, RADAR, coarse=1)[1]

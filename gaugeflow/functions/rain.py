@@ -50,13 +50,23 @@ def rain_rate_transform(name: str, value: Column, mean: Column | None = None, st
     return finite_or_zero(log_observation(value, div) / 3.0)
 
 
-def reflectivity_to_rain(raw: Column, gain: float = 0.5, offset: float = -32.0, nodata: float = 255,
-                         undetect: float = 0, zr_a: float = 200.0, zr_b: float = 1.6) -> Column:
-    """Rain rate in mm/h from a stored radar value; no echo is 0, unknown is null."""
-    dbz = F.lit(float(gain)) * raw + F.lit(float(offset))
-    rate = F.pow(F.pow(F.lit(10.0), dbz / 10.0) / F.lit(float(zr_a)), F.lit(1.0 / zr_b))
-    return (F.when(raw == nodata, F.lit(None).cast("double"))
-            .when(raw == undetect, F.lit(0.0))
+#: The usual scaling of stored radar values and the usual reflectivity relation.
+RADAR_USUAL = {"gain": 0.5, "offset": -32.0, "nodata": 255.0, "undetect": 0.0, "zr_a": 200.0, "zr_b": 1.6}
+
+
+def reflectivity_to_rain(raw: Column, **attributes: float | Column) -> Column:
+    """Rain rate in mm/h from a stored radar value; no echo is 0, unknown is null.
+
+    ``attributes``: gain, offset, nodata, undetect, zr_a, zr_b, as numbers or as columns of the image.
+    """
+    unknown = set(attributes) - set(RADAR_USUAL)
+    if unknown:
+        raise TypeError(f"no such attribute: {sorted(unknown)}")
+    at = {k: v if isinstance(v, Column) else F.lit(float(v)) for k, v in (RADAR_USUAL | attributes).items()}
+    dbz = at["gain"] * raw + at["offset"]
+    rate = F.pow(F.pow(F.lit(10.0), dbz / 10.0) / at["zr_a"], 1.0 / at["zr_b"])
+    return (F.when(raw == at["nodata"], F.lit(None).cast("double"))
+            .when(raw == at["undetect"], F.lit(0.0))
             .when(rate < 0.05, F.lit(0.0))
             .otherwise(rate))
 
