@@ -8,10 +8,14 @@
    share a shingle among the first n - ceil(t n) + 1 of either. These prefixes meet in groups, hashed
    by shingle; rows travel as arrays per batch and group part. Groups of frequent shingles are dealt
    over several parts.
-3. In each group every document is paired with the group's leader (its smallest id), so a group of
-   thousands of copies makes thousands of pairs and not millions. Pairs are verified exactly.
+3. In each group every document is paired with the group's leader (the one with the fewest rarer
+   shingles before, likely what the others are copies of), so a group of thousands of copies makes
+   thousands of pairs and not millions. Pairs that share enough of their
+   prefixes are verified exactly: of two sets, one ends its prefix first, and with c shared shingles
+   in the prefixes at most c and the rest of that set can agree.
 4. Where a document does not link with a leader, that group is searched in full: all pairs across
-   components that pass the length and position bounds are verified as well, so no link is lost.
+   components that pass the length bound, and the position bound at their first shared shingle, are
+   verified as well, so no link is lost.
 5. Verification walks a prefix tree: the sets to compare with one document are laid out in global
    order, each branches off from the one before at their common prefix and takes over the overlap
    counted so far; a branch ends where the overlap so far and the rest's length cannot reach the
@@ -37,7 +41,7 @@ from .words import shingles, spread, text_slices, words
 
 WIDTH = 5
 BITS = 58
-SLOTS = 1 << 22
+SLOTS, BLOCK = 1 << 24, 1 << 18
 #: Least overlap as a share of the union, in hundredths.
 PERCENT = 75
 PART_ROWS = 1_000_000
@@ -63,44 +67,65 @@ def _digest(own: np.ndarray) -> tuple[int, int]:
 
 
 def sets_and_slots(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Rows of documents (doc_id, n, d1, d2) and, with ``slot`` set, of documents counted per slot (slot, n).
-
-    A task leaves out slots with few documents: they are not what the order is for.
-    """
+    """Rows of documents (doc_id, n, d1, d2) and, with ``block`` set, a task's counts of documents per slot, up to 255 each."""
 
     def run(batches):
-        slots, total = np.zeros(SLOTS, np.int32), 0
+        slots = np.zeros(SLOTS, np.uint8)
         for batch in batches:
             n, d1, d2 = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for row, own in _sets(batch.column(1), width):
                 n[row] = len(own)
                 if len(own):
                     d1[row], d2[row] = _digest(own)
-                    slots[(own & np.uint64(SLOTS - 1)).astype(np.int64)] += 1  # distinct in a set; two of one slot count once
-                    total += len(own)
-            yield (batch.column(0), n, d1, d2, pa.nulls(batch.num_rows, pa.int64()))
-        often = np.flatnonzero(slots > 4 + 2 * total // SLOTS)
-        yield (pa.nulls(len(often), pa.int64()), slots[often].astype(np.int64), np.zeros(len(often), np.int64), np.zeros(len(often), np.int64), often)
+                    at = (own & np.uint64(SLOTS - 1)).astype(np.int64)
+                    slots[at] += slots[at] < 255
+            yield (batch.column(0), n, d1, d2, pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary()))
+        if slots.any():
+            k, none = SLOTS // BLOCK, np.zeros(SLOTS // BLOCK, np.int64)
+            yield (pa.nulls(k, pa.int64()), none, none, none, np.arange(k, dtype=np.int32), [slots[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(k)])
 
-    return written(on_arrow(require(documents, "doc_id", "text"), run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, slot bigint"), "shingle-sets")
+    return written(on_arrow(require(documents, "doc_id", "text"), run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, block int, counts binary"), "shingle-sets")
 
 
 def levels(counted: DataFrame) -> np.ndarray:
-    """Level of each slot, 0 for the usual ones; SLOTS bytes, whatever the corpus."""
-    usual = counted.where("slot IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / SLOTS
+    """Level of each slot, 0 for the usual ones, then two for each doubling; SLOTS bytes, whatever the corpus."""
+    usual = counted.where("block IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / SLOTS
+
+    def run(batches):
+        now, total = None, np.zeros(BLOCK, np.int64)
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield ([now], [_level(total, usual).tobytes()])
+                    now, total = block, np.zeros(BLOCK, np.int64)
+                total += np.frombuffer(counts.as_buffer(), np.uint8)
+        if now is not None:
+            yield ([now], [_level(total, usual).tobytes()])
+
+    blocks = counted.where("block IS NOT NULL").select("block", "counts").repartition("block").sortWithinPartitions("block")
     out = np.zeros(SLOTS, np.uint8)
-    for slot, n in counted.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") > 8 + 4 * usual).toLocalIterator():
-        out[slot] = min(31, 1 + int(math.log2(n / (8 + 4 * usual))))
+    for block, level in on_arrow(blocks, run, "block int, level binary").toLocalIterator():
+        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(level, np.uint8)
     return out
 
 
+def _bound(usual: float) -> float:
+    return usual + 4 * math.sqrt(usual) + 2
+
+
+def _level(total: np.ndarray, usual: float) -> np.ndarray:
+    ratio = np.maximum(total / _bound(usual), 1e-9)
+    return np.where(ratio > 1, np.minimum(1 + 2 * np.log2(ratio), 31), 0).astype(np.uint8)
+
+
 def _keys(own: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The set in global order: level above the hash."""
     return np.sort(own | (level[(own & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(BITS)))
 
 
 def prefix_groups(documents: DataFrame, level, parts: int, usual: float, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Prefix rows of all documents in groups of two documents or more: token, doc_id, leader, n, place."""
+    """Prefix rows of all documents in groups of two documents or more: token, doc_id, leader, n, place, lead_n."""
 
     def send(batches):
         table = level.value
@@ -123,7 +148,7 @@ def prefix_groups(documents: DataFrame, level, parts: int, usual: float, width:
             part = (spread(token) % np.uint64(parts)).astype(np.int64)
             often = token >> np.uint64(BITS)
             if often.any():  # groups of frequent shingles: dealt by document over as many parts as their size asks for
-                deals = np.minimum(np.ceil((8 + 4 * usual) * np.exp2(often.astype(np.float64)) / PART_ROWS), parts).astype(np.int64)
+                deals = np.minimum(np.ceil(_bound(usual) * np.exp2(often.astype(np.float64) / 2) / PART_ROWS), parts).astype(np.int64)
                 part = (part + (spread(doc.astype(np.uint64)) % np.maximum(deals, 1).astype(np.uint64)).astype(np.int64)) % parts
             order = np.argsort(part, kind="stable")
             part, token, doc, n, place = part[order], token[order], doc[order], n[order], place[order]
@@ -135,19 +160,20 @@ def prefix_groups(documents: DataFrame, level, parts: int, usual: float, width:
     def meet(batches):
         for _, columns in _grouped(batches, 1):
             token, doc, n, place = (np.concatenate([np.frombuffer(x, kind) for x in col]) for col, kind in zip(columns, (np.uint64, np.int64, np.int32, np.int32), strict=True))
-            order = np.lexsort((doc, token))
+            # the leader: where the shingle comes earliest, so has the fewest rarer ones of its own before it
+            order = np.lexsort((doc, place, token))
             token, doc, n, place = token[order], doc[order], n[order], place[order]
             first = np.append(True, token[1:] != token[:-1])
             number = np.cumsum(first) - 1
             many = np.bincount(number)[number] > 1
-            leader = doc[np.flatnonzero(first)][number]
+            leader, lead_n = doc[np.flatnonzero(first)][number], n[np.flatnonzero(first)][number]
             at = np.flatnonzero(many)
             for k in range(0, len(at), 100_000):
                 x = at[k : k + 100_000]
-                yield (token[x].view(np.int64), doc[x], leader[x], n[x], place[x])
+                yield (token[x].view(np.int64), doc[x], leader[x], n[x], place[x], lead_n[x])
 
     sent = on_arrow(require(documents, "doc_id", "text"), send, "part bigint, token binary, doc binary, n binary, place binary")
-    return on_arrow(sent.repartition(parts, "part").sortWithinPartitions("part"), meet, "token bigint, doc_id bigint, leader bigint, n int, place int")
+    return on_arrow(sent.repartition(parts, "part").sortWithinPartitions("part"), meet, "token bigint, doc_id bigint, leader bigint, n int, place int, lead_n int")
 
 
 def _grouped(batches, keys: int):
@@ -179,16 +205,17 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, most: int
     rows = left.unionByName(right).repartition("a", "deal").sortWithinPartitions("a", "deal", "side", "keys", "b")
 
     def run(batches):
-        query, group, walk = None, None, None
+        group, walks = None, []
         for batch in batches:
             out_a, out_b, out = [], [], []
             for a, deal, side, b, keys in zip(*(batch.column(k) for k in range(5)), strict=True):
                 own = np.frombuffer(keys.as_buffer(), ">u8").astype(np.uint64)
                 if side.as_py() == 0:
-                    group, query = (a.as_py(), deal.as_py()), own
-                    walk = Branches(query, percent)
+                    if (a.as_py(), deal.as_py()) != group:
+                        group, walks = (a.as_py(), deal.as_py()), []
+                    walks.append(Branches(own, percent))
                 elif (a.as_py(), deal.as_py()) == group:
-                    out_a.append(group[0]), out_b.append(b.as_py()), out.append(walk.links(own))
+                    out_a.append(group[0]), out_b.append(b.as_py()), out.append(any([w.links(own) for w in walks]))
             yield (out_a, out_b, out)
 
     return on_arrow(rows, run, "a bigint, b bigint, inside boolean")
@@ -233,7 +260,13 @@ def _ordered_sets(documents: DataFrame, wanted: DataFrame, level, width: int) ->
             yield (batch.column(0), [len(k) // 8 for k in keys], keys)
 
     ids = F.broadcast(wanted) if wanted.count() <= 2_000_000 else wanted
-    return written(on_arrow(require(documents, "doc_id", "text").join(ids, "doc_id", "left_semi"), run, "doc_id bigint, n bigint, keys binary").dropDuplicates(["doc_id"]), "ordered-sets")
+    return written(on_arrow(require(documents, "doc_id", "text").join(ids, "doc_id", "left_semi"), run, "doc_id bigint, n bigint, keys binary"), "ordered-sets")
+
+
+def _may_link(n: F.Column, m: F.Column, shared: F.Column, percent: int) -> F.Column:
+    """Whether sets of n and m shingles with so many shared ones in their prefixes can link."""
+    need = F.ceil(F.lit(percent) * (n + m) / (100 + percent))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (shared + F.ceil(F.lit(percent) * F.greatest(n, m) / 100) - 1 >= need)
 
 
 def join(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -243,7 +276,7 @@ def join(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tu
     """
     spark = documents.sparkSession
     counted = sets_and_slots(documents, width)
-    listed = counted.where("slot IS NULL").drop("slot")
+    listed = counted.where("block IS NULL").select("doc_id", "n", "d1", "d2")
     standing = listed.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("standing"))
     classes = written(listed.join(standing, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "standing"), "classes")
     total = listed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -252,46 +285,57 @@ def join(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tu
     parts = partitions_for(rows, PART_ROWS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     groups = written(prefix_groups(documents, level, parts, total / SLOTS, width, percent), "prefix-groups")
     stand = classes.where("standing IS NOT NULL").select("doc_id", "standing").distinct()
-
-    def pairs_of(raw: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b), a < b, of the classes of two columns of ids."""
-        both = raw.distinct().join(stand.withColumnRenamed("doc_id", "x").withColumnRenamed("standing", "sx"), "x").join(stand.withColumnRenamed("doc_id", "y").withColumnRenamed("standing", "sy"), "y")
-        return both.where("sx <> sy").select(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b")).distinct()
-
+    led = groups.where("doc_id <> leader").groupBy(F.col("doc_id").alias("x"), F.col("leader").alias("y")).agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("lead_n").alias("m"))
     # groups dealt over several parts have a leader in each; these meet under the smallest
-    leaders = groups.select("token", "leader").distinct().groupBy("token").agg(F.min("leader").alias("top"), F.count("*").alias("k")).where("k > 1").select("token", "top")
-    tops = groups.select("token", "leader").distinct().join(leaders, "token")
-    first = written(pairs_of(groups.select(F.col("doc_id").alias("x"), F.col("leader").alias("y")).unionByName(tops.select(F.col("leader").alias("x"), F.col("top").alias("y")))), "pairs")
-    sets = _ordered_sets(documents, first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))).distinct(), level, width)
-    checked = written(verify(first, sets, percent), "verified")
+    heads = groups.select("token", "leader", "lead_n").distinct()
+    tops = heads.groupBy("token").agg(F.min(F.struct("leader", "lead_n")).alias("top"), F.count("*").alias("k")).where("k > 1").select("token", F.col("top.leader").alias("top"), F.col("top.lead_n").alias("top_n"))
+    tops = written(heads.join(tops, "token").where("leader <> top"), "part-leaders")
+    led = led.unionByName(tops.groupBy(F.col("leader").alias("x"), F.col("top").alias("y")).agg(F.count("*").alias("shared"), F.max("lead_n").alias("n"), F.max("top_n").alias("m")))
+    named = led.join(stand.select(F.col("doc_id").alias("x"), F.col("standing").alias("sx")), "x").join(stand.select(F.col("doc_id").alias("y"), F.col("standing").alias("sy")), "y").where("sx <> sy")
+    pairs = named.groupBy(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b")).agg(F.sum("shared").alias("shared"), F.max(F.greatest("n", "m")).alias("n"), F.min(F.least("n", "m")).alias("m"))
+    pairs = written(pairs.withColumn("near", _may_link(F.col("n"), F.col("m"), F.col("shared"), percent)), "pairs")
+    checked = _verified(documents, pairs.where("near").select("a", "b"), level, width, percent)
     links = checked.where("inside").select("a", "b")
-    failed = checked.where("NOT inside").select("a", "b")
+    failed = pairs.where("NOT near").select("a", "b").unionByName(checked.where("NOT inside").select("a", "b"))
     if failed.head(1):
-        links = links.unionByName(_rest(groups, tops, stand, links, failed, sets, pairs_of, percent))
+        more = _apart(groups, tops, stand, links, failed, checked, percent)
+        links = links.unionByName(_verified(documents, more, level, width, percent).where("inside").select("a", "b"))
     return classes, links
 
 
-def _rest(groups: DataFrame, tops: DataFrame, stand: DataFrame, links: DataFrame, failed: DataFrame, sets: DataFrame, pairs_of, percent: int) -> DataFrame:
-    """Links across components in the groups where a document did not link with its leader."""
-    named = groups.join(stand, "doc_id").select("token", "standing", "leader", "n", "place").join(stand.withColumnRenamed("doc_id", "leader").withColumnRenamed("standing", "lead"), "leader")
-    named = named.groupBy("token", "standing", "lead", "n", "place").agg(F.lit(1).alias("one"))
-    named = written(named.select("token", "standing", "lead", "n", "place"), "named-groups")
-    lost = failed.select(F.col("a"), F.col("b")).unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # a failed pair of leaders concerns all their groups' documents
-    orphans = named.join(lost.select(F.col("a").alias("standing"), F.col("b").alias("lead")), ["standing", "lead"], "left_semi")
-    apart = tops.join(stand.withColumnRenamed("doc_id", "leader").withColumnRenamed("standing", "a"), "leader").join(stand.withColumnRenamed("doc_id", "top").withColumnRenamed("standing", "b"), "top").join(lost, ["a", "b"], "left_semi").select("token", F.col("a").alias("lead"))
-    orphans = orphans.unionByName(named.join(apart.distinct(), ["token", "lead"], "left_semi")).distinct()
-    comp = written(components(links), "components")
-    label = lambda d: d.join(comp.withColumnRenamed("node", "standing"), "standing", "left").withColumn("c", F.coalesce("component", "standing")).drop("component", "lead")
-    left = label(orphans).select("token", *[F.col(c).alias(f"l_{c}") for c in ("standing", "n", "place", "c")])
-    right = label(named.join(orphans.select("token").distinct(), "token", "left_semi")).distinct().select("token", *[F.col(c).alias(f"r_{c}") for c in ("standing", "n", "place", "c")])
-    short, long = F.least("l_n", "r_n"), F.greatest("l_n", "r_n")
-    need = F.ceil(F.lit(percent) * (F.col("l_n") + F.col("r_n")) / (100 + percent))
-    within = (100 * short >= percent * long) & (1 + F.least(F.col("l_n") - F.col("l_place"), F.col("r_n") - F.col("r_place")) - 1 + F.least("l_place", "r_place") >= need)
-    tried = failed.select("a", "b")
-    more = left.join(right, "token").where((F.col("l_c") != F.col("r_c")) & within)
-    more = more.select(F.least("l_standing", "r_standing").alias("a"), F.greatest("l_standing", "r_standing").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return verify(written(more, "pairs"), sets, percent).where("inside").select("a", "b")
+def _verified(documents: DataFrame, pairs: DataFrame, level, width: int, percent: int) -> DataFrame:
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    return written(verify(pairs, _ordered_sets(documents, written(ends, "ends"), level, width), percent), "verified")
+
+
+def _apart(groups: DataFrame, tops: DataFrame, stand: DataFrame, links: DataFrame, failed: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) still to verify: across components, in the groups where a document did not link with its leader.
+
+    The first prefix shingle that two such documents share is in a group where one of the two lies apart
+    from the leader, so no pair is missed.
+    """
+    of = lambda name, other: stand.select(F.col("doc_id").alias(name), F.col("standing").alias(other))
+    comp = components(links)
+    label = of("doc_id", "standing").join(comp.withColumnRenamed("node", "standing"), "standing", "left").select("doc_id", "standing", F.coalesce("component", "standing").alias("c"))
+    label = written(label, "labels")
+    lost = failed.select(F.col("a").alias("s")).unionByName(failed.select(F.col("b").alias("s"))).distinct()
+    lost = written(label.join(lost, F.col("standing") == F.col("s"), "left_semi").select("doc_id").distinct(), "lost")
+    # groups that hold a document of a failed pair, and in them whether anyone is apart from the leader
+    tokens = groups.join(F.broadcast(lost) if lost.count() <= 2_000_000 else lost, "doc_id", "left_semi").select("token").distinct()
+    held = groups.join(tokens, "token", "left_semi").select("token", "doc_id", "leader", "n", "place")
+    held = held.join(label, "doc_id").join(label.select(F.col("doc_id").alias("leader"), F.col("c").alias("lead_c")), "leader")
+    held = held.groupBy("token", "standing", "c").agg(F.max("n").alias("n"), F.max("place").alias("place"), F.max(F.col("c") != F.col("lead_c")).alias("apart"))
+    split = tops.join(label.select(F.col("doc_id").alias("leader"), F.col("c").alias("c1")), "leader").join(label.select(F.col("doc_id").alias("top"), F.col("c").alias("c2")), "top").where("c1 <> c2").select("token").distinct().withColumn("split", F.lit(True))
+    held = written(held.join(split, "token", "left").withColumn("apart", F.col("apart") | F.coalesce("split", F.lit(False))).drop("split"), "held")
+    left = held.where("apart").select("token", F.col("standing").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("ix"))
+    right = held.select("token", F.col("standing").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("iy"), F.col("apart").alias("too"))
+    sizes = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    # at the first shingle two sets share, all they can share lies behind it on either side
+    first = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / (100 + percent))
+    # both apart: the pair comes once, from the smaller
+    met = left.join(right, "token").where((F.col("cx") != F.col("cy")) & sizes & first & (~F.col("too") | (F.col("x") < F.col("y"))))
+    more = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return written(more.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
 
 
 def classify(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

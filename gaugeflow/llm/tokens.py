@@ -39,7 +39,9 @@ class Encoder:
 
     def __init__(self, path: str, slots_log2: int = 20):
         import json
+        import os
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a worker: Spark runs a task on every core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
