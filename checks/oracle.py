@@ -328,8 +328,8 @@ FROM roll r JOIN chan c ON c.station_id=r.station_id AND c.minute=r.minute JOIN
 CTES["tab_train"] = "SELECT * FROM tab WHERE target_valid=1 AND minute<360"
 
 CTES["clim"] = """
-SELECT month, hour, sum(y*w)/sum(w) AS mean_amount, sum((y>0)::INT*w)/sum(w) AS wet_share, false AS overall FROM tab_train WHERE hour<>7 GROUP BY 1,2
-UNION ALL SELECT NULL, NULL, sum(y*w)/sum(w), sum((y>0)::INT*w)/sum(w), true FROM tab_train WHERE hour<>7"""
+SELECT month, hour, sum(y*w)/sum(w) AS mean_amount, sum((y>0)::INT*w)/sum(w) AS wet_share, false AS overall FROM tab_train GROUP BY 1,2
+UNION ALL SELECT NULL, NULL, sum(y*w)/sum(w), sum((y>0)::INT*w)/sum(w), true FROM tab_train"""
 
 CTES["fit_rows"] = """
 SELECT p.model, i.station_id, i.minute, y_true, rain_now, p_rain, y_hat FROM idx i JOIN preds p ON p.station_id=i.station_id AND p.minute=i.minute

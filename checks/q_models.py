@@ -40,7 +40,7 @@ def baseline_zero_persistence_ma(p):
 
 @query("climatology_table", "SELECT * FROM clim", dbl="mean_amount wet_share")
 def climatology_table(p):
-    return baselines.climatology_table(tab_train(p).where("hour <> 7"))
+    return baselines.climatology_table(tab_train(p))
 
 
 LOOKUP = """SELECT t.station_id, t.minute, coalesce(c.mean_amount,o.mean_amount) AS mean_amount, coalesce(c.wet_share,o.wet_share) AS wet_share

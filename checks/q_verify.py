@@ -284,9 +284,9 @@ def scenario_attenuation(p):
     return links.with_attenuation(rainy(p), p.stations.select("station_id", F.col("lat").alias("lat_deg")), ["station_id"], {"db": "target"}).select("station_id", "minute", "scenario", "db")
 
 
-@query("station_latitude_lookup", "SELECT model, quantile_cont(coalesce(lat,56.0::DOUBLE),0.5) AS lat_deg FROM scored c LEFT JOIN (SELECT * FROM stations WHERE station_id<>'00001') s ON s.station_id=c.station_id GROUP BY 1", dbl="lat_deg")
+@query("station_latitude_lookup", "SELECT model, quantile_cont(coalesce(lat,56.0::DOUBLE),0.5) AS lat_deg FROM scored c LEFT JOIN stations s ON s.station_id=c.station_id GROUP BY 1", dbl="lat_deg")
 def station_latitude_lookup(p):
-    return links.station_latitude_lookup(p.scored, p.stations.where("station_id <> '00001'"), ["model"])
+    return links.station_latitude_lookup(p.scored, p.stations, ["model"])
 
 
 @query("scenario_reference_table", f"SELECT station_id, scenario, f AS f_ghz, pol, k, alpha, {_att('10.0::DOUBLE', 'lat')} AS a_db_at_10mmh, {_att('50.0::DOUBLE', 'lat')} AS a_db_at_50mmh FROM stations, ({_scenarios_sql()})",

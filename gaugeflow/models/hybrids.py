@@ -50,7 +50,7 @@ def regime_choice(fit: DataFrame, score: str = "p_rain") -> DataFrame:
     thr = tune_threshold(dry, ["model"], F.coalesce(score, F.lit(0.0)), F.col("y_true") > 0)
     obs, fc = F.col("y_true") > 0, F.coalesce(score, F.lit(0.0)) >= F.col("threshold")
     n = lambda c: F.count(F.when(c, 1))
-    csi = dry.join(thr, "model").groupBy("model").agg(ratio(n(obs & fc), n(obs | fc)).alias("csi"))
+    csi = dry.join(F.broadcast(thr), "model").groupBy("model").agg(ratio(n(obs & fc), n(obs | fc)).alias("csi"))
     e = F.col("y_hat") - F.col("y_true")
     rmse = fit.where("rain_now > 0").groupBy("model").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
     both = csi.join(rmse, "model", "full")
@@ -68,12 +68,13 @@ def regime_switch(rows: DataFrame, choice: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------------------- stack
 def wide_rows(rows: DataFrame, models: list[str]) -> DataFrame:
-    aggs = [F.max("y_true").alias("y_true"), F.max("rain_now").alias("rain_now")]
+    """One row per station and minute that every model predicts, with the models' columns in order."""
+    aggs = [F.count_distinct(F.when(F.col("model").isin(models), F.col("model"))).alias("models_"), F.max("y_true").alias("y_true"), F.max("rain_now").alias("rain_now")]
     for i, m in enumerate(models):
         here = F.col("model") == m
         aggs += [F.coalesce(F.max(F.when(here, F.col("p_rain"))), F.lit(0.0)).alias(f"p{i}"),
                  F.coalesce(F.max(F.when(here, F.col("y_hat"))), F.lit(0.0)).alias(f"y{i}")]
-    return rows.groupBy(*KEYS).agg(*aggs)
+    return rows.groupBy(*KEYS).agg(*aggs).where(F.col("models_") == len(models)).drop("models_")
 
 
 def gram(wide: DataFrame, k: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.names import TRANSFER_PREFIX
 from ..functions.rain import hash01
 from ..operators.verify import ratio, tune_threshold
+from ..session import materialise
 from .fitted import BoostedHurdle, assemble
 
 log = logging.getLogger(__name__)
@@ -22,37 +24,43 @@ def fit_predict_loop(models: Iterable, train: DataFrame, val: DataFrame, splits:
                      sink: Callable[[str, str, DataFrame], None] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
     """Fit each model, predict every split; a failing model is recorded and never stops the rest.
 
-    ``transfer`` splits (another benchmark) are predicted under the transfer prefix. With a ``sink``
-    each prediction is written as it is made, without one the union is returned.
+    ``transfer`` splits (another benchmark) are predicted under the transfer prefix. Every prediction is
+    written to the shared folder inside its model's ``try``; a model that fails on any split has none.
+    The union of the written ones is returned, or None if there are none; a ``sink`` also gets each.
     """
-    out, failed = None, {}
+    out: list[DataFrame] = []
+    failed: dict[str, str] = {}
     for model in models:
+        made: list[DataFrame] = []
         try:
             fitted = model.fit(train, val)
             jobs = [(fitted.name, s, df) for s, df in splits.items()]
             jobs += [(TRANSFER_PREFIX + fitted.name, s, df) for s, df in (transfer or {}).items()]
             for name, split, df in jobs:
                 pred = fitted.predict(df).select(F.lit(name).alias("model"), F.lit(split).alias("split"), "station_id", "minute", "p_rain", "y_hat", "q90")
+                pred = materialise(pred, "forecast")  # a failure at run time shows here, inside the try
                 if sink is not None:
                     sink(name, split, pred)
-                out = pred if out is None else out.unionByName(pred)
+                made.append(pred)
+            out += made
         except Exception as err:  # one model must not stop the others
             log.warning("model %s failed: %s", getattr(model, "name", model), err)
             failed[str(getattr(model, "name", model))] = str(err)
-    return out, failed
+    return reduce(DataFrame.unionByName, out) if out else None, failed
 
 
-def importance_by_regime(model: BoostedHurdle, rows: DataFrame, per_class: int = 100_000, buckets: int = 64, seed: int = 0) -> DataFrame:
+def importance_by_regime(model: BoostedHurdle, rows: DataFrame, bucket_rows: int = 20_000, seed: int = 0) -> DataFrame:
     """Permutation importance of the rain classifier for all, dry-now and wet-now rows.
 
-    Wet and dry rows enter in equal numbers. Every row borrows one input at a time from another row
-    of its hash bucket; the rise of the log loss is the importance. All inputs are scored in one job.
+    All rows count; wet and dry ones have equal weight in total. Every row borrows one input at a time
+    from another row of its hash bucket (about ``bucket_rows`` rows, so the buckets grow in number with
+    the table); the rise of the weighted log loss is the importance. All inputs are scored in one job.
     """
     wet = F.col("y") > 0
-    h = hash01(F.col("station_id"), F.col("minute"), F.lit(seed))
-    counts = rows.groupBy(wet.alias("wet_")).agg(F.count(F.lit(1)).alias("n_"))
-    picked = rows.withColumn("wet_", wet).join(counts, "wet_").where(h * F.col("n_") < per_class)
-    data = assemble(picked, model.names).select("station_id", "minute", "rain_now", wet.alias("wet"), vector_to_array("features").alias("x"))
+    n_wet, n = rows.agg(F.count(F.when(wet, 1)), F.count(F.lit(1))).first()
+    buckets, n_dry = max(1, -(-n // bucket_rows)), n - n_wet
+    data = assemble(rows, model.names).select("station_id", "minute", "rain_now", wet.alias("wet"), vector_to_array("features").alias("x"))
+    data = materialise(data.withColumn("weight_", F.when(F.col("wet"), 1.0 / max(n_wet, 1)).otherwise(1.0 / max(n_dry, 1))), "importance-rows")
     bucket = F.floor(hash01(F.col("station_id"), F.col("minute"), F.lit(seed + 1)) * buckets).cast("int")
     data = data.withColumn("b", bucket)
     rank = lambda s: F.row_number().over(Window.partitionBy("b").orderBy(hash01(F.col("station_id"), F.col("minute"), F.lit(s)), "station_id", "minute"))
@@ -64,7 +72,7 @@ def importance_by_regime(model: BoostedHurdle, rows: DataFrame, per_class: int =
     p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-12)), F.lit(1 - 1e-12))
     scored = scored.withColumn("loss", -F.ln(F.when(F.col("wet"), p).otherwise(1 - p)))
     regimes = F.array(F.lit("all"), F.when(F.col("rain_now") > 0, "wet_now").otherwise("dry_now"))
-    loss = scored.withColumn("regime", F.explode(regimes)).groupBy("regime", "f").agg(F.avg("loss").alias("loss"))
+    loss = scored.withColumn("regime", F.explode(regimes)).groupBy("regime", "f").agg((F.sum(F.col("loss") * F.col("weight_")) / F.sum("weight_")).alias("loss"))
     base = loss.where("f = -1").select("regime", F.col("loss").alias("base_"))
     names = F.array(*[F.lit(n) for n in model.names])
     out = loss.where("f >= 0").join(base, "regime").select("regime", F.element_at(names, F.col("f") + 1).alias("feature"),

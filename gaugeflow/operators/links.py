@@ -21,8 +21,11 @@ def station_latitude_lookup(df: DataFrame, stations: DataFrame, by: list[str], p
 
 
 def with_attenuation(df: DataFrame, lat: DataFrame, by: list[str], values: dict[str, str], p: LinkParams = LinkParams()) -> DataFrame:
-    """One row per input row and scenario, with the attenuation of each named amount."""
-    out = df.join(lat, by).withColumn("s_", F.explode(scenario_array(p.scenarios)))
+    """One row per input row and scenario, with the attenuation of each named amount.
+
+    ``lat`` has one row per group (a model or a station), so it is sent along; the rows stay where they are.
+    """
+    out = df.join(F.broadcast(lat), by).withColumn("s_", F.explode(scenario_array(p.scenarios)))
     cols = {name: scenario_attenuation(F.col(src), F.col("s_"), F.col("lat_deg"), p.rain_height_km) for name, src in values.items()}
     return out.withColumns({**cols, "scenario": F.col("s_")["scenario"]}).drop("s_")
 

@@ -160,13 +160,14 @@ def ranked_scores(df: DataFrame, by: list[str], score: Column, event: Column, bu
     """Distinct scores per group with their counts and the counts below them.
 
     Bucket edges come from a mergeable quantile sketch of the distinct scores, so every bucket is
-    ranked by its own task whatever the distribution; bucket totals give the offsets.
+    ranked by its own task whatever the distribution; bucket totals give the offsets. The edges, one
+    row per group (a model or the like), are sent along instead of shuffling scores by group.
     """
     rows = df.select(*by, score.cast("double").alias("score"), event.alias("event_")).where("score is not null")
     seen = rows.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("event_").cast("long")).alias("pos"))
     cuts = [i / buckets for i in range(1, buckets)]
     edges = seen.groupBy(*by).agg(F.percentile_approx("score", cuts, 10 * buckets).alias("edges_"))
-    seen = seen.join(edges, by).withColumn("bucket_", F.size(F.filter("edges_", lambda e: e < F.col("score")))).drop("edges_")
+    seen = seen.join(F.broadcast(edges), by).withColumn("bucket_", F.size(F.filter("edges_", lambda e: e < F.col("score")))).drop("edges_")
     totals = seen.groupBy(*by, "bucket_").agg(F.sum("n").alias("bn_"), F.sum("pos").alias("bp_"))
     before = Window.partitionBy(*by).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*by)

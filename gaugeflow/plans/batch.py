@@ -33,7 +33,6 @@ class Benchmark:
     features: FeatureParams = FeatureParams()
     sampling: SampleParams = SampleParams()
     evaluation: EvalParams = EvalParams()
-    max_train_rows: int = 30_000_000
 
     # ------------------------------------------------------------------ data
     def truth_table(self, readings: DataFrame) -> DataFrame:
@@ -46,7 +45,8 @@ class Benchmark:
             # tips depend on reported values alone, so they are formed before gaps become rows
             clean = truth.tip_harmonise(clean, "precip_past1min", self.truth.tip_mm, self.slices)
             clean = clean.withColumn("precip_past10min", truth.whole_tips(F.col("precip_past10min"), self.truth.tip_mm))
-        grid = truth.place_on_grid(clean, self.slices.chunk, self.truth, shared=True)
+        # each station on its own span: quality and density must not count minutes before or after it
+        grid = truth.place_on_grid(clean, self.slices.chunk, self.truth)
         return materialise(truth.validate_truth(grid, self.truth, self.slices, target=True), "truth")
 
     def gated(self, truth_table: DataFrame, year=None) -> DataFrame:
@@ -76,9 +76,10 @@ class Benchmark:
 
     # ------------------------------------------------------------------ models and scores
     def forecasts(self, train: DataFrame, val: DataFrame, test: DataFrame, models: Iterable) -> tuple[DataFrame, dict[str, str]]:
-        fit_rows = splits.uniform_row_cap(train.where("w > 0"), self.max_train_rows, seed=self.sampling.seed)
-        preds, failed = fit_predict_loop(models, fit_rows, val.where("w > 0"), {"val": val, "test": test})
-        return materialise(preds, "forecasts"), failed
+        preds, failed = fit_predict_loop(models, train.where("w > 0"), val.where("w > 0"), {"val": val, "test": test})
+        if preds is None:
+            raise RuntimeError(f"no model could be fitted: {failed}")
+        return preds, failed
 
     def index(self, table: DataFrame) -> DataFrame:
         return table.select("station_id", "minute", F.col("y").alias("y_true"), "rain_now", self.clock.day_number(F.col("minute")).alias("day"))

@@ -1,7 +1,7 @@
 """Many small delimited files whose columns differ from file to file.
 
-A fixed CSV schema matches by position, so files with other column sets would be misread. Lines
-are read as text instead; each file's header (one row per file) is joined back on the path and
+A fixed CSV schema matches by position, so files with other column sets would be misread. Each
+file's header (one row per file) is joined back on the path, lines go through Spark's CSV parser and
 values are picked by name.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import normalize_station_id
 from ..functions.rain import not_nan
+from ..session import materialise
 
 READING_COLUMNS = ("precip_past1min", "precip_past10min", "temp_dry", "humidity", "wind_speed", "wind_dir", "cloud_cover")
 
@@ -19,24 +20,41 @@ READING_COLUMNS = ("precip_past1min", "precip_past10min", "temp_dry", "humidity"
 METRIC_COLUMNS = ("precision", "recall", "f1", "pr_auc", "csi", "pod", "far")
 
 
-def _cells(line: Column) -> Column:
-    return F.transform(F.split(line, ",", -1), lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', "")))
+def _lines(spark: SparkSession, path: str | list[str], recursive: bool) -> DataFrame:
+    """Lines with ``file``, ``size`` and ``seq``: path, byte offset of the read block, then the order inside the block."""
+    lines = (spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path)
+             .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+                     F.col("_metadata.file_block_start").alias("at_")).withColumn("id_", F.monotonically_increasing_id())
+             .where(F.length(F.trim("value")) > 0))
+    return lines.withColumn("seq", F.struct("file", "at_", "id_")).drop("at_", "id_")
+
+
+def _cells(line: str, width: int) -> Column:
+    """Values of a line as Spark's CSV parser reads them: quotes hold commas together."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    row = F.from_csv(line, schema, {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    return F.array(*[F.trim(row[f"c{i}"]) for i in range(width)])
 
 
-def read_named_lines(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
+def read_headers(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
+    """One row per file, data or not: ``file``, ``size``, ``head_`` (its place), ``names``."""
+    heads = (_lines(spark, path, recursive).where(F.col("seq.at_") == 0).groupBy("file", "size")
+             .agg(F.min("seq").alias("head_"), F.min_by("value", "seq").alias("h_")))
+    heads = materialise(heads, "headers")  # a row per file: scanned once for the widest header and for the join
+    width = heads.agg(F.max(F.size(F.split("h_", ",")))).first()[0] or 1
+    return heads.select("file", "size", "head_", F.filter(_cells("h_", width), lambda c: c.isNotNull()).alias("names"), F.lit(width).alias("width_"))
+
+
+def read_named_lines(spark: SparkSession, path: str | list[str], recursive: bool = False, heads: DataFrame | None = None) -> DataFrame:
     """Lines with ``file``, ``size``, ``seq`` (place in the file), ``names`` and ``cells``.
 
-    ``seq`` orders rows as they stand in the files: path, byte offset of the read block, then the
-    order inside the block, whatever partitions the blocks land in.
+    Rows stand in ``seq`` as they do in the files, whatever partitions the blocks land in. The
+    headers, one row per file, are joined back on the path; a file may be read by many tasks.
     """
-    lines = (spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path)
-             .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
-                     F.col("_metadata.file_block_start").alias("at_")).withColumn("id_", F.monotonically_increasing_id())
-             .where(F.length(F.trim("value")) > 0)
-             .withColumn("seq", F.struct("file", "at_", "id_")).drop("at_", "id_"))
-    heads = lines.where(F.col("seq.at_") == 0).groupBy("file").agg(F.min("seq").alias("head_"), F.min_by("value", "seq").alias("h_"))
-    return (lines.join(heads, "file").where(F.col("seq") > F.col("head_"))
-            .select("file", "size", "seq", _cells(F.col("h_")).alias("names"), _cells(F.col("value")).alias("cells")))
+    heads = read_headers(spark, path, recursive) if heads is None else heads
+    first = heads.select("width_").first()
+    lines = _lines(spark, path, recursive).join(heads.select("file", "head_", "names"), "file").where(F.col("seq") > F.col("head_"))
+    return lines.select("file", "size", "seq", "names", _cells("value", first["width_"] if first else 1).alias("cells"))
 
 
 def named(name: str) -> Column:
@@ -80,22 +98,28 @@ def read_dense_overlap(spark: SparkSession, path: str) -> DataFrame:
 
 
 def source_manifest(spark: SparkSession, path: str, overlap_path: str | None = None) -> DataFrame:
-    """Per station file: size, columns, first and last time in file order, rows, overlap files."""
-    lines = read_named_lines(spark, path)
-    out = lines.groupBy(station_from_name(F.col("file")).alias("station_id")).agg(
+    """Per station file: size, columns, first and last time in file order, rows, overlap files. Files of a header alone have no rows."""
+    heads = read_headers(spark, path)
+    data = read_named_lines(spark, path, heads=heads).groupBy("file").agg(
+        F.min_by(named("time"), "seq").alias("first"), F.max_by(named("time"), "seq").alias("last"), F.count(F.lit(1)).alias("n_"), F.min("seq").alias("from_"), F.max("seq").alias("to_"))
+    both = heads.join(data, "file", "left")
+    out = both.groupBy(station_from_name(F.col("file")).alias("station_id")).agg(
         (F.max("size") / 1e6).alias("size_mb"), F.max(F.array_join(F.slice("names", F.lit(2), F.size("names")), "|")).alias("columns"),
         F.bool_or(F.array_contains("names", "precip_past1min")).alias("has_1min"),
-        F.min_by(named("time"), "seq").alias("first"), F.max_by(named("time"), "seq").alias("last"), F.count(F.lit(1)).alias("rows"))
+        F.min_by("first", "from_").alias("first"), F.max_by("last", "to_").alias("last"), F.coalesce(F.sum("n_"), F.lit(0)).alias("rows"))
     if overlap_path is None:
         return out.withColumn("overlap_files", F.lit(0).cast("long"))
-    files = read_named_lines(spark, overlap_path, True)
+    files = read_headers(spark, overlap_path, True)
     n = files.groupBy(station_from_folder(F.col("file")).alias("station_id")).agg(F.count_distinct("file").alias("overlap_files"))
     return out.join(n, "station_id", "left").withColumn("overlap_files", F.coalesce("overlap_files", F.lit(0)))
 
 
 def published_metric_summary(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Per metrics file: mean of each known column it has, and its row count."""
-    lines = read_named_lines(spark, path)
-    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), number(c).alias("v"), F.array_contains("names", c).alias("has")) for c in METRIC_COLUMNS])
-    return (lines.select(F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), F.explode(pairs).alias("p")).where("p.has")
-            .groupBy("file", "p.metric").agg(F.avg("p.v").alias("mean"), F.count(F.lit(1)).alias("rows")))
+    """Per metrics file: mean of each known column it has, and its row count; a file of a header alone has null means."""
+    heads = read_headers(spark, path)
+    name = F.regexp_extract("file", r"([^/]+)$", 1).alias("file")
+    listed = heads.select("file", F.explode(F.array_intersect(F.array(*map(F.lit, METRIC_COLUMNS)), "names")).alias("metric"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), number(c).alias("v")) for c in METRIC_COLUMNS])
+    values = (read_named_lines(spark, path, heads=heads).select("file", F.explode(pairs).alias("p"))
+              .groupBy("file", "p.metric").agg(F.avg("p.v").alias("mean"), F.count(F.lit(1)).alias("rows")))
+    return listed.join(values, ["file", "metric"], "left").select(name, "metric", "mean", F.coalesce("rows", F.lit(0)).alias("rows"))

@@ -104,3 +104,17 @@ def test_watermarked_dedup(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("resent").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("resent").count() == 2
+
+
+def test_quoted_commas_and_headers_alone(spark, tmp_path):
+    (tmp_path / "00001_a.csv").write_text('time,"wind, dir",precip_past1min\n2024-01-01T00:00:00Z,"1,5",0.3\n"2024-01-01T00:01:00Z",2,0.4\n')
+    (tmp_path / "00002_b.csv").write_text("time,precip_past10min\n")
+    rows = {str(r["time"])[-8:-3]: r["precip_past1min"] for r in text_tables.read_station_csv(spark, str(tmp_path)).collect()}
+    assert rows == {"00:00": 0.3, "00:01": 0.4}
+    seen = {r["station_id"]: (r["rows"], r["columns"], r["first"]) for r in text_tables.source_manifest(spark, str(tmp_path)).collect()}
+    assert seen["00001"][0] == 2 and seen["00002"] == (0, "precip_past10min", None)
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "x.csv").write_text("model,csi,far\na,0.5,0.1\nb,0.7,\n")
+    (tmp_path / "m" / "y.csv").write_text("model,csi\n")
+    got = {(r["file"], r["metric"]): (r["mean"], r["rows"]) for r in text_tables.published_metric_summary(spark, str(tmp_path / "m")).collect()}
+    assert got == {("x.csv", "csi"): (0.6, 2), ("x.csv", "far"): (0.1, 2), ("y.csv", "csi"): (None, 0)}
