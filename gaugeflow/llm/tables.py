@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,13 +50,25 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def _returning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each, memory that the C allocator holds free goes back to the system (glibc only).
+
+    Freed arrays otherwise stay with a worker that Spark keeps for the next tasks.
+    """
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for batch in batches:
+        yield batch
+        if trim is not None:
+            trim(0)
+
+
 def on_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` whose results may be lists of columns in the order of ``schema``."""
     small_batches(df.sparkSession)
     kinds = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in T._parse_datatype_string(schema).fields])
 
     def run(batches):
-        for out in fn(batches):
+        for out in fn(_returning(batches)):
             if isinstance(out, pa.RecordBatch):
                 yield out
             else:
