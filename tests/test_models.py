@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeflow.models import baselines, fitted, hybrids, sequential
+from gaugeflow.models import baselines, fitted, hybrids, loop, sequential
 from gaugeflow.operators import radar, sequences
 from gaugeflow.operators.halo import Slices
 from gaugeflow.params import RadarParams
@@ -170,3 +170,44 @@ def test_only_wanted_sequences_are_built(spark):
     got = sequences.sequence_windows(df, ["rain_rt"], 5, Slices(8), F.col("w") == 0, ("w",)).collect()
     assert sorted(r["minute"] for r in got) == [7, 14, 21, 28, 35]
     assert all([v[0] for v in r["x"]] == [float(i) for i in range(r["minute"] - 4, r["minute"] + 1)] and r["w"] == 0 for r in got)
+
+
+def test_image_attributes_count(spark):
+    im = spark.createDataFrame([(1, "s", 0, [100, 7, 9], 1.0, -60.0, 7.0, 9.0), (2, "s", 0, [100, 255, 0], None, None, None, None)],
+                               "scan long, site string, geom_id int, raw array<int>, gain double, offset double, nodata double, undetect double")
+    out = {(r["scan"], r["pixel"]): r["rain"] for r in radar.image_pixels(im).collect()}
+    assert abs(out[1, 0] - (10 ** (40 / 10) / 200) ** (1 / 1.6)) < 1e-9 and out[1, 1] is None and out[1, 2] == 0
+    assert abs(out[2, 0] - (10 ** (18 / 10) / 200) ** (1 / 1.6)) < 1e-9 and out[2, 1] is None and out[2, 2] == 0
+
+
+def test_composite_is_the_same_at_any_map_size(spark):
+    cells = [("a", 0, 0, 0, 0, 1.0), ("a", 0, 0, 1, 1, 1.0), ("b", 0, 0, 1, 0, 0.5), ("b", 0, 1, 1, 1, 2.0), ("a", 0, 1, 0, 3, 1.0)]
+    grid = spark.createDataFrame(cells, "site string, geom_id int, row long, col long, pixel int, dist_km double")
+    im = spark.createDataFrame([(1, "a", 0, [100, 120, 0]), (1, "b", 0, [255, 90]), (2, "a", 0, [0, 1]), (2, "b", 0, [110, 100])], "scan long, site string, geom_id int, raw array<int>")
+    sets = [sorted(map(tuple, d.select("scan", "row", "col", "rain").collect())) for d in (
+        radar.composite_from_images(im, grid), radar.composite_from_images(im, grid, most=0), radar.nearest_site_composite(radar.image_pixels(im), grid))]
+    assert sets[0] == sets[1] == sets[2] and len(sets[0]) == 6
+    shape = spark.createDataFrame([("a", 0, 3, 1), ("b", 0, 2, 1)], "site string, geom_id int, nx int, ny int")
+    assert {r["scan"] for r in radar.composite_from_images(im, grid, shape).where("col = 0").collect()} == {1}
+
+
+def test_a_failing_model_does_not_stop_the_others(spark):
+    class Good:
+        name = "good"
+
+        def fit(self, train, val):
+            return self
+
+        def predict(self, df):
+            return df.selectExpr("station_id", "minute", "1D AS p_rain", "0D AS y_hat", "CAST(NULL AS DOUBLE) AS q90")
+
+    class Bad(Good):
+        name = "bad"
+
+        def predict(self, df):  # fails when it runs, not when it is planned
+            return df.selectExpr("station_id", "minute", "CAST(raise_error('no') AS DOUBLE) AS p_rain", "0D AS y_hat", "CAST(NULL AS DOUBLE) AS q90")
+
+    rows = spark.createDataFrame([("1", 5)], "station_id string, minute long")
+    preds, failed = loop.fit_predict_loop([Bad(), Good()], rows, rows, {"test": rows})
+    assert [r["model"] for r in preds.collect()] == ["good"] and list(failed) == ["bad"]
+    assert loop.fit_predict_loop([Bad()], rows, rows, {"test": rows})[0] is None
