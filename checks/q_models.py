@@ -103,8 +103,9 @@ def linear_filter_forecast(p):
 
 @query("filter_likelihood_search")
 def filter_likelihood_search(p):
-    blocks = rain_weighted(p)
-    best = sequential.filter_likelihood_search(blocks, "kalman_ll", rounds=2)
+    rows = z_rows(p).join(p.own_channels.select("station_id", "minute", "rain_rt"), ["station_id", "minute"]).withColumn("part", F.lit("train"))
+    blocks = sequential.rain_weighted_blocks(rows, None, 168, 24)
+    best = sequential.filter_likelihood_search(blocks, "kalman_ll")
     return blocks.agg(F.count(F.lit(1)).alias("blocks")).withColumns({"loss": F.lit(best["loss"]), "log_q": F.lit(best["theta"][0]), "log_r": F.lit(best["theta"][1])})
 
 

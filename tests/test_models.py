@@ -211,3 +211,14 @@ def test_a_failing_model_does_not_stop_the_others(spark):
     preds, failed = loop.fit_predict_loop([Bad(), Good()], rows, rows, {"test": rows})
     assert [r["model"] for r in preds.collect()] == ["good"] and list(failed) == ["bad"]
     assert loop.fit_predict_loop([Bad()], rows, rows, {"test": rows})[0] is None
+
+
+@pytest.mark.parametrize("n", [1, 31, 32, 33, 200])
+def test_filter_runs_equal_the_loop(n):
+    rng = np.random.default_rng(n)
+    f = sequential.LinearFilter([[1.0, 0.8], [0.0, 0.8]], [0.4, 0.1], [1.0, 0.0])
+    push, x, want = rng.normal(size=(n, 2)), np.array([0.5, -0.2]), []
+    for p in push:
+        x = f.f @ x + p
+        want.append(x)
+    assert np.allclose(f.states(push, np.array([0.5, -0.2])), want, atol=1e-10)
