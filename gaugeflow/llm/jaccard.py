@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import on_arrow, partitions_for, require, written
+from .tables import leave_out, on_arrow, partitions_for, require, written
 from .words import shingles, spread, text_slices, words
 
 WIDTH = 5
@@ -347,5 +347,5 @@ def classify(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
 
 def keep_first(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the smallest id, with all its columns; documents without words or id stay."""
-    kept = written(classify(documents, width, percent).where("doc_id IS NULL OR component_id = doc_id").select(F.col("doc_id").alias("__doc")).distinct(), "first")
-    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["__doc"]), "left_semi")
+    later = classify(documents, width, percent).where("doc_id IS NOT NULL AND component_id <> doc_id")
+    return leave_out(documents, written(later.select("doc_id").distinct(), "later"))

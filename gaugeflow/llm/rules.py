@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import require, written
+from .tables import leave_out, require, written
 
 SPACE = r"\x09-\x0D\x20"
 
@@ -149,5 +149,5 @@ def judge(documents: DataFrame, rules: tuple[Rule, ...] = RULES, least_words: in
 
 def keep_good(documents: DataFrame, **options) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns. Rows of one id are kept or dropped together."""
-    verdict = written(judge(documents, **options).groupBy("doc_id").agg(F.min("kept").alias("kept")).where("kept"), "kept").select(F.col("doc_id").alias("__doc"))
-    return documents.join(verdict, documents["doc_id"].eqNullSafe(verdict["__doc"]), "left_semi")
+    rejected = judge(documents, **options).groupBy("doc_id").agg(F.min("kept").alias("kept")).where("NOT kept")
+    return leave_out(documents, written(rejected.select("doc_id"), "rejected"))

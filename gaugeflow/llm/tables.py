@@ -16,7 +16,7 @@ from ..session import shared_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-__all__ = ["shared_dir", "new_folder", "written", "table", "on_arrow", "small_batches", "require", "partitions_for"]
+__all__ = ["shared_dir", "new_folder", "written", "table", "on_arrow", "small_batches", "require", "leave_out", "partitions_for"]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -86,6 +86,13 @@ def _arrow(kind: T.DataType) -> pa.DataType:
         {"bigint": "long", "int": "integer", "smallint": "short"}.get(kind.simpleString(), kind.simpleString())]
 
 
+def leave_out(documents: DataFrame, ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """The documents whose doc_id is not among ``ids``. Up to ``most`` ids (16 MB) are broadcast, so the texts stay where they are."""
+    ids = ids.select(F.col("doc_id").alias("__doc"))
+    ids = F.broadcast(ids) if ids.count() <= most else ids
+    return documents.join(ids, documents["doc_id"].eqNullSafe(ids["__doc"]), "left_anti")
+
+
 def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
     """Partitions so that none gets more than ``per_partition`` rows of evenly spread keys."""
     return max(least, -(-int(rows) // per_partition))
