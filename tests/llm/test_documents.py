@@ -285,6 +285,24 @@ def test_passages_find_every_exact_repeat(spark):
                 assert set(range(i, i + 51)) <= covered.get(k, set())
 
 
+def test_passages_of_frequent_lines(spark):
+    """Two documents share a passage whose lines all occur singly before: in one document, in many and in the source itself."""
+    lines = [prose(700 + k, 12) for k in range(6)]
+    passage = " ".join(lines)
+    pieces = [" ".join(passage.split()[a : a + 24]) for a in range(0, 60, 6)]
+    first = [(k, f"{prose(800 + k, 70)} {x} {prose(900 + k, 70)}") for k, x in enumerate(pieces)]
+    turned = [(20, " ".join(f"{x} {prose(850 + k, 40)}" for k, x in enumerate(lines[::-1])))]
+    for earlier in (first, turned, first + turned):
+        later = [(30, f"{lines[3]} {prose(1, 80)} {passage} {prose(2, 40)}"), (31, f"{prose(3, 55)} {passage} {prose(4, 90)}"), (32, f"{passage} {prose(5, 60)}")]
+        for n in (1, 6):
+            docs = spark.createDataFrame(earlier + later, "doc_id bigint, text string").repartition(n)
+            covered = {}
+            for r in substring.passages(docs).collect():
+                assert r.source_doc_id < r.doc_id
+                covered.setdefault(r.doc_id, set()).update(range(r.first_word, r.end_word))
+            assert set(range(55, 127)) <= covered[31] and set(range(72)) <= covered[32] and 30 not in covered
+
+
 def test_shards(spark, odd, empty):
     hot = [(i, "the same text over and over") for i in range(3000)] + [(10_000 + i, prose(i, 5 + i % 90)) for i in range(6000)]
     docs = spark.createDataFrame(hot, "doc_id bigint, text string").repartition(7)
