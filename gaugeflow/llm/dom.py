@@ -16,8 +16,8 @@ is counts ``REAL`` times.
 Text: character references are decoded; white space inside a block becomes one space; blocks are
 trimmed and joined by one line end. A line break element is white space.
 
-Nulls: null or empty html has the empty text; null ids and urls are kept. Broken markup is read as
-far as it goes. Repeated pages are treated one by one; an empty table gives no rows. Other columns
+Nulls: null or empty html has the empty text; null ids and urls are kept. Broken markup is read to
+its end; a declaration that is none is a comment up to the next ``>``. Repeated pages are treated one by one; an empty table gives no rows. Other columns
 are ignored.
 """
 
@@ -62,6 +62,12 @@ _TAG = {t: k for k, ts in enumerate(TAGS.values()) for t in ts.split()}
 _WORD = {w: k for k, ws in enumerate(WORDS.values()) for w in ws.split()}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
+_LONG = re.compile(r"&#([0-9]{100,});?")  # longer numbers than Python reads
+
+
+def _short(reference: re.Match) -> str:
+    digits = reference[1].lstrip("0")
+    return f"&#{digits or 0};" if len(digits) < 8 else "\ufffd"
 
 
 class Tree(HTMLParser):
@@ -72,13 +78,14 @@ class Tree(HTMLParser):
         self.parent, self.tag, self.words, self.given, self.blocks = [-1], ["html"], [0], [""], []
         self.tags, self.controls, self.links = [0], [0], [0]
         self.stack, self.silent, self.text, self.anchor, self.linked = [0], 0, [], 0, 0
-        try:
-            self.feed(html)
-            self.close()
-        except (AssertionError, ValueError):  # the parser gives up on some broken declarations
-            pass
+        self.feed(_LONG.sub(_short, html))
+        self.close()
         self._flush()
 
+    def parse_marked_section(self, i, report=1):
+        """As browsers do: whatever begins with ``<![`` is a comment up to the next ``>``, and reading goes on behind it."""
+        return self.parse_bogus_comment(i, report)
+
     def _flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:

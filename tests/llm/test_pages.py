@@ -18,6 +18,13 @@ def test_blocks_of_broken_markup():
     assert dom.Tree("").blocks == [] and dom.Tree("<script>var x = '<p>'").blocks == [] and dom.Tree("<!-- <p>no</p> --><td>a<td>b").blocks[-1][1] == "b"
 
 
+@pytest.mark.parametrize("html, texts", [
+    ("<p>if a <![ b then</p><p>second</p>", ["if a", "second"]), ("<p>a</p><![ endif]--><p>b</p>", ["a", "b"]), ("<p>a</p><![x y]><p>b</p>", ["a", "b"]), ("<p>a<![", ["a<!["]), ("<![endif]--><p>a</p><p>[b]></p>", ["a", "[b]>"]),
+    ("<p>a &#" + "9" * 5000 + "; b</p><p>c</p>", ["a \ufffd b", "c"]), ("<p>&#" + "0" * 5000 + "65;</p><p>c</p>", ["A", "c"])])
+def test_text_after_broken_declarations(html, texts):
+    assert [b for _, b, _ in dom.Tree(html).blocks] == texts
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return dom.train(spark.read.parquet(f"{SF}/pages.parquet"))
