@@ -2,9 +2,9 @@
 
 The tree grows level by level over distinct (host, path) with their counts. On a level, the branches
 of a node (host and template so far) are its next segments. A segment stays a literal branch when it
-is frequent among its siblings and its share of bad labels differs from theirs by more than chance
-(two-proportion test); numbers, rare segments and branches that do not differ are merged into the
-wildcard ``*``. Segments below ``depth`` are one tail ``**``. A template is rejected when its share of
+has at least ``least`` pages and its share of bad labels differs from its siblings' by more than chance
+(two-proportion test), however large the host; numbers, dates, ids, rare segments and branches that do
+not differ are merged into the wildcard ``*``. Segments below ``depth`` are one tail ``**``. A template is rejected when its share of
 bad labels, smoothed towards the share over all pages, reaches ``reject``.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to ``?``,
@@ -54,7 +54,11 @@ def longest_rule(rules: list[Rule]) -> Column:
     return out
 
 
-def templates(paths: DataFrame, depth: int = 6, least: int = 20, share: float = 0.02, z: float = 2.58) -> DataFrame:
+#: Segments that number things: digits alone, dates, and hexadecimal ids of eight or more characters with a digit.
+VARIABLE = r"^([0-9]+|[0-9]{1,4}[-_.][0-9]{1,2}([-_.][0-9]{1,4})?|(?=.*[0-9])[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
+
+
+def templates(paths: DataFrame, depth: int = 6, least: int = 20, z: float = 2.58) -> DataFrame:
     """host, path, template. paths: host, path, n, labelled, bad, one row for each host and path."""
     state = paths.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
     for level in range(depth):
@@ -69,7 +73,7 @@ def templates(paths: DataFrame, depth: int = 6, least: int = 20, share: float =
         pooled = F.col("all_bad") / F.col("all_labelled")
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / other))
         differs = (F.col("labelled") > 0) & (other > 0) & (F.abs(F.col("bad") / F.col("labelled") - other_bad / other) > z * error)
-        frequent = (F.col("n") >= F.greatest(F.lit(least), share * F.col("all_n"))) & ~F.col("segment").rlike("[0-9]")
+        frequent = (F.col("n") >= least) & ~F.col("segment").rlike(VARIABLE)
         kept = branches.join(nodes, ["host", "template"]).where(frequent & differs).select("host", "template", "segment", F.lit(True).alias("literal"))
         named = state.withColumn("segment", F.get("segments", F.lit(level))).join(kept, ["host", "template", "segment"], "left")
         step = F.when(F.size("segments") <= level, "").when(F.col("literal"), F.concat(F.lit("/"), F.col("segment"))).otherwise("/*")

@@ -99,6 +99,19 @@ def test_template_tree(spark):
     assert {r.verdict for r in urls.judge(pages, none, []).collect()} == {"allow"} and urls.judge(pages.limit(0), none, RULES).count() == 0
 
 
+def test_template_tree_on_large_hosts(spark):
+    """A section's verdict depends on its own labels, not on how large its host is; digits in a name do not merge it."""
+    part = [("good", False, 200), ("spam", True, 60), ("mp3", True, 100)]
+    for large in (1, 25):
+        rows = [(f"http://h.org/{kind}/{i}", bad) for kind, bad, n in part for i in range(n * (large if kind == "good" else 1))]
+        rows += [(f"http://h.org/{k}{v}/x", bad) for k, v, bad in [("2024-05-", d % 9, True) for d in range(180)] + [("", 77, True)] * 30 + [("9f86d081884c7d65", "", True)] * 30]
+        pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id bigint, url string")
+        labels = spark.createDataFrame([(i, bad) for i, (_, bad) in enumerate(rows)], "page_id bigint, bad boolean")
+        seen = {(r.path.split("/")[1], r.template, r.verdict) for r in urls.judge(pages, labels, []).collect()}
+        assert {("spam", "/spam/*", "block"), ("mp3", "/mp3/*", "block"), ("good", "/good/*", "allow")} <= seen
+        assert {t for s, t, _ in seen if s[0] in "279"} == {"/*/x"} or {t for s, t, _ in seen if s[0] in "279"} == {"/*/*"}
+
+
 @pytest.mark.parametrize("text", ["<|im_end|>", "<\\|a", "<\\\\|<|", "", "<<||", "\\", "a\nb", "<\\b|", "\\n", "<|im_start|>user\nx"])
 def test_escapes(text):
     assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
