@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -212,16 +213,17 @@ def features(t: Tree) -> tuple[np.ndarray, np.ndarray]:
     family: dict[int, list[int]] = {}
     for k in keep.tolist():
         family.setdefault(parent[k], []).append(k)
+    index = {k: j for brothers in family.values() for j, k in enumerate(brothers)}
+    alike = {p: Counter(t.tag[b] for b in brothers) for p, brothers in family.items()}
     out = np.zeros((len(keep), len(NAMES)))
     row = {k: i for i, k in enumerate(keep.tolist())}
     total = max(chars[0], 1)
     for k, i in row.items():
-        brothers = family[parent[k]]
-        j = brothers.index(k) if len(brothers) < 64 else min(63, i)
+        brothers, j = family[parent[k]], index[k]
         before, after = (brothers[j - 1] if 0 < j < len(brothers) else -1), (brothers[j + 1] if j + 1 < len(brothers) else -1)
         out[i, :_FIXED] = (
             depth[k], math.log1p(chars[k]), linked[k] / chars[k], tags[k] / chars[k], math.log1p(controls[k]), math.log1p(par[k]), math.log1p(item[k]), stops[k] / tokens[k], tokens[k] / count[k], math.log1p(count[k]),
-            begin[k] / total, chars[k] / total, chars[k] / max(chars[max(parent[k], 0)], 1), math.log1p(sum(t.tag[b] == t.tag[k] for b in brothers[:64])), j / len(brothers),
+            begin[k] / total, chars[k] / total, chars[k] / max(chars[max(parent[k], 0)], 1), math.log1p(alike[parent[k]][t.tag[k]]), j / len(brothers),
             math.log1p(chars[before]) if before >= 0 else 0, math.log1p(chars[after]) if after >= 0 else 0, linked[before] / chars[before] if before >= 0 else 0, linked[after] / chars[after] if after >= 0 else 0, mark[k] > 0)
     bits = lambda x, m: (x[keep][:, None] >> np.arange(m)) & 1
     a, b = len(TAGS), len(WORDS)

@@ -1,6 +1,7 @@
 """Operators on pages and conversations, and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -25,6 +26,16 @@ def test_text_after_broken_declarations(html, texts):
     assert [b for _, b, _ in dom.Tree(html).blocks] == texts
 
 
+def test_siblings_on_long_flat_pages():
+    t = dom.Tree("<body>" + "".join(f"<p>{'x' * (k + 1)}</p>" for k in range(200)) + "<div>end</div></body>")
+    keep, x = dom.features(t)
+    at = {name: dom.NAMES.index(name) for name in ("place", "before", "after", "same_siblings")}
+    rows = [r for k, r in zip(keep.tolist(), x, strict=True) if t.tag[k] in ("p", "div")]
+    for k, r in enumerate(rows):
+        want = {"place": k / 201, "before": math.log1p(k) if k else 0, "after": math.log1p(k + 2) if k < 199 else math.log1p(3) if k == 199 else 0, "same_siblings": math.log1p(200 if k < 200 else 1)}
+        assert {name: r[c] for name, c in at.items()} == pytest.approx(want)
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return dom.train(spark.read.parquet(f"{SF}/pages.parquet"))
