@@ -155,44 +155,59 @@ def _without(raw: bytes, spans: list[int]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, remove: str = "documents", width: int = 10) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, remove: str = "documents", width: int = 10, block_chars: int = 64 << 20) -> DataFrame:
     """The documents without those that hold benchmark windows (``remove="documents"``), or with the hit words cut
-    out of their texts and n_chars, if there is one, counted anew (``remove="spans"``). Rows and columns stay otherwise."""
+    out of their texts and n_chars, if there is one, counted anew (``remove="spans"``). Rows and columns stay otherwise.
+
+    A benchmark of more than ``block_chars`` characters is searched in blocks. Spans of all blocks are found in the texts as given, then cut."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
     spark, columns, keep_rows = documents.sparkSession, documents.columns, remove == "spans"
-    items = [tuple(r) for r in require(benchmark, "item_id", "text").toLocalIterator()]
-    if sum(len(t or "") for _, t in items) > 64 << 20:
-        raise ValueError("split the benchmark: clean() broadcasts it whole, 64 MB of text at most")
-    shared, text_at = spark.sparkContext.broadcast(items), columns.index("text")
-    chars_at = columns.index("n_chars") if "n_chars" in columns else None
-
-    def run(batches):
-        windows = Windows(shared.value, width)
-        for batch in batches:
-            for i, j, raw, off in text_slices(batch.column(text_at)):
-                part = batch.slice(i, j - i)
-                _, hits, _ = windows.search(raw, off)
-                by: dict[int, list] = {}
-                for d, a, w in hits:
-                    by.setdefault(d, []).append((a, w))
-                if not keep_rows:
-                    good = np.ones(j - i, bool)
-                    good[list(by)] = False
-                    yield part.filter(pa.array(good))
-                elif by:
-                    texts = part.column(text_at).to_pylist()
-                    for d, spans in by.items():
-                        texts[d] = _without(raw[off[d] : off[d + 1]].tobytes(), _merge(spans))
-                    part = part.set_column(text_at, part.schema.field(text_at), pa.array(texts, part.column(text_at).type))
-                    if chars_at is not None:
-                        chars = part.column(chars_at).to_pylist()
-                        for d in by:
-                            chars[d] = len(texts[d])
-                        part = part.set_column(chars_at, part.schema.field(chars_at), pa.array(chars, part.column(chars_at).type))
-                    yield part
-                else:
+    listed = require(benchmark, "item_id", "text")
+    blocks = max(1, -(-int(listed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // block_chars))
+    text_at, chars_at, n = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None, len(columns)
+    state = documents.withColumn("__spans", F.array().cast("array<bigint>")) if keep_rows else documents
+    wide = state.schema
+    for block in range(blocks):
+        items = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
+        shared, last = spark.sparkContext.broadcast([tuple(r) for r in items.toLocalIterator()]), block + 1 == blocks
+
+        def run(batches, shared=shared, last=last):
+            windows = Windows(shared.value, width)
+            for batch in batches:
+                for i, j, raw, off in text_slices(batch.column(text_at)):
+                    part = batch.slice(i, j - i)
+                    _, hits, _ = windows.search(raw, off)
+                    by: dict[int, list] = {}
+                    for d, a, w in hits:
+                        by.setdefault(d, []).append((a, w))
+                    if not keep_rows:
+                        good = np.ones(j - i, bool)
+                        good[list(by)] = False
+                        yield part.filter(pa.array(good))
+                        continue
+                    spans = part.column(n).to_pylist()
+                    for d, more in by.items():
+                        spans[d] = _merge([(a, b - a) for a, b in zip(spans[d][::2], spans[d][1::2], strict=True)] + more)
+                    if not last:
+                        yield part.set_column(n, part.schema.field(n), pa.array(spans, part.column(n).type))
+                        continue
+                    part = pa.RecordBatch.from_arrays(part.columns[:n], schema=pa.schema([part.schema.field(k) for k in range(n)]))
+                    cut = [d for d, x in enumerate(spans) if x]
+                    if cut:
+                        texts = part.column(text_at).to_pylist()
+                        for d in cut:
+                            texts[d] = _without(raw[off[d] : off[d + 1]].tobytes(), spans[d])
+                        part = part.set_column(text_at, part.schema.field(text_at), pa.array(texts, part.column(text_at).type))
+                        if chars_at is not None:
+                            chars = part.column(chars_at).to_pylist()
+                            for d in cut:
+                                chars[d] = len(texts[d])
+                            part = part.set_column(chars_at, part.schema.field(chars_at), pa.array(chars, part.column(chars_at).type))
                     yield part
 
-    small_batches(spark)
-    return documents.mapInArrow(run, documents.schema)
+        small_batches(spark)
+        state = state.mapInArrow(run, documents.schema if last else wide)
+        if not last:
+            state = written(state, "decontamination")
+    return state

@@ -134,6 +134,17 @@ def test_decontaminate(spark, odd, empty):
     assert decontam.find(empty, bench).count() == 0 and decontam.find(odd, bench.limit(0)).where("size(spans) > 0").count() == 0
 
 
+def test_clean_by_large_benchmarks(spark, odd):
+    item = prose(2, 80).split()
+    rows = [(1, " ".join(item[10:30])), (2, "Two... THREE"), (3, None), (4, " ".join(item[25:45])), (None, "four FIVE")]
+    bench = spark.createDataFrame(rows, "item_id bigint, text string")
+    for remove in ("documents", "spans"):
+        want = sorted(map(repr, decontam.clean(odd, bench, remove).collect()))
+        assert sorted(map(repr, decontam.clean(odd, bench, remove, block_chars=60).collect())) == want
+        large = bench.unionByName(spark.range(70).selectExpr("id AS item_id", "concat(id, repeat('x', 1000000)) AS text"))
+        assert sorted(map(repr, decontam.clean(odd, large, remove).collect())) == want
+
+
 def test_quality_features_by_brute_force(odd, empty):
     for r in rules.features(odd).collect():
         texts = [t.text or "" for t in odd.collect() if t.doc_id == r.doc_id]
