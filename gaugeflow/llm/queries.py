@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, chat, decontam, dom, jaccard, pack, rules, shard, substring, urls
+from . import align, binary, chat, decontam, dom, fingerprints, jaccard, pack, rules, shard, substring, urls, whitening
 from .tables import require, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,21 @@ def op5_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_boosted_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return dom.extract(pages, dom.train(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op11_asof_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = align.link_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
+@query
+def op12_anchor_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.classify(table(spark, sf_dir, "documents"), 3, 3)
+
+
+@query
+def op13_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 4, 256).withColumnRenamed("key", "vec_id")
