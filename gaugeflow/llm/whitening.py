@@ -3,7 +3,7 @@
 Vectors are read as whole numbers, floor(scale * entry). The fit list holds each distinct vector once.
 Its covariance (dimension x dimension, centred before multiplying) is summed up from one matrix a task.
 
-The spectrum is cut into intervals by inertia counts: a symmetric indefinite factorisation of the
+The intervals of the spectrum come from inertia counts: a symmetric indefinite factorisation of the
 covariance minus a shift tells how many eigenvalues lie above it, so the wanted ones are known to be
 in the intervals before any is computed. For each interval a Spark task per quadrature node solves the
 complex shifted covariance against the interval's block of vectors; the weighed sum over the nodes
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .tables import on_arrow, require, written
 
-#: Eigenvalues an interval may hold, quadrature nodes on the upper half circle, and rounds of projection.
-INTERVAL, NODES, ROUNDS = 8, 8, 20
+#: Quadrature nodes on the upper half circle, and rounds of projection at most.
+NODES, ROUNDS = 8, 20
 
 
 def whole_vectors(rows: DataFrame, key: str, column: str, scale: int = 256) -> DataFrame:
@@ -107,45 +107,45 @@ def inertia_above(matrix: np.ndarray, shift: float) -> int:
     return above
 
 
-def intervals(matrix: np.ndarray, wanted: int, most: int = INTERVAL) -> list[tuple[float, float, int]]:
-    """(low, high, eigenvalues inside), from the top down, that hold the ``wanted`` largest ones, some ``most`` each."""
+def intervals(matrix: np.ndarray, wanted: int, apart: float = 1e-6) -> list[tuple[float, float, int]]:
+    """(low, high, eigenvalues inside), from the top down, around the ``wanted`` largest ones.
+
+    Eigenvalues nearer to each other than ``apart`` times the norm share an interval. A border lies half the smaller gap
+    to the neighbours off, so whatever is outside is at least twice as far away, however wide the spectrum is.
+    """
     size = float(np.abs(matrix).sum(axis=1).max()) or 1.0
-    top, floor = size * 1.01, -size * 0.01
+    d = len(matrix)
+    tried: dict[float, int] = {}
+
+    def above(shift: float) -> int:
+        if shift not in tried:
+            tried[shift] = inertia_above(matrix, shift)
+        return tried[shift]
+
+    def located(k: int) -> float:
+        """The k-th largest eigenvalue to a tenth of ``apart``."""
+        low = max([s for s, n in tried.items() if n >= k], default=-1.01 * size)
+        high = min([s for s, n in tried.items() if n < k], default=1.01 * size)
+        while high - low > apart * size / 10:
+            middle = (low + high) / 2
+            low, high = (middle, high) if above(middle) >= k else (low, middle)
+        return (low + high) / 2
+
     out: list[tuple[float, float, int]] = []
-    above, high, wanted = 0, top, min(wanted, len(matrix))
-    while above < wanted:
-        low, up, best = floor, high, (floor, len(matrix))
-        target = min(wanted, above + most)
-        # the shift with at least ``target`` above it and as few more as bisection finds before it meets a cluster
-        while up - low > 1e-9 * size and best[1] != target:
-            middle = (low + up) / 2
-            count = inertia_above(matrix, middle)
-            if count >= target:
-                best = (middle, count) if count <= best[1] else best
-                low = middle
-            else:
-                up = middle
-        cut, count = _widest_gap(matrix, best[0], best[1], size)
-        out.append((cut, high, count - above))
-        above, high = count, cut
+    done, gap = 0, size
+    while done < min(wanted, d):
+        first = last = located(done + 1)
+        count = done + 1
+        while (more := above(last - apart * size)) > count:
+            count, last = more, located(more)
+        below = last - located(count + 1) if count < d else size
+        margin = min(gap, below) / 2
+        low, high = last - margin, first + margin
+        out.append((low, high, above(low) - above(high)))
+        done, gap = count, below
     return out
 
 
-def _widest_gap(matrix: np.ndarray, cut: float, count: int, size: float) -> tuple[float, int]:
-    """The middle of the gap around ``cut``, so that no eigenvalue sits at the border of an interval."""
-    edges = []
-    for far in (-size * 0.02, size * 1.02):
-        near, away = cut, far
-        if inertia_above(matrix, far) == count:
-            edges.append(cut)
-            continue
-        while abs(away - near) > 1e-6 * size:
-            middle = (near + away) / 2
-            near, away = (middle, away) if inertia_above(matrix, middle) == count else (near, middle)
-        edges.append(near)
-    return sum(edges) / 2, count
-
-
 def _project(matrix: np.ndarray, block: np.ndarray, low: float, high: float, node: int, nodes: int) -> np.ndarray:
     """One node's share of the contour integral around [low, high]; the lower half circle is its conjugate."""
     points, weights = np.polynomial.legendre.leggauss(nodes)
