@@ -332,13 +332,31 @@ SELECT month, hour, sum(y*w)/sum(w) AS mean_amount, sum((y>0)::INT*w)/sum(w) AS
 UNION ALL SELECT NULL, NULL, sum(y*w)/sum(w), sum((y>0)::INT*w)/sum(w), true FROM tab_train"""
 
 CTES["fit_rows"] = """
-SELECT p.model, i.station_id, i.minute, y_true, rain_now, p_rain, y_hat FROM idx i JOIN preds p ON p.station_id=i.station_id AND p.minute=i.minute
-WHERE split='val' AND model IN ('persistence','kalman_ll','lgbm_hurdle')"""
+SELECT p.model, i.station_id, i.minute, y_true, rain_now, p_rain, y_hat FROM idx i JOIN preds p ON p.station_id=i.station_id AND p.minute=i.minute WHERE split='val'"""
 
-CTES["dry_rows"] = "SELECT * FROM fit_rows WHERE rain_now=0"
-CTES["dry_thr"] = tuned("p_rain", "y_true>0", "threshold", "dry_rows")
+
+def isotonic(points: str) -> str:
+    """Isotonic values of points (model, x, s, w) by the max-min formula over all runs of points."""
+    return f"""
+SELECT model, x, max(lo) AS p_cal FROM (
+ SELECT j.model, k.x, min((k.cs-j.cs+j.s)/(k.cw-j.cw+j.w)) OVER (PARTITION BY j.model, j.i ORDER BY k.i DESC) AS lo
+ FROM (SELECT *, sum(w) OVER c AS cw, sum(s) OVER c AS cs, row_number() OVER c AS i FROM {points} WINDOW c AS (PARTITION BY model ORDER BY x)) j
+ JOIN (SELECT *, sum(w) OVER c AS cw, sum(s) OVER c AS cs, row_number() OVER c AS i FROM {points} WINDOW c AS (PARTITION BY model ORDER BY x)) k ON k.model=j.model AND k.i>=j.i)
+GROUP BY 1,2"""
+
+
+CTES["cal_points"] = "SELECT model, coalesce(p_rain,0) AS x, count(*)::DOUBLE AS w, sum((y_true>0)::INT)::DOUBLE AS s FROM fit_rows GROUP BY 1,2"
+CTES["cal_levels"] = isotonic("cal_points")
+CTES["cal_rows"] = "SELECT f.*, p_cal FROM fit_rows f JOIN cal_levels l ON l.model=f.model AND l.x=coalesce(f.p_rain,0)"
+
+CTES["dry_rows"] = "SELECT * FROM cal_rows WHERE rain_now=0"
+CTES["dry_thr"] = tuned("p_cal", "y_true>0", "threshold", "dry_rows")
 
 CTES["choice"] = """
-SELECT (SELECT arg_min(model,(-csi,model)) FROM (SELECT r.model, count(*) FILTER (y_true>0 AND p_rain>=threshold)/nullif(count(*) FILTER (y_true>0 OR p_rain>=threshold),0)::DOUBLE AS csi
+SELECT (SELECT arg_min(model,(-csi,model)) FROM (SELECT r.model, count(*) FILTER (y_true>0 AND p_cal>=threshold)/nullif(count(*) FILTER (y_true>0 OR p_cal>=threshold),0)::DOUBLE AS csi
   FROM dry_rows r JOIN dry_thr t ON t.model=r.model GROUP BY 1)) AS best_dry,
  (SELECT arg_min(model,(rmse,model)) FROM (SELECT model, sqrt(avg((y_hat-y_true)**2)) AS rmse FROM fit_rows WHERE rain_now>0 GROUP BY 1)) AS best_wet"""
+
+CTES["corrected"] = """
+SELECT a.station_id, a.minute, a.y_true, greatest(0, a.y_hat+coalesce((SELECT sum(0.3*pow(0.6::DOUBLE, a.minute-1-b.minute)*(b.y_true-b.y_hat)) FROM fit_rows b
+ WHERE b.model='lgbm_hurdle' AND b.station_id=a.station_id AND b.minute<a.minute),0)) AS y_hat FROM fit_rows a WHERE model='lgbm_hurdle'"""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.clock import Clock
+from gaugeflow.models import hybrids
 from gaugeflow.operators import channels, features, neighbours, quality, radar, splits, stations, truth, verify
 from gaugeflow.operators.halo import Slices
 from gaugeflow.params import EvalParams, GateParams, RadarParams
@@ -255,5 +256,9 @@ class Proxy:
 
     @cached_property
     def fit_rows(self) -> DataFrame:
-        rows = verify.index_prediction_join(self.index.where("split = 'val'"), self.preds)
-        return rows.where("model IN ('persistence', 'kalman_ll', 'lgbm_hurdle')")
+        return verify.index_prediction_join(self.index.where("split = 'val'"), self.preds)
+
+    def build_cal_rows(self) -> DataFrame:
+        return hybrids.calibration(self.fit_rows).apply(self.fit_rows, "p_rain", "p_cal")
+
+    cal_rows = stored(build_cal_rows)

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions import rain
 from gaugeflow.models import baselines, fitted, hybrids, loop, sequential
+from gaugeflow.models.isotonic import IsotonicCalibrator, levels, pooled
 from gaugeflow.operators import sequences, verify
+from gaugeflow.session import materialise
 
+from .oracle import isotonic
 from .proxies import SLICES
 from .q_splits import sql_hash
 from .registry import query
@@ -101,12 +104,34 @@ def linear_filter_forecast(p):
     return f.forecast(z_rows(p), slices=SLICES).select("station_id", "minute", "z_next")
 
 
+def filter_blocks(p):
+    keep = p.channels.select("station_id", "minute", "rain_rt", "nb_max", "nb_mean", "rain_signal")
+    rows = z_rows(p).join(keep, ["station_id", "minute"]).withColumn("part", F.lit("train"))
+    rows = rows.withColumn("u", F.array(F.lit(1.0), *[F.log1p(10 * F.coalesce(c, F.lit(0.0))) for c in ("nb_max", "nb_mean", "rain_signal")]))
+    return sequential.rain_weighted_blocks(rows, None, 168, 24, values=("z", "u"))
+
+
 @query("filter_likelihood_search")
 def filter_likelihood_search(p):
-    rows = z_rows(p).join(p.own_channels.select("station_id", "minute", "rain_rt"), ["station_id", "minute"]).withColumn("part", F.lit("train"))
-    blocks = sequential.rain_weighted_blocks(rows, None, 168, 24)
-    best = sequential.filter_likelihood_search(blocks, "kalman_ll")
-    return blocks.agg(F.count(F.lit(1)).alias("blocks")).withColumns({"loss": F.lit(best["loss"]), "log_q": F.lit(best["theta"][0]), "log_r": F.lit(best["theta"][1])})
+    """All three kinds over all blocks; at the optimum the innovation variance is the mean squared error."""
+    blocks = materialise(filter_blocks(p), "blocks")
+    found = {k: sequential.filter_likelihood_search(blocks, k, "z", "u" if k == "kalman_x" else None, 4) for k in sequential.KINDS}
+    rows = [F.struct(F.lit(k).alias("kind"), F.lit(f.loss).alias("loss"), F.lit(f.variance).alias("variance"), F.lit(float(f.filter.k[0])).alias("gain"),
+                     F.lit(sum(f.weights)).alias("weights")) for k, f in found.items()]
+    return blocks.agg(F.count(F.lit(1)).alias("blocks")).select("blocks", F.inline(F.array(*rows)))
+
+
+PAIRS = "SELECT a.z AS z0, b.z AS z1 FROM (SELECT station_id, minute, ln(1+100*greatest(coalesce(p1_obs,0),0)) AS z FROM obs) a JOIN (SELECT station_id, minute, ln(1+100*greatest(coalesce(p1_obs,0),0)) AS z FROM obs) b ON a.station_id=b.station_id AND b.minute=a.minute+1 AND a.minute%2=0"
+
+
+@query("filter_closed_form", f"SELECT n, k AS gain, v AS variance, 0.5*(ln(2*pi()*v)+1) AS loss FROM (SELECT count(*) AS n, k, sum((z1-k*z0)**2)/count(*) AS v FROM ({PAIRS}), (SELECT sum(z0*z1)/sum(z0*z0) AS k FROM ({PAIRS})) GROUP BY k)",
+       dbl="gain variance loss", digits=5)
+def filter_closed_form(p):
+    """The search where the answer is known: on pairs of ticks the gain is a regression slope, the variance its mean squared residual."""
+    rows = z_rows(p).withColumn("pair", F.floor(F.col("minute") / 2))
+    pairs = rows.groupBy("station_id", "pair").agg(F.sort_array(F.collect_list(F.struct("minute", "z"))).alias("s_")).where("size(s_) = 2").select(F.col("s_")["z"].alias("z"))
+    found = sequential.filter_likelihood_search(pairs, "kalman_ll")
+    return pairs.agg(F.count(F.lit(1)).alias("n")).withColumns({"gain": F.lit(float(found.filter.k[0])), "variance": F.lit(found.variance), "loss": F.lit(found.loss)})
 
 
 def rain_weighted(p):
@@ -126,15 +151,21 @@ def rain_weighted_blocks(p):
 G3 = [[0.98 if i == j else 0.01 for j in range(3)] for i in range(3)]
 
 
-def _regime_sql() -> str:
-    """The filter written as a recursion over the ticks, all stations at once."""
+def _regime_steps() -> tuple[str, str, list[str]]:
+    """Rows with the likelihood of each regime, the filter's unscaled step, and the regimes' amounts."""
     p0, mu, sg = (0.995, 0.5225, 0.05), [math.log(0.02), math.log(0.02 * 0.4) / 2, math.log(0.4)], (0.5, 0.7, 0.9)
     like = [f"((CASE WHEN rain_rt>0 THEN {1 - p0[i]!r}*exp(-0.5*pow((ln(CASE WHEN rain_rt>0 THEN rain_rt ELSE 1 END)-({mu[i]!r}))/{sg[i]},2))/({sg[i]}*sqrt(2*pi())) ELSE {p0[i]} END)::DOUBLE)" for i in range(3)]
-    rows = f"SELECT station_id, minute, row_number() OVER (PARTITION BY station_id ORDER BY minute) AS i, {', '.join(f'{e} AS e{k}' for k, e in enumerate(like))} FROM chan"
+    rows = f"SELECT station_id, minute, rain_rt, row_number() OVER (PARTITION BY station_id ORDER BY minute) AS i, count(*) OVER (PARTITION BY station_id) AS n, {', '.join(f'{e} AS e{k}' for k, e in enumerate(like))} FROM chan"
     step = ", ".join(f"({'+'.join(f'r.a{k}*{G3[k][j]}' for k in range(3))})*l.e{j} AS b{j}" for j in range(3))
     nxt = [f"({'+'.join(f'a{k}*{G3[k][j]}' for k in range(3))})" for j in range(3)]
     wet = "+".join(f"{nxt[j]}*{1 - p0[j]!r}" for j in range(3))
     amount = "+".join(f"{nxt[j]}*{(1 - p0[j]) * math.exp(mu[j] + sg[j] ** 2 / 2)!r}" for j in range(3))
+    return rows, step, [wet, amount]
+
+
+def _regime_sql() -> str:
+    """The filter written as a recursion over the ticks, all stations at once."""
+    rows, step, (wet, amount) = _regime_steps()
     return f"""
 SELECT station_id, minute, {wet} AS p_rain, {amount} AS y_hat, a0 AS p_dry FROM (
  WITH RECURSIVE l AS MATERIALIZED ({rows}), r AS (
@@ -143,52 +174,92 @@ SELECT station_id, minute, {wet} AS p_rain, {amount} AS y_hat, a0 AS p_dry FROM
  SELECT * FROM r)"""
 
 
+def _expectation_sql() -> str:
+    """Forward and backward recursions over all ticks of a station, and the sums of the expectation step."""
+    rows, step, _ = _regime_steps()
+    back = [f"({'+'.join(f'{G3[j][k]}*l.e{k}*q.t{k}' for k in range(3))})" for j in range(3)]
+    both = [f"r.a{j}*q.t{j}/({'+'.join(f'r.a{k}*q.t{k}' for k in range(3))})" for j in range(3)]
+    joint = [[f"r.a{j}*{G3[j][k]}*l.e{k}*q.t{k}" for k in range(3)] for j in range(3)]
+    whole = "+".join(x for row in joint for x in row)
+    moves = ", ".join(f"sum({joint[j][k]}/({whole})) AS m{j}{k}" for j in range(3) for k in range(3))
+    return f"""
+SELECT * FROM (
+ WITH RECURSIVE l AS MATERIALIZED ({rows}), r AS (
+  SELECT station_id, i, e0/(e0+e1+e2) AS a0, e1/(e0+e1+e2) AS a1, e2/(e0+e1+e2) AS a2, ln((e0+e1+e2)/3) AS ll FROM l WHERE i=1
+  UNION ALL SELECT station_id, i, b0/(b0+b1+b2), b1/(b0+b1+b2), b2/(b0+b1+b2), ln(b0+b1+b2) FROM (SELECT l.station_id, l.i, {step} FROM r JOIN l ON l.station_id=r.station_id AND l.i=r.i+1)),
+ q AS (
+  SELECT station_id, i, 1::DOUBLE AS t0, 1::DOUBLE AS t1, 1::DOUBLE AS t2 FROM l WHERE i=n
+  UNION ALL SELECT station_id, i, t0/(t0+t1+t2), t1/(t0+t1+t2), t2/(t0+t1+t2) FROM (SELECT l.station_id, l.i-1 AS i, {', '.join(f'{b} AS t{j}' for j, b in enumerate(back))} FROM q JOIN l ON l.station_id=q.station_id AND l.i=q.i WHERE l.i>1)),
+ g AS (SELECT rain_rt, r.i, ll, {', '.join(f'{b} AS g{j}' for j, b in enumerate(both))} FROM r JOIN q ON q.station_id=r.station_id AND q.i=r.i JOIN l ON l.station_id=r.station_id AND l.i=r.i)
+ SELECT * FROM (SELECT sum(ll) AS loglik, {', '.join(f'sum(g{j}) AS occ{j}, sum(CASE WHEN rain_rt>0 THEN 0 ELSE g{j} END) AS dry{j}, sum(CASE WHEN i=1 THEN g{j} ELSE 0 END) AS first{j}' for j in range(3))} FROM g),
+  (SELECT {moves} FROM r JOIN q ON q.station_id=r.station_id AND q.i=r.i+1 JOIN l ON l.station_id=r.station_id AND l.i=r.i+1))"""
+
+
 @query("regime_filter", _regime_sql(), dbl="p_rain y_hat p_dry")
 def regime_filter(p):
     d = sequential.RegimeModel().filter_forecast(p.own_channels.select("station_id", "minute", "rain_rt"), slices=SLICES)
     return d.select("station_id", "minute", "p_rain", "y_hat", F.col("regime")[0].alias("p_dry"))
 
 
+EXPECTED = [f"m{i}{j}" for i in range(3) for j in range(3)] + [f"{n}{i}" for n in ("first", "occ", "dry") for i in range(3)] + ["loglik"]
+
+
+@query("regime_expectation", _expectation_sql(), dbl=" ".join(EXPECTED), digits=4)
+def regime_expectation(p):
+    """One expectation step over whole series, cut into slices that are chained in both directions."""
+    v = sequential.RegimeModel().expectation(sequential.stretches(p.own_channels, SLICES))
+    return p.spark.range(1).select(*[F.lit(float(x)).alias(n) for n, x in zip(EXPECTED, [*v[:18], v[-2]])])
+
+
 @query("regime_em")
 def regime_em(p):
-    rows = p.own_channels.select("station_id", "minute", "rain_rt", F.lit("train").alias("part"))
-    w = sequential.regime_windows(rows, 60)
-    m = sequential.RegimeModel().fit(w, 3)
-    return w.agg(F.count(F.lit(1)).alias("windows")).withColumns({f"p_zero_{i}": F.lit(float(v)) for i, v in enumerate(m.p_zero)})
+    rows = sequential.stretches(p.own_channels, SLICES)
+    m = sequential.RegimeModel().fit(rows, 8)
+    return rows.agg(F.count(F.lit(1)).alias("stretches")).withColumns({"loglik": F.lit(m.loglik[-1]), **{f"p_zero_{i}": F.lit(float(v)) for i, v in enumerate(m.p_zero)}})
 
 
-@query("residual_correction", """
-SELECT a.station_id, a.minute, greatest(0, a.y_hat+coalesce((SELECT sum(0.3*pow(0.6::DOUBLE, a.minute-1-b.minute)*(b.y_true-b.y_hat)) FROM fit_rows b
- WHERE b.model='lgbm_hurdle' AND b.station_id=a.station_id AND b.minute<a.minute),0)) AS y_hat FROM fit_rows a WHERE model='lgbm_hurdle'""", dbl="y_hat")
+@query("residual_correction", "SELECT station_id, minute, y_hat FROM corrected", dbl="y_hat")
 def residual_correction(p):
     rows = p.fit_rows.where("model = 'lgbm_hurdle'")
     return hybrids.residual_correction(rows, sequential.LinearFilter([[0.9]], [0.3], [1.0]), SLICES).select("station_id", "minute", "y_hat")
 
 
+@query("residual_hybrid")
+def residual_hybrid(p):
+    """Filter fitted on the residuals of the earlier half of the validation days, applied to all of them, with its own probability."""
+    rows = p.fit_rows.where("model = 'lgbm_hurdle'")
+    return hybrids.ResidualHybrid(slices=SLICES, block=168).fit(rows.where("minute < 450")).predict(rows).select("station_id", "minute", "p_rain", "y_hat")
+
+
 @query("regime_choice", "SELECT * FROM choice")
 def regime_choice(p):
-    return hybrids.regime_choice(p.fit_rows)
+    return hybrids.regime_choice(p.cal_rows)
 
 
-@query("regime_switch", "SELECT station_id, minute, 'hyb_regime' AS model, p_rain, y_hat FROM fit_rows, choice WHERE model=CASE WHEN rain_now>0 THEN best_wet ELSE best_dry END", dbl="p_rain y_hat")
+@query("regime_switch", "SELECT station_id, minute, 'hyb_regime' AS model, p_cal AS p_rain, y_hat FROM cal_rows, choice WHERE model=CASE WHEN rain_now>0 THEN best_wet ELSE best_dry END", dbl="p_rain y_hat")
 def regime_switch(p):
-    return hybrids.regime_switch(p.fit_rows, hybrids.regime_choice(p.fit_rows))
+    return hybrids.regime_switch(p.cal_rows, hybrids.regime_choice(p.cal_rows))
+
+
+AMOUNT_POINTS = "(SELECT model, coalesce(y_hat,0) AS x, count(*)::DOUBLE AS w, sum((y_true>0)::INT)::DOUBLE AS s FROM fit_rows GROUP BY 1,2)"
 
 
-@query("isotonic_calibration", """
-WITH d AS (SELECT *, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs, row_number() OVER (ORDER BY x) AS i FROM (
-  SELECT y_hat AS x, count(*)::DOUBLE AS w, sum((y_true>0)::INT)::DOUBLE AS s FROM fit_rows WHERE model='lgbm_hurdle' GROUP BY 1)),
-p AS (SELECT j.i AS j, k.i AS k, (k.cs-j.cs+j.s)/(k.cw-j.cw+j.w) AS m FROM d j JOIN d k ON k.i>=j.i),
-q AS (SELECT i, max(lo) AS v FROM (SELECT d.i, p.j, min(p.m) AS lo FROM d JOIN p ON p.j<=d.i AND p.k>=d.i GROUP BY 1,2) GROUP BY 1)
-SELECT station_id, minute, y_hat, v AS p_cal FROM fit_rows f JOIN d ON d.x=f.y_hat JOIN q ON q.i=d.i WHERE model='lgbm_hurdle'""", dbl="y_hat p_cal")
+@query("isotonic_calibration", f"SELECT f.model, station_id, minute, y_hat, p_cal FROM fit_rows f JOIN ({isotonic(AMOUNT_POINTS)}) l ON l.model=f.model AND l.x=coalesce(y_hat,0)", dbl="y_hat p_cal")
 def isotonic_calibration(p):
-    rows = p.fit_rows.where("model = 'lgbm_hurdle'")
-    return fitted.IsotonicCalibrator().fit(rows, "y_hat", F.col("y_true") > 0).apply(rows, "y_hat", "p_cal").select("station_id", "minute", "y_hat", "p_cal")
+    cal = IsotonicCalibrator().fit(p.fit_rows, "y_hat", F.col("y_true") > 0, curve="model")
+    return cal.apply(p.fit_rows, "y_hat", "p_cal").select("model", "station_id", "minute", "y_hat", "p_cal")
+
+
+@query("isotonic_levels", "SELECT model AS curve, min(x) AS lo, max(x) AS hi, p_cal AS value, sum(w) AS weight FROM (SELECT * FROM cal_levels JOIN cal_points USING (model, x)) GROUP BY 1, 4", dbl="lo hi value weight")
+def isotonic_levels(p):
+    return levels(pooled(p.fit_rows, F.coalesce("p_rain", F.lit(0.0)), F.col("y_true") > 0, F.lit(1.0), F.col("model")))
 
 
 @query("stacked_ensemble")
 def stacked_ensemble(p):
-    return hybrids.StackedEnsemble(["persistence", "kalman_ll", "lgbm_hurdle"]).fit(p.fit_rows).predict(p.fit_rows)
+    """All models that predict every row (two of the nine share none)."""
+    models = ["zero", "persistence", "moving_average", "kalman_ll", "lgbm_hurdle", "A__logistic_hurdle", "hyb_stack"]
+    return hybrids.StackedEnsemble(models).fit(p.fit_rows.where("minute < 450")).predict(p.fit_rows)
 
 
 @query("nonneg_stack_gram", "SELECT sum(a.y_hat*a.y_hat) AS g0_0, sum(a.y_hat*b.y_hat) AS g0_1, sum(b.y_hat*b.y_hat) AS g1_1, sum(a.y_hat*a.y_true) AS c0, sum(b.y_hat*a.y_true) AS c1 "

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from ..operators.halo import Slices
 from ..operators.truth import minute_grid
 from ..operators.verify import KEYS, ratio, tune_threshold
-from .fitted import IsotonicCalibrator, assemble
-from .sequential import LinearFilter
+from ..session import materialise
+from .fitted import assemble
+from .isotonic import IsotonicCalibrator
+from .sequential import LinearFilter, filter_likelihood_search
 
 MIN_ROWS, MIN_WET = 100, 5  # fixed values: fewer rows or wet rows are not fitted
 
@@ -43,9 +45,36 @@ def residual_correction(rows: DataFrame, model: LinearFilter, slices: Slices = S
             .withColumn("y_hat", F.greatest(F.col("y_hat") + F.coalesce("corr_", F.lit(0.0)), F.lit(0.0))).drop("corr_"))
 
 
+class ResidualHybrid:
+    """One model's amounts corrected by a filter on its residuals; the probability is an isotonic map of the corrected amount.
+
+    The filter (unless given) and the map are fitted on the rows of ``fit``.
+    """
+
+    def __init__(self, model: LinearFilter | None = None, slices: Slices = Slices(), block: int = 7 * 1440):
+        self.model, self.slices, self.block = model, slices, block
+
+    def fit(self, rows: DataFrame) -> "ResidualHybrid":
+        if self.model is None:
+            dense = residual_series(rows, self.slices.chunk).withColumn("cut_", F.floor(F.col("minute") / self.block))
+            series = F.sort_array(F.collect_list(F.struct("minute", "z")))
+            blocks = dense.groupBy("station_id", "cut_").agg(series.alias("s_")).where("size(s_) > 1").select(F.col("s_")["z"].alias("z"))
+            self.model = filter_likelihood_search(blocks, "kalman_x").filter
+        self.cal = IsotonicCalibrator().fit(residual_correction(rows, self.model, self.slices), "y_hat", F.col("y_true") > 0)
+        return self
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        return self.cal.apply(residual_correction(rows, self.model, self.slices), "y_hat", "p_rain")
+
+
 # ----------------------------------------------------------------------------- switch
-def regime_choice(fit: DataFrame, score: str = "p_rain") -> DataFrame:
-    """One row: the model with the best CSI when dry now and the one with the lowest RMSE when wet now."""
+def calibration(fit: DataFrame) -> IsotonicCalibrator:
+    """A map from raw to calibrated probability for every model, fitted side by side."""
+    return IsotonicCalibrator().fit(fit, "p_rain", F.col("y_true") > 0, curve="model")
+
+
+def regime_choice(fit: DataFrame, score: str = "p_cal") -> DataFrame:
+    """One row: the model with the best CSI (of calibrated probabilities) when dry now and the one with the lowest RMSE when wet now."""
     dry = fit.where("rain_now = 0")
     thr = tune_threshold(dry, ["model"], F.coalesce(score, F.lit(0.0)), F.col("y_true") > 0)
     obs, fc = F.col("y_true") > 0, F.coalesce(score, F.lit(0.0)) >= F.col("threshold")
@@ -59,20 +88,20 @@ def regime_choice(fit: DataFrame, score: str = "p_rain") -> DataFrame:
 
 
 def regime_switch(rows: DataFrame, choice: DataFrame) -> DataFrame:
-    """Forecast of the chosen model for the row's regime. The choice is a single row."""
+    """Forecast, with the calibrated probability ``p_cal``, of the chosen model for the row's regime. The choice is a single row."""
     pick = lambda m, wet: F.struct(F.col(m).alias("model"), F.lit(wet).alias("wet_"))
     picks = choice.select(F.explode(F.array(pick("best_dry", False), pick("best_wet", True))).alias("c")).select("c.*")
-    return (rows.withColumn("wet_", F.col("rain_now") > 0).join(picks, ["model", "wet_"])
-            .select(*KEYS, F.lit("hyb_regime").alias("model"), "p_rain", "y_hat"))
+    return (rows.withColumn("wet_", F.col("rain_now") > 0).join(F.broadcast(picks), ["model", "wet_"])
+            .select(*KEYS, F.lit("hyb_regime").alias("model"), F.col("p_cal").alias("p_rain"), "y_hat"))
 
 
 # ----------------------------------------------------------------------------- stack
-def wide_rows(rows: DataFrame, models: list[str]) -> DataFrame:
+def wide_rows(rows: DataFrame, models: list[str], p: str = "p_rain") -> DataFrame:
     """One row per station and minute that every model predicts, with the models' columns in order."""
     aggs = [F.count_distinct(F.when(F.col("model").isin(models), F.col("model"))).alias("models_"), F.max("y_true").alias("y_true"), F.max("rain_now").alias("rain_now")]
     for i, m in enumerate(models):
         here = F.col("model") == m
-        aggs += [F.coalesce(F.max(F.when(here, F.col("p_rain"))), F.lit(0.0)).alias(f"p{i}"),
+        aggs += [F.coalesce(F.max(F.when(here, F.col(p))), F.lit(0.0)).alias(f"p{i}"),
                  F.coalesce(F.max(F.when(here, F.col("y_hat"))), F.lit(0.0)).alias(f"y{i}")]
     return rows.groupBy(*KEYS).agg(*aggs).where(F.col("models_") == len(models)).drop("models_")
 
@@ -108,26 +137,28 @@ class StackedEnsemble:
     def __init__(self, models: list[str]):
         self.models = models
 
-    def fit(self, rows: DataFrame) -> "StackedEnsemble | None":
+    def fit(self, rows: DataFrame) -> "StackedEnsemble":
+        """Raises ValueError on too few or only dry or wet rows; a loop over models records that and goes on."""
         if not enough(rows):
-            return None
-        wide = wide_rows(rows, self.models)
-        self.cals = [IsotonicCalibrator().fit(wide, f"p{i}", F.col("y_true") > 0) for i in range(len(self.models))]
+            raise ValueError(f"too few rows to stack {len(self.models)} models")
+        rows = rows.where(F.col("model").isin(self.models))
+        common = rows.join(wide_rows(rows, self.models).select(*KEYS), list(KEYS), "left_semi")
+        self.cal = calibration(common)
+        wide = materialise(self._wide(common), "stack")
         data = self._z(wide).withColumn("label", (F.col("y_true") > 0).cast("double"))
-        n = data.count()
-        self.clf = LogisticRegression(regParam=1.0 / n, standardization=False, maxIter=500).fit(data)
+        self.clf = LogisticRegression(regParam=1.0 / wide.count(), standardization=False, maxIter=500).fit(data)
         self.weights = nonneg_stack_weights(wide, len(self.models))
         return self
 
+    def _wide(self, rows: DataFrame) -> DataFrame:
+        return wide_rows(self.cal.apply(rows, "p_rain", "p_cal"), self.models, "p_cal")
+
     def _z(self, wide: DataFrame) -> DataFrame:
-        names = []
-        for i, cal in enumerate(self.cals):
-            wide = cal.apply(wide, f"p{i}", f"z{i}")
-            names.append(f"z{i}")
-        return assemble(wide.withColumn("zwet", (F.col("rain_now") > 0).cast("double")), [*names, "zwet"])
+        """Calibrated probabilities and the wet-now flag as one vector."""
+        return assemble(wide.withColumn("zwet", (F.col("rain_now") > 0).cast("double")), [*[f"p{i}" for i in range(len(self.models))], "zwet"])
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        d = self.clf.transform(self._z(wide_rows(rows, self.models)))
+        d = self.clf.transform(self._z(self._wide(rows.where(F.col("model").isin(self.models)))))
         y = F.lit(0.0)
         for i, w in enumerate(self.weights):
             y = y + F.lit(w) * F.col(f"y{i}")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeflow.models import baselines, fitted, hybrids, loop, sequential
+from gaugeflow.models import baselines, fitted, hybrids, isotonic, loop, sequential
 from gaugeflow.operators import radar, sequences
 from gaugeflow.operators.halo import Slices
 from gaugeflow.params import RadarParams
@@ -20,8 +20,8 @@ def series(spark, values, name="z"):
 @pytest.mark.parametrize("chunk", [10_080, 17])
 def test_filter_equals_loop(spark, chunk):
     z = np.random.default_rng(0).random(200)
-    for kind, theta in (("kalman_ll", [-3.0, -0.7]), ("kalman_llt", [-3.0, -5.0, -0.7, 1.0])):
-        f, _ = sequential.filter_of(kind, theta)
+    for model in (sequential.LocalLevel(-3.0, -0.7), sequential.DampedTrend(-3.0, -5.0, -0.7, 1.0), sequential.DrivenLevel(-3.0, -0.7, 1.0)):
+        f, _ = model.settled()
         got = [r["z_next"] for r in f.forecast(series(spark, z), slices=Slices(chunk)).orderBy("minute").collect()]
         x, want = np.zeros(len(f.k)), []
         for v in z:
@@ -48,6 +48,9 @@ def test_gain_solves_riccati():
     k, s = sequential.steady_gain(np.eye(1), np.array([[q]]), r, np.array([1.0]))
     p = (q + math.sqrt(q * q + 4 * q * r)) / 2
     assert s == pytest.approx(p + r) and k[0] == pytest.approx(p / (p + r))
+    for decay in (1.0, 0.7, 0.01):
+        k, s = sequential.steady_gain(np.array([[decay]]), np.array([[q]]), r, np.array([1.0]))
+        assert sequential.level_gain(decay, q, r) == pytest.approx((k[0], s), rel=1e-9)
 
 
 def test_search_prefers_the_generating_noise(spark):
@@ -56,14 +59,61 @@ def test_search_prefers_the_generating_noise(spark):
     z = x + rng.normal(0, 0.1, 400)
     blocks = spark.createDataFrame([(z.tolist(),)], "z array<double>")
     best = sequential.filter_likelihood_search(blocks, "kalman_ll")
-    assert best["theta"][0] > best["theta"][1]
+    assert best.model.log_drift > best.model.log_noise
     u = np.stack([np.ones(400), rng.random(400)], 1)
     y = np.zeros(400)
     for t in range(399):
         y[t + 1] = 0.8 * y[t] + u[t] @ [0.1, 0.7] + rng.normal(0, 0.05)
     driven = spark.createDataFrame([(y.tolist(), u.tolist())], "z array<double>, u array<array<double>>")
     got = sequential.filter_likelihood_search(driven, "kalman_x", "z", "u", 2)
-    assert got["b"][1] > 0.2
+    assert got.weights[1] > 0.2
+
+
+def test_search_meets_the_closed_form(spark):
+    """On pairs of values the best gain is a regression slope and the variance its mean squared residual."""
+    rng = np.random.default_rng(5)
+    z0 = rng.normal(0, 1, 500)
+    z1 = 0.6 * z0 + rng.normal(0, 0.3, 500)
+    blocks = spark.createDataFrame([([float(a), float(b)],) for a, b in zip(z0, z1)], "z array<double>")
+    got = sequential.filter_likelihood_search(blocks, "kalman_ll")
+    k = z0 @ z1 / (z0 @ z0)
+    v = ((z1 - k * z0) ** 2).mean()
+    assert got.filter.k[0] == pytest.approx(k, rel=1e-4) and got.variance == pytest.approx(v, rel=1e-4)
+    assert got.loss == pytest.approx(0.5 * (math.log(2 * math.pi * v) + 1), abs=1e-8)
+
+
+@pytest.mark.parametrize("kind", list(sequential.KINDS))
+def test_search_ends_at_a_minimum(spark, kind):
+    """The loss by a plain loop is the reported one, and no neighbour in any parameter is lower."""
+    rng = np.random.default_rng(6)
+    u = np.stack([np.ones(300), rng.random(300)], 1)
+    x, slope, z = 0.0, 0.0, []
+    for t in range(300):
+        z.append(x + rng.normal(0, 0.2))
+        slope = 0.7 * slope + rng.normal(0, 0.1)
+        x = 0.9 * x + slope + (u[t] @ [0.05, 0.3] if kind == "kalman_x" else 0) + rng.normal(0, 0.2)
+    z = np.array(z)
+    m = 2 if kind == "kalman_x" else 0
+    cut = [(z[:200].tolist(), u[:200].tolist()), (z[200:].tolist(), u[200:].tolist())]
+    got = sequential.filter_likelihood_search(spark.createDataFrame(cut, "z array<double>, u array<array<double>>"), kind, "z", "u" if m else None, m)
+
+    def loss(theta, weights):
+        f, s = sequential.KINDS[kind](*theta).settled(np.vstack([weights, np.zeros((1 if kind == "kalman_llt" else 0, m))]) if m else None)
+        errors = []
+        for zs, us in ((z[:200], u[:200]), (z[200:], u[200:])):
+            state = np.zeros(len(f.k))
+            for t in range(len(zs) - 1):
+                state = f.f @ state + f.k * zs[t] + (f.b @ us[t] if m else 0)
+                errors.append(zs[t + 1] - f.h @ state)
+        return 0.5 * (math.log(2 * math.pi * s) + np.mean(np.square(errors)) / s)
+
+    theta, weights = np.array([getattr(got.model, f) for f in got.model.__dataclass_fields__]), np.array(got.weights)
+    assert loss(theta, weights) == pytest.approx(got.loss, abs=1e-9)
+    for axis in range(len(theta) + m):
+        for sign in (1, -1):
+            step = np.zeros(len(theta) + m)
+            step[axis] = sign * 0.05
+            assert loss(theta + step[: len(theta)], weights + step[len(theta):]) >= got.loss - 1e-6
 
 
 @pytest.mark.parametrize("chunk", [10_080, 13])
@@ -81,12 +131,47 @@ def test_regime_filter(spark, chunk):
     assert np.allclose([r["p_rain"] for r in got], want, atol=1e-8)
 
 
+def whole_series_sums(model, rain):
+    """Expectation step over one series by the plain recursions."""
+    like, n, k = model.likelihood(rain), len(rain), model.k
+    a, norm, ahead = np.empty((n, k)), np.empty(n), model.prior
+    for t in range(n):
+        norm[t] = (ahead * like[t]).sum()
+        a[t] = ahead * like[t] / norm[t]
+        ahead = a[t] @ model.move
+    b, moves = np.ones((n, k)), np.zeros((k, k))
+    for t in range(n - 1, 0, -1):
+        b[t - 1] = model.move @ (like[t] * b[t]) / norm[t]
+        moves += a[t - 1][:, None] * model.move * (like[t] * b[t])[None, :] / norm[t]
+    g = a * b
+    wet, log = g * (rain > 0)[:, None], np.log(np.where(rain > 0, rain, 1))[:, None]
+    return np.concatenate([moves.ravel(), g[0], g.sum(0), (g - wet).sum(0), wet.sum(0), (wet * log).sum(0), (wet * log**2).sum(0), [np.log(norm).sum(), 1]])
+
+
+def wet_series(seed, n):
+    rng = np.random.default_rng(seed)
+    return np.where(rng.random(n) < 0.1 + 0.6 * (np.sin(np.arange(n) / 9) > 0.6), rng.choice([0.1, 0.2, 0.7], n), 0.0)
+
+
+@pytest.mark.parametrize("chunk", [1000, 17, 1])
+def test_expectation_sees_whole_series(spark, chunk):
+    """Slices of any length, one of them a single tick, give the sums of the uncut series."""
+    lengths = {"a": 103, "b": 1, "c": 17, "d": 40}
+    rows = [(s, i, float(v)) for k, (s, n) in enumerate(lengths.items()) for i, v in enumerate(wet_series(k, n))]
+    cut = sequential.stretches(spark.createDataFrame(rows, "station_id string, minute long, rain_rt double"), Slices(chunk))
+    m = sequential.RegimeModel()
+    want = sum(whole_series_sums(m, wet_series(k, n)) for k, n in enumerate(lengths.values()))
+    assert np.allclose(m.expectation(cut), want, atol=1e-8)
+
+
 def test_em_raises_the_likelihood(spark):
-    rng = random.Random(0)
-    wins = [(i, [rng.choice([0.0] * 8 + [0.1, 0.4]) if i % 2 else 0.0 for _ in range(60)]) for i in range(30)]
-    m = sequential.RegimeModel().fit(spark.createDataFrame(wins, "i int, rain array<double>").repartition(4), 5)
-    assert all(b >= a - 1e-6 for a, b in zip(m.loglik, m.loglik[1:]))
+    rows = [(s, i, float(v)) for s in range(6) for i, v in enumerate(wet_series(s, 120))]
+    cut = sequential.stretches(spark.createDataFrame(rows, "station_id long, minute long, rain_rt double"), Slices(50))
+    m = sequential.RegimeModel().fit(cut, 5)
+    assert len(m.loglik) == 5 and all(b >= a - 1e-6 for a, b in zip(m.loglik, m.loglik[1:]))
     assert list(m.p_zero) == sorted(m.p_zero, reverse=True) and np.allclose(m.move.sum(1), 1)
+    nothing = sequential.RegimeModel().fit(cut.limit(0), 2)
+    assert nothing.loglik == [] and (nothing.move == sequential.RegimeModel().move).all()
 
 
 def test_motion_sign_and_size(spark):
@@ -122,11 +207,53 @@ def test_image_with_wrong_shape_is_skipped(spark):
 def test_isotonic_is_monotone_and_clipped(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([(x / 100, float(rng.random() < x / 100)) for x in range(100)] + [(5.0, 1.0), (None, 0.0)], "s double, o double")
-    cal = fitted.IsotonicCalibrator().fit(df.where("s < 1"), "s", F.col("o"))
+    cal = isotonic.IsotonicCalibrator().fit(df.where("s < 1"), "s", F.col("o"))
     got = [r["p"] for r in cal.apply(df, "s", "p").orderBy("s").collect()]
     assert all(b >= a - 1e-12 for a, b in zip(got, got[1:])) and 0 <= min(got) and max(got) <= 1
 
 
+def pool_adjacent(points):
+    stack = []
+    for x, s, w in points:
+        stack.append([x, x, s, w])
+        while len(stack) > 1 and stack[-2][2] * stack[-1][3] >= stack[-1][2] * stack[-2][3]:
+            _, hi, s1, w1 = stack.pop()
+            stack[-1] = [stack[-1][0], hi, stack[-1][2] + s1, stack[-1][3] + w1]
+    return [(lo, hi, s / w) for lo, hi, s, w in stack]
+
+
+@pytest.mark.parametrize("fan", [2, 8])
+def test_isotonic_merge_equals_one_stack(spark, fan):
+    """Rising, falling, flat, saw-toothed and noisy curves side by side, cut into many partitions."""
+    rng = np.random.default_rng(fan)
+    x = np.arange(400)
+    shapes = {"up": x, "down": -x, "flat": rng.random(400), "saw": x % 50 - x / 40, "noisy": x / 100 + rng.normal(0, 1, 400), None: np.sin(x / 30)}
+    rows = [(c, float(i), float(v), float(1 + i % 3)) for c, vs in shapes.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "c string, x double, y double, w double")
+    got = isotonic.levels(isotonic.pooled(df, F.col("x"), F.col("y"), F.col("w"), F.col("c")), fan).collect()
+    for c, vs in shapes.items():
+        want = pool_adjacent([(float(i), float(v) * (1 + i % 3), 1.0 + i % 3) for i, v in enumerate(vs)])
+        mine = sorted((r["lo"], r["hi"], r["value"]) for r in got if r["curve"] == c)
+        assert [m[:2] for m in mine] == [w[:2] for w in want], c
+        assert np.allclose([m[2] for m in mine], [w[2] for w in want])
+
+
+def test_isotonic_in_pieces_and_by_curve(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(c, float(x), float(rng.random() < x / 50)) for c in ("a", "b") for x in range(50) for _ in range(5)]
+    df = spark.createDataFrame([*rows, ("z", 3.0, 1.0), ("a", None, 0.0), ("a", 99.0, 1.0), ("a", 7.5, 0.0)], "model string, s double, o double")
+    cal = isotonic.IsotonicCalibrator().fit(df.where("model <> 'z'"), "s", F.col("o"), curve="model")
+    want = sorted(map(str, cal.apply(df, "s", "p").collect()))
+    assert sum(r["p"] is None for r in cal.apply(df, "s", "p").collect()) == 1
+    monkeypatch.setattr(isotonic, "PIECE", 3)
+    assert sorted(map(str, cal.apply(df, "s", "p").collect())) == want
+
+
+def test_isotonic_without_rows(spark):
+    df = spark.createDataFrame([], "s double, o double")
+    assert isotonic.IsotonicCalibrator().fit(df, "s", F.col("o")).apply(df, "s", "p").count() == 0
+
+
 def test_nonneg_weights(spark):
     rng = np.random.default_rng(0)
     y = rng.random((300, 3))
