@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gaugeflow.functions import rain
-from gaugeflow.models import baselines, fitted, hybrids, loop, sequential
+from gaugeflow.models import baselines, boosting, fitted, hybrids, loop, sequential
 from gaugeflow.models.isotonic import IsotonicCalibrator, levels, pooled
 from gaugeflow.operators import sequences, verify
 from gaugeflow.session import materialise
@@ -277,13 +277,33 @@ def logistic_hurdle(p):
 @query("boosted_hurdle")
 def boosted_hurdle(p):
     train, val, test = three_way(p)
-    return fitted.BoostedHurdle(groups=("P",), rounds=4, depth=3).fit(train, val).predict(test).select("station_id", "minute", *OUT.split())
+    return fitted.BoostedHurdle(rounds=6).fit(train, val).predict(test).select("station_id", "minute", *OUT.split())
+
+
+@query("leaf_quantiles", """
+SELECT CAST(station_id AS INT) AS station, min(y) FILTER (upto >= 0.9*total*(1-1e-12)) AS q90 FROM (
+ SELECT station_id, y, sum(w) OVER (PARTITION BY station_id ORDER BY y) AS upto, sum(w) OVER (PARTITION BY station_id) AS total FROM tab_train) GROUP BY 1""", dbl="q90", long="station")
+def leaf_quantiles(p):
+    """Weighted 0.9 quantile of the amount per station, by the refined counts that the boosted quantile uses for its leaves."""
+    rows = tab_train(p).select(F.col("station_id").cast("int").alias("leaf"), F.col("y").alias("r"), "w")
+    n = rows.agg(F.max("leaf")).first()[0] + 1
+    there = rows.select("leaf").distinct()
+    return there.select(F.col("leaf").alias("station"), boosting._of(boosting.leaf_quantiles(rows, n, 0.9)).alias("q90"))
+
+
+@query("tweedie_start_and_slopes", """
+SELECT station_id, minute, y*pow(m, -0.3)-pow(m, 0.7) AS slope, pow(m, 0.7)/0.7+y*pow(m, -0.3)/0.3 AS loss FROM tab_train, (SELECT sum(w*y)/sum(w) AS m FROM tab_train)""", dbl="slope loss")
+def tweedie_start_and_slopes(p):
+    """The first round's target: slope and deviance part at the best constant."""
+    loss, rows = boosting.Tweedie(1.3), tab_train(p)
+    f = F.lit(loss.start(rows))
+    return rows.select("station_id", "minute", loss.slope(F.col("y"), f).alias("slope"), loss.loss(F.col("y"), f).alias("loss"))
 
 
 @query("tweedie_amount")
 def tweedie_amount(p):
     train, val, test = three_way(p)
-    return fitted.TweedieAmount(groups=("T",)).fit(train, val).predict(test).select("station_id", "minute", *OUT.split())
+    return fitted.TweedieAmount(rounds=8).fit(train, val).predict(test).select("station_id", "minute", *OUT.split())
 
 
 LOOP_SQL = " UNION ALL ".join(f"SELECT '{pre}{m}' AS model, 'test' AS split, t.station_id, t.minute, {v} FROM tab t, (SELECT sum(y*w)/sum(w) AS m, sum((y>0)::INT*w)/sum(w) AS s FROM tab_train) o "

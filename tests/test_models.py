@@ -5,9 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
-from gaugeflow.models import baselines, fitted, hybrids, isotonic, loop, sequential
+from gaugeflow.models import baselines, boosting, fitted, hybrids, isotonic, loop, sequential
 from gaugeflow.operators import radar, sequences
 from gaugeflow.operators.halo import Slices
 from gaugeflow.params import RadarParams
@@ -271,6 +272,56 @@ def test_singular_least_squares_is_minimum_norm(spark):
     assert (r["coef_a"], r["coef_b"]) == pytest.approx((0.6, 1.2))
 
 
+@pytest.mark.parametrize("bins", [2, 256])
+def test_leaf_quantiles_are_exact(spark, bins):
+    rng = np.random.default_rng(bins)
+    rows = [(float(k), float(v), float(w)) for k, n in enumerate((0, 1, 7, 300, 40)) for v, w in zip(rng.choice([rng.random(), 0.0, 0.1, 1e9, -3.0], n) if k % 2 else rng.normal(0, 1, n), rng.integers(0, 4, n) + 0.5)]
+    got = boosting.leaf_quantiles(spark.createDataFrame(rows, "leaf double, r double, w double"), 5, 0.9, bins)
+    for k in range(5):
+        mine = sorted((v, w) for leaf, v, w in rows if leaf == k)
+        want, total, upto = 0.0, sum(w for _, w in mine), 0.0
+        for v, w in mine:
+            upto += w
+            if upto >= 0.9 * total * (1 - 1e-12):
+                want = v
+                break
+        assert got[k] == want
+
+
+@pytest.fixture(scope="module")
+def skewed_amounts(spark):
+    """Amounts with many zeros whose mean and spread bend with two inputs; half for validation."""
+    rng = np.random.default_rng(8)
+    a, b = rng.random(1600), rng.random(1600)
+    wet = rng.random(1600) < 0.15 + 0.65 * (abs(a - 0.5) < 0.2)
+    y = np.where(wet, np.round(rng.gamma(1.0 + 3 * (b > 0.5) * (abs(a - 0.5) < 0.2), 0.4), 1), 0.0)
+    rows = [(float(p), float(q), float(v), 1.0 + i % 2, i % 2 == 1) for i, (p, q, v) in enumerate(zip(a, b, y))]
+    return fitted.assemble(spark.createDataFrame(rows, "a double, b double, y double, w double, is_val boolean"), ["a", "b"]).cache()
+
+
+def held_out(df, loss, value):
+    return df.where("is_val").agg(F.sum(F.col("w") * loss.loss(F.col("y"), value)) / F.sum("w")).first()[0]
+
+
+def test_pinball_boosting_beats_one_tree(spark, skewed_amounts):
+    df, loss = skewed_amounts, boosting.Pinball(0.9)
+    m = boosting.Booster(loss, rounds=12, depth=3, step=0.3).fit(df)
+    assert len(m.trees) >= 3 and all(b < a for a, b in zip(m.losses, m.losses[1:]))
+    assert held_out(m.predict(df, "q"), loss, F.col("q")) == pytest.approx(m.losses[-1])
+    tree = DecisionTreeRegressor(labelCol="y", weightCol="w", maxDepth=3, leafCol="leaf").fit(df.where("NOT is_val"))
+    values = boosting.leaf_quantiles(tree.transform(df.where("NOT is_val")).select("leaf", F.col("y").alias("r"), "w"), tree.numNodes // 2 + 1, 0.9)
+    assert m.losses[-1] < held_out(tree.transform(df), loss, boosting._of(values))
+
+
+def test_tweedie_boosting_beats_the_linear_model(spark, skewed_amounts):
+    df, loss = skewed_amounts, boosting.Tweedie(1.3)
+    m = boosting.Booster(loss, rounds=12, depth=3, step=0.3).fit(df)
+    assert len(m.trees) >= 3 and all(b < a for a, b in zip(m.losses, m.losses[1:]))
+    assert held_out(m.predict(df, "mu"), loss, F.log("mu")) == pytest.approx(m.losses[-1])
+    glm = GeneralizedLinearRegression(family="tweedie", variancePower=1.3, linkPower=0.0, labelCol="y", weightCol="w", regParam=1e-3).fit(df.where("NOT is_val"))
+    assert m.losses[-1] < held_out(glm.transform(df), loss, F.log("prediction"))
+
+
 def test_hurdle_models_learn(spark):
     rng = random.Random(4)
     rows = []
@@ -279,7 +330,7 @@ def test_hurdle_models_learn(spark):
         x = rng.gauss(1.0 if wet else -1.0, 0.5)
         rows.append(("a", i, x, rng.random(), 0.3 if wet and x > 1 else 0.1 if wet else 0.0, 1.0, 0.0))
     df = spark.createDataFrame(rows, "station_id string, minute long, P_a double, N_b double, y double, w double, rain_now double")
-    for m in (fitted.LogisticHurdle(), fitted.BoostedHurdle(rounds=5, depth=3), fitted.TweedieAmount()):
+    for m in (fitted.LogisticHurdle(), fitted.BoostedHurdle(rounds=5, depth=3), fitted.TweedieAmount(rounds=5, depth=3, step=0.5)):
         out = m.fit(df, df).predict(df)
         wet, dry = out.where("y > 0").agg(F.avg("p_rain")).first()[0], out.where("y = 0").agg(F.avg("p_rain")).first()[0]
         assert wet > dry + 0.3 and out.agg(F.min("y_hat")).first()[0] >= 0
