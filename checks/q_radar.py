@@ -172,9 +172,9 @@ WHOLE_SQL = f"WITH {_motion_cte(8, 8)} {_motion_sql('> 0.32', 'true', -9, f'scan
 
 @query("tile_motion", f"SELECT * FROM ({TILES_SQL})", dbl="tile_r tile_c vy vx", digits=4)
 def tile_motion(p):
-    return radar.tile_motion(p.comp, RADAR, coarse=1)[0]
+    return radar.tile_motion(p.comp, RADAR)[0]
 
 
 @query("whole_field_motion", f"SELECT * FROM ({WHOLE_SQL})", dbl="vy vx", digits=4)
 def whole_field_motion(p):
-    return radar.tile_motion(p.comp, RADAR, coarse=1)[1]
+    return radar.tile_motion(p.comp, RADAR, coarse=3)[1]

@@ -188,6 +188,29 @@ def test_motion_sign_and_size(spark):
     assert radar.tile_motion(gap, p)[0].count() == 0
 
 
+def test_bounded_search_equals_the_exhaustive_one(spark):
+    """Noise, a moved block whose coarse picture points elsewhere, and lone pixels; squares of any side give the same vectors."""
+    p = RadarParams(size=24, tile=12, tile_step=6, min_wet=0.0, min_peak=0.0, global_min_wet=0.0, max_speed=0.7)
+    rng = np.random.default_rng(11)
+    noise = rng.random((24, 24)) * (rng.random((24, 24)) < 0.3)
+    block = rng.random((5, 5)) + 0.5
+    later = np.zeros((24, 24))
+    later[9:14, 6:11] = block
+    later[0:9, 0:24:2] = 0.8
+    earlier = np.zeros((24, 24))
+    earlier[6:11, 8:13] = block
+    earlier[12:21, 1:24:2] = 0.9
+    lone = np.zeros((24, 24))
+    lone[3, 4] = lone[20, 22] = 1.0
+    fields = [noise, np.roll(noise, (2, -3), (0, 1)), earlier, later, lone, np.roll(lone, 1, 0), noise * 0]
+    comp = spark.createDataFrame([(10 * t, r, c, float(f[r, c])) for t, f in enumerate(fields) for r in range(24) for c in range(24)], "scan long, row long, col long, rain double").cache()
+    rows = lambda dfs: [sorted(tuple(round(v, 7) for v in r) for r in d.collect()) for d in dfs]
+    want = rows(radar.tile_motion(comp, p, 1))
+    assert len(want[0]) > 10 and len(want[1]) >= 4
+    for coarse in (3, 4):
+        assert rows(radar.tile_motion(comp, p, coarse)) == want
+
+
 def test_grid_map_finds_the_radar_pixel(spark):
     g = spark.createDataFrame([("s", 0, 40, 40, 1.0, 1.0, 10.28, 55.92, 10.6, 56.1)],
                               "site string, geom_id int, nx int, ny int, xscale double, yscale double, ll_lon double, ll_lat double, lon0 double, lat0 double")
