@@ -211,6 +211,42 @@ def test_bounded_search_equals_the_exhaustive_one(spark):
         assert rows(radar.tile_motion(comp, p, coarse)) == want
 
 
+@pytest.mark.parametrize("band", [64, 5])
+def test_bands_equal_windows_cut_by_hand(spark, band, monkeypatch):
+    """Unknown and missing cells, stations at the edges and beyond, windows and upstream cells over the border of a band."""
+    monkeypatch.setattr(radar, "BAND", band)
+    p = RadarParams(size=20, windows=(3, 5, 9), max_lead=4)
+    rng = np.random.default_rng(3)
+    field = {(t, r, c): None if rng.random() < 0.3 else float(rng.random() * (rng.random() < 0.5)) for t in (0, 5) for r in range(20) for c in range(20) if rng.random() < 0.9 and not (t == 5 and r > 9)}
+    comp = spark.createDataFrame([(*k, v) for k, v in field.items()], "scan long, row long, col long, rain double")
+    spots = [("a", 0, 0), ("b", 19, 19), ("c", 10, 4), ("d", 5, 19), ("e", 9, 9)]
+    got = {(r["scan"], r["station_id"]): r.asDict() for r in radar.pixel_window_stats(comp, spark.createDataFrame(spots, "station_id string, row long, col long"), p).collect()}
+    want = 0
+    for t in (0, 5):
+        for s, y, x in spots:
+            for k in p.windows:
+                cells = [(r, c) for r in range(max(y - k // 2, 0), min(y + k // 2, 19) + 1) for c in range(max(x - k // 2, 0), min(x + k // 2, 19) + 1)]
+                known = [field[t, r, c] for r, c in cells if field.get((t, r, c)) is not None]
+                row = got.get((t, s))
+                if row is None:
+                    assert not any((t, r, c) in field for r, c in cells)
+                    continue
+                want += k == 9
+                expected = (np.mean(known), max(known), sum(v > p.wet_mmh for v in known) / len(cells)) if known else (None,) * 3
+                assert tuple(row[f"radar_{n}{k}"] for n in ("r_mean", "r_max", "wetfrac")) == (expected if not known else pytest.approx(expected))
+                if k == 9:
+                    assert row["radar_nodata9"] == pytest.approx(1 - len(known) / len(cells)) and row["radar_r_pix"] == field.get((t, y, x))
+    assert want == len(got)
+    moves = [(t, s, y, x, float(rng.normal()) * 2, float(rng.normal()) * 2) for t in (0, 5) for s, y, x in spots]
+    moving = spark.createDataFrame(moves, "scan long, station_id string, row long, col long, vy double, vx double")
+    for r in radar.advect_nowcast(comp, moving, p).collect():
+        for lead, v in enumerate(r["adv"], 1):
+            y, x = round(r["row"] + r["radar_motion_v"] * lead), round(r["col"] - r["radar_motion_u"] * lead)
+            near = [field.get((r["scan"], y + i, x + j)) for i in (-1, 0, 1) for j in (-1, 0, 1)] if 1 <= y <= 18 and 1 <= x <= 18 else []
+            near = [q for q in near if q is not None]
+            assert v == (pytest.approx(np.mean(near)) if near else None)
+
+
 def test_grid_map_finds_the_radar_pixel(spark):
     g = spark.createDataFrame([("s", 0, 40, 40, 1.0, 1.0, 10.28, 55.92, 10.6, 56.1)],
                               "site string, geom_id int, nx int, ny int, xscale double, yscale double, ll_lon double, ll_lat double, lon0 double, lat0 double")

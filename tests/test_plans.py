@@ -6,7 +6,8 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from gaugeflow.operators import truth
+from checks.proxies import RADAR, Proxy
+from gaugeflow.operators import radar, truth
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -50,6 +51,17 @@ def test_composite_expands_inside_the_task(spark):
     assert not re.search(r"Exchange hashpartitioning\(scan#\d+L, row", plan)
 
 
+def test_radar_windows_are_read_from_bands(spark):
+    for name in ("pixel_window_stats", "advect_nowcast"):
+        plan = plan_of(entry.queries()[name](spark, SF))
+        assert not re.search(r"Exchange hashpartitioning\((scan#\d+L, )?row", plan), name
+    view = Proxy(spark, SF)
+    plan = plan_of(radar.pixel_window_stats(view.comp, view.st_px, RADAR))
+    assert len(re.findall(r"Exchange hashpartitioning\(scan#\d+L, band", plan)) == 1 and len(re.findall(r"Exchange hashpartitioning\(scan", plan)) == 1
+    plan = plan_of(radar.advect_nowcast(view.comp, view.moving, RADAR))
+    assert len(re.findall(r"Exchange hashpartitioning\(scan#\d+L, band", plan)) == 2  # cells and reads, nothing else by cell
+
+
 def test_slice_reaches_the_scan(spark, tmp_path):
     df = spark.createDataFrame([("a", m, 0.1, 1, 2.0) for m in range(50)], "station_id string, minute long, precip double, valid int, temp_dry double")
     df.write.parquet(str(tmp_path / "t"))
