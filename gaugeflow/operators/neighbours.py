@@ -16,7 +16,7 @@ from .channels import CELLS
 from .halo import Slices, fits_broadcast, spread
 from .stations import pair_profile
 
-SALTS = 64
+ROWS_A_TASK = 1_000_000  # signals of one partner that a task joins with its pairs
 
 
 def neighbour_profile(pairs: DataFrame, stations: DataFrame, p: ChannelParams = ChannelParams()) -> DataFrame:
@@ -34,15 +34,17 @@ def neighbour_signal_join(signals: DataFrame, profile: DataFrame, values: list[s
 
     Small profile: the signals are spread by minute first, the join is a broadcast and everything
     downstream (per station and minute) needs no further shuffle. Larger profile: equi-join on
-    the partner and a salt, so that one station holding much of the data is split over tasks.
+    the partner and a salt, as many as the partner with most signals needs.
     """
     own = [F.struct(*payload).alias("own_")] if payload else []
     sig = signals.select(F.col("station_id").alias("neighbour_id"), "minute", *values, *own)
     if fits_broadcast(profile):
         out = spread(sig, "minute").join(profile, "neighbour_id")
     else:
-        salted = profile.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = (sig.withColumn("salt_", F.pmod(F.col("minute"), F.lit(SALTS)).cast("int"))
+        most = signals.groupBy("station_id").count().agg(F.max("count")).first()[0] or 0
+        salts = max(1, -(-most // ROWS_A_TASK))
+        salted = profile.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        out = (sig.withColumn("salt_", F.pmod(F.col("minute"), F.lit(salts)).cast("int"))
                .join(salted, ["neighbour_id", "salt_"]).drop("salt_"))
     if payload:
         out = out.withColumn("own_", F.when(F.col("is_self"), F.col("own_")))

@@ -2,7 +2,7 @@
 
 Frames are long: one row per (model, station_id, minute) with ``y_true``, ``rain_now``, ``p_rain``,
 ``y_hat`` and ``q90``. Every score is a grouped aggregate with partial sums before the shuffle;
-rank-based scores first fold rows to distinct scores and then rank those in balanced buckets.
+rank-based scores first fold rows to distinct scores and then rank those by one range partitioning.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import deployable, model_family
 from ..params import EvalParams
+from ..session import materialise
 
 KEYS = ("station_id", "minute")
 
@@ -156,28 +157,26 @@ def reliability_table(df: DataFrame, by: list[str], bins: int = 10) -> DataFrame
 
 
 # ----------------------------------------------------------------------------- rank-based scores
-def ranked_scores(df: DataFrame, by: list[str], score: Column, event: Column, buckets: int = 200) -> DataFrame:
+def ranked_scores(df: DataFrame, by: list[str], score: Column, event: Column) -> DataFrame:
     """Distinct scores per group with their counts and the counts below them.
 
-    Bucket edges come from a mergeable quantile sketch of the distinct scores, so every bucket is
-    ranked by its own task whatever the distribution; bucket totals give the offsets. The edges, one
-    row per group (a model or the like), are sent along instead of shuffling scores by group.
+    One range partitioning by group and score puts the distinct scores in order; it is written, so that every reader sees
+    the same partitions. Totals per group and partition give the offsets, and a window never holds more than a partition.
     """
     rows = df.select(*by, score.cast("double").alias("score"), event.alias("event_")).where("score is not null")
     seen = rows.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("event_").cast("long")).alias("pos"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    edges = seen.groupBy(*by).agg(F.percentile_approx("score", cuts, 10 * buckets).alias("edges_"))
-    seen = seen.join(F.broadcast(edges), by).withColumn("bucket_", F.size(F.filter("edges_", lambda e: e < F.col("score")))).drop("edges_")
-    totals = seen.groupBy(*by, "bucket_").agg(F.sum("n").alias("bn_"), F.sum("pos").alias("bp_"))
-    before = Window.partitionBy(*by).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialise(seen.repartitionByRange(parts, *by, "score").withColumn("part_", F.spark_partition_id()), "ranks")
+    totals = placed.groupBy(*by, "part_").agg(F.sum("n").alias("bn_"), F.sum("pos").alias("bp_"))
+    before = Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*by)
-    offsets = totals.select(*by, "bucket_", F.coalesce(F.sum("bn_").over(before), F.lit(0)).alias("on_"),
+    offsets = totals.select(*by, "part_", F.coalesce(F.sum("bn_").over(before), F.lit(0)).alias("on_"),
                             F.coalesce(F.sum("bp_").over(before), F.lit(0)).alias("op_"),
                             F.sum("bn_").over(group).alias("total"), F.sum("bp_").over(group).alias("total_pos"))
-    inside = Window.partitionBy(*by, "bucket_").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (seen.join(offsets, [*by, "bucket_"])
-            .withColumns({"below": F.col("on_") + F.sum("n").over(inside) - F.col("n"),
-                          "pos_below": F.col("op_") + F.sum("pos").over(inside) - F.col("pos")})
+    inside = Window.partitionBy(*by, "part_").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.withColumns({"upto_": F.sum("n").over(inside), "pos_upto_": F.sum("pos").over(inside)})
+    return (ranked.join(offsets, [*by, "part_"])
+            .withColumns({"below": F.col("on_") + F.col("upto_") - F.col("n"), "pos_below": F.col("op_") + F.col("pos_upto_") - F.col("pos")})
             .select(*by, "score", "n", "pos", "below", "pos_below", "total", "total_pos"))
 
 

@@ -89,7 +89,8 @@ def test_ring_edge_and_lonely_station(spark):
     assert got["c"]["regional_wind_u"] == 0.0 and got["c"]["nb_mean"] == 0.0
 
 
-def test_salted_and_broadcast_joins_agree(spark):
+def test_salted_and_broadcast_joins_agree(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ROWS_A_TASK", 100)
     t = table(spark)
     own = channels.station_channels(observations(spark, 1), t, Clock())
     prof = neighbours.neighbour_profile(stations.station_pair_table(t), t)

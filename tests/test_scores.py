@@ -33,7 +33,7 @@ def test_threshold_and_ranks_match_brute_force(spark):
     rng = random.Random(5)
     rows = [("m", rng.choice([0.0, 0.0, 0.0, rng.random(), round(rng.random(), 1)]), rng.random() < 0.3) for _ in range(700)]
     df = spark.createDataFrame(rows, "model string, s double, o boolean")
-    ranks = {r["score"]: r for r in verify.ranked_scores(df, ["model"], F.col("s"), F.col("o"), 7).collect()}
+    ranks = {r["score"]: r for r in verify.ranked_scores(df, ["model"], F.col("s"), F.col("o")).collect()}
     s = np.array([r[1] for r in rows])
     o = np.array([r[2] for r in rows])
     for v, r in ranks.items():
