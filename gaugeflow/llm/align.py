@@ -7,8 +7,8 @@ that covers it; both directions together are all overlaps. Where two overlapping
 byte, a group ends. Links are all pairs of A and B tokens of a group.
 
 Texts are cut into segments before a space that follows a printable ASCII byte and is followed by no
-space. No token of either side reaches over such a place, so each distinct segment of a batch is
-encoded once by the libraries.
+space. No token of either side reaches over such a place, so each distinct segment is encoded
+once a worker by the libraries (those beyond ``KEEP`` once a batch).
 
 ``link_counts`` counts in how many documents of the corpus an id pair is linked. A chunk of some 16 MB of
 text hands on its distinct pairs once each, with the number of its documents that hold them, so neither
@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -41,7 +42,10 @@ from .words import span_hashes, text_slices
 SLICE, CHUNK = 1 << 21, 1 << 24
 #: A group with more pairs than this is first folded to its distinct ids with their numbers.
 WIDE = 64
+#: Segments a worker keeps (some 100 bytes each).
+KEEP = 1 << 19
 _SIDES: dict[str, "Side"] = {}
+_MEMORY: dict[tuple[str, str], "Segments"] = {}
 
 
 class Side:
@@ -78,7 +82,7 @@ class Side:
         got = self.run([s.decode("utf-8") for s in segments])
         same = np.array([b"".join([self.pieces[i] for i in ids]) == s for ids, s in zip(got, segments, strict=True)], bool)
         counts = np.array([len(ids) for ids in got], np.int64)
-        return np.fromiter((i for ids in got for i in ids), np.int64, int(counts.sum())), counts, same
+        return np.fromiter(chain.from_iterable(got), np.int64, int(counts.sum())), counts, same
 
 
 def _byte_letters() -> list[str]:
@@ -88,6 +92,46 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
 
+class Segments:
+    """Segments a worker has encoded by both sides, known by their 64-bit hash.
+
+    At most ``KEEP`` stay from batch to batch, the first that come, which are the frequent ones; others are encoded anew.
+    """
+
+    def __init__(self, sides: tuple[Side, Side]):
+        self.sides = sides
+        self.hashes, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.counts = [[np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2]
+        self.same = np.zeros(0, bool)
+
+    def entries(self, hashes: np.ndarray, segments) -> np.ndarray:
+        """The entry of each (distinct, ascending) hash; ``segments(places)`` gives the bytes of those not known yet."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        out = np.empty(len(hashes), np.int64)
+        out[known] = self.entry[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            texts = segments(new)
+            coded = [s.encode(texts) for s in self.sides]
+            out[new] = len(self.same) + np.arange(len(new))
+            self.flat = [np.concatenate([f, c[0]]) for f, c in zip(self.flat, coded, strict=True)]
+            self.counts = [np.concatenate([f, c[1]]) for f, c in zip(self.counts, coded, strict=True)]
+            self.same = np.concatenate([self.same, coded[0][2] & coded[1][2]])
+            if len(self.same) <= KEEP:
+                every = np.concatenate([self.hashes, hashes[new]])
+                order = np.argsort(every, kind="stable")
+                self.hashes, self.entry = every[order], np.concatenate([self.entry, out[new]])[order]
+        return out
+
+    def forget(self) -> None:
+        """Drop the entries that are not kept."""
+        n = len(self.hashes)
+        if n < len(self.same):
+            self.flat = [f[: int(c[:n].sum())] for f, c in zip(self.flat, self.counts, strict=True)]
+            self.counts, self.same = [c[:n] for c in self.counts], self.same[:n]
+
+
 def side(path: str) -> Side:
     """The worker's tokenizer for a file; kept between tasks."""
     if path not in _SIDES:
@@ -95,6 +139,14 @@ def side(path: str) -> Side:
     return _SIDES[path]
 
 
+def segments(left: str, right: str) -> Segments:
+    """The worker's memory for two tokenizers; kept between tasks."""
+    key = left, right
+    if key not in _MEMORY:
+        _MEMORY[key] = Segments((side(left), side(right)))
+    return _MEMORY[key]
+
+
 class Tokens(NamedTuple):
     """The tokens of one side in a batch: id, document, first byte and the byte after the last (over the batch)."""
 
@@ -122,7 +174,7 @@ def _gather(flat: np.ndarray, counts: np.ndarray, which: np.ndarray) -> np.ndarr
     return flat[np.repeat((np.cumsum(counts) - counts)[which] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)]
 
 
-def tokenise(raw: np.ndarray, off: np.ndarray, sides: tuple[Side, Side]) -> list[Tokens]:
+def tokenise(raw: np.ndarray, off: np.ndarray, memory: Segments) -> list[Tokens]:
     """Tokens of both sides for the texts in ``raw``; a text that a side does not give back has none on either."""
     full = np.diff(off) > 0
     raw = np.insert(raw, off[:-1][full], 32)
@@ -133,19 +185,18 @@ def tokenise(raw: np.ndarray, off: np.ndarray, sides: tuple[Side, Side]) -> list
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], len(raw))[: len(starts)]
     doc = np.searchsorted(off, starts, "right") - 1
-    _, first, kind = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+    hashes, first, kind = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
     blob = raw.tobytes()
-    segments = [blob[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-    coded = [s.encode(segments) for s in sides]
+    entry = memory.entries(hashes, lambda new: [blob[x:y] for x, y in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])[kind]
     lost = np.zeros(len(off) - 1, bool)
-    for _, _, same in coded:
-        lost[doc[~same[kind]]] = True
-    doc, kind = doc[~lost[doc]], kind[~lost[doc]]
+    lost[doc[~memory.same[entry]]] = True
+    doc, entry = doc[~lost[doc]], entry[~lost[doc]]
     out = []
-    for s, (flat, counts, _) in zip(sides, coded, strict=True):
-        ids = _gather(flat, counts, kind)
+    for s, flat, counts in zip(memory.sides, memory.flat, memory.counts, strict=True):
+        ids = _gather(flat, counts, entry)
         end = np.cumsum(s.size[ids])
-        out.append(Tokens(ids, np.repeat(doc, counts[kind]), end - s.size[ids], end))
+        out.append(Tokens(ids, np.repeat(doc, counts[entry]), end - s.size[ids], end))
+    memory.forget()
     return out
 
 
@@ -221,19 +272,19 @@ def written_groups(found: Aligned, sides: tuple[Side, Side], docs: int) -> list[
     return [blob[x:y] for x, y in zip(reach[:-1].tolist(), reach[1:].tolist(), strict=True)]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], sides: tuple[Side, Side]) -> Iterator[tuple[pa.Array, int, Aligned]]:
+def _batches(batches: Iterator[pa.RecordBatch], left: str, right: str) -> Iterator[tuple[pa.Array, int, Aligned]]:
     """(document ids, bytes of text, alignment) for slices of some 2 MB of text."""
+    memory = segments(left, right)
     for batch in batches:
         for i, j, raw, off in text_slices(batch.column(1), SLICE):
-            yield batch.column(0).slice(i, j - i), len(raw), align(*tokenise(raw, off, sides))
+            yield batch.column(0).slice(i, j - i), len(raw), align(*tokenise(raw, off, memory))
 
 
 def alignments(documents: DataFrame, left: str, right: str) -> DataFrame:
     """Per document: doc_id, a_ids, b_ids, a_group, b_group (the group of each token, from 0 on), over_a and over_b (the overlapping tokens, by number)."""
 
     def run(batches):
-        sides = side(left), side(right)
-        for doc_ids, _, x in _batches(batches, sides):
+        for doc_ids, _, x in _batches(batches, left, right):
             first = np.searchsorted(x.group_doc, np.arange(len(doc_ids)))
             edges = [np.searchsorted(d, np.arange(len(doc_ids) + 1)) for d in (x.a.doc, x.b.doc, x.a.doc[x.overlaps[0]])]
 
@@ -290,7 +341,7 @@ def link_counts(documents: DataFrame, left: str, right: str) -> DataFrame:
                 yield [pa.array([name] * n), pa.array([False] * n), doc_ids, *columns, pa.array(packed, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))]
             yield [[name], [True], *[[None]] * 8, [keys], [docs]]
 
-        for doc_ids, n_bytes, x in _batches(batches, sides):
+        for doc_ids, n_bytes, x in _batches(batches, left, right):
             n = len(doc_ids)
             doc, pair, links = pairs(x, sides)
             text = written_groups(x, sides, n)

@@ -7,12 +7,14 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
 from gaugeflow.llm import align, fingerprints, queries, whitening
+from gaugeflow.llm.words import text_slices
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, a int, fp bigint, pair string, key bigint, n bigint"
@@ -80,6 +82,21 @@ def plain_alignment(texts):
     return out
 
 
+def test_segments_beyond_the_kept_ones(monkeypatch):
+    """Batches encoded with a memory of any size give the same tokens."""
+    texts = pa.array([prose(k % 7, 40) + f" word{k}" for k in range(60)])
+    sides = align.side(A), align.side(B)
+
+    def tokens(keep):
+        monkeypatch.setattr(align, "KEEP", keep)
+        memory = align.Segments(sides)
+        out = [t.ids.tolist() for _, _, raw, off in text_slices(texts, 1000) for t in align.tokenise(raw, off, memory)]
+        assert len(memory.same) <= max(keep, 0) and len(memory.hashes) == len(memory.same)
+        return out
+
+    assert tokens(1 << 19) == tokens(50) == tokens(0)
+
+
 def same_rows(got, want):
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(map(tuple, want), key=key)
