@@ -108,23 +108,59 @@ def drop_resent(stream: DataFrame, delay: str = "270 minutes") -> DataFrame:
 class LiveNowcast:
     """Structured Streaming service: records -> state table -> forecast table.
 
-    State alternates between two folders by epoch. Replaying an epoch after a failure reads the
-    other folder, which still holds the previous epoch, and overwrites its own: no record counts
-    twice and no old state is lost.
+    Every epoch writes the state to a folder of its own and starts from the last whole one before it, whichever epoch that
+    was. An epoch replayed after a failure overwrites its folder, so no record counts twice. A progress folder belongs to a
+    run; a new one over the same root starts a new run, whose epochs count from 0 again but follow the state of the runs
+    before. Two folders are kept.
     """
 
     def __init__(self, spark: SparkSession, root: str, stations: DataFrame, profile: DataFrame, predict: Callable[[DataFrame], DataFrame],
-                 clock: Clock = Clock(), history: int = HISTORY, slices: Slices = Slices()):
-        self.spark, self.root = spark, root.rstrip("/")
+                 clock: Clock = Clock(), history: int = HISTORY, slices: Slices = Slices(), progress: str = "progress"):
+        self.spark, self.root, self.progress = spark, root.rstrip("/"), progress
         self.stations, self.profile, self.predict, self.clock = stations, profile, predict, clock
         self.history, self.slices = history, slices
         self.schema = "station_id string, minute long, " + ", ".join(f"{c} double" for c in FIELDS)
+        self.run: int | None = None
+
+    def _path(self, name: str):
+        """The path of a folder below the root and its file system, as Hadoop knows them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _names(self, name: str) -> list[str]:
+        path, fs = self._path(name)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _stored(self) -> list[tuple[int, int]]:
+        """(run, epoch) of the whole states, in order."""
+        keys = [tuple(map(int, n.removeprefix("run-").split("-epoch-"))) for n in self._names("state") if n.startswith("run-")]
+        return sorted(k for k in keys if "_SUCCESS" in self._names(self._name(*k)))
+
+    @staticmethod
+    def _name(run: int, epoch: int) -> str:
+        return f"state/run-{run}-epoch-{epoch}"
+
+    def _enter_run(self) -> int:
+        """The run of the progress folder; a folder without one gets the next."""
+        marks = [int(n.removeprefix("run-")) for n in self._names(self.progress) if n.startswith("run-")]
+        if not marks:
+            marks = [max([r for r, _ in self._stored()], default=-1) + 1]
+            path, fs = self._path(f"{self.progress}/run-{marks[0]}")
+            fs.mkdirs(path)
+        self.run = max(marks)
+        return self.run
 
     def state_path(self, epoch: int) -> str:
-        return f"{self.root}/state/slot={epoch % 2}"
+        return f"{self.root}/{self._name(self._enter_run() if self.run is None else self.run, epoch)}"
 
-    def state(self, epoch: int) -> DataFrame | None:
-        return None if epoch < 0 else self.spark.read.schema(self.schema).parquet(self.state_path(epoch))
+    def state(self, epoch: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.state_path(epoch))
+
+    def before(self, epoch: int) -> DataFrame | None:
+        """The last whole state before this epoch of this run, None if there is none."""
+        run = self._enter_run() if self.run is None else self.run
+        earlier = [k for k in self._stored() if k < (run, epoch)]
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{self._name(*earlier[-1])}") if earlier else None
 
     def forecasts(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/forecasts")
@@ -132,13 +168,18 @@ class LiveNowcast:
     def handle(self, batch: DataFrame, epoch: int) -> None:
         rows = batch if "seq" in batch.columns else batch.withColumn("seq", F.monotonically_increasing_id())
         new = ingest_records(rows, self.stations, self.clock)
-        state = late_data_cutoff(upsert(self.state(epoch - 1), new), self.history + SLACK)
+        state = late_data_cutoff(upsert(self.before(epoch), new), self.history + SLACK)
         state.write.mode("overwrite").parquet(self.state_path(epoch))
         out = rolling_history_forecast(self.state(epoch), self.stations, self.profile, self.predict, None, self.clock, self.history, slices=self.slices)
-        out.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{self.root}/forecasts")
+        out = out.withColumns({"run": F.lit(self.run), "epoch": F.lit(epoch)})
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "epoch").parquet(f"{self.root}/forecasts")
+        for old in [k for k in self._stored() if k < (self.run, epoch)][:-1]:
+            path, fs = self._path(self._name(*old))
+            fs.delete(path, True)
 
     def start(self, records: DataFrame, available_now: bool = False, interval: str = "1 minute") -> StreamingQuery:
-        writer = records.writeStream.foreachBatch(self.handle).option("checkpointLocation", f"{self.root}/progress")
+        self._enter_run()
+        writer = records.writeStream.foreachBatch(self.handle).option("checkpointLocation", f"{self.root}/{self.progress}")
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 

@@ -93,6 +93,19 @@ def test_stream_equals_batch(spark, tmp_path):
         assert got[s]["input_age_min"] == 0 and got[s]["warning"] is False and len(got[s]["attenuation_db"]) == 4
     svc.handle(all_at_once.drop("seq").where("station_id = '1'"), 3)
     assert {tuple(r) for r in svc.state(3).collect()} == {tuple(r) for r in want.collect()}
+    assert svc._stored() == [(0, 2), (0, 3)]
+    svc.handle(all_at_once.drop("seq").where("station_id = '1'"), 5)  # an epoch that skips a number
+    assert {tuple(r) for r in svc.state(5).collect()} == {tuple(r) for r in want.collect()}
+    # a service with a new progress folder: epochs start at 0 again, the state goes on
+    again = live.LiveNowcast(spark, str(tmp_path / "live"), st, prof, baselines.moving_average, clock, progress="progress-2")
+    late = spark.createDataFrame([("2", "2024-01-01T00:30:10Z", 0.7)], "station_id string, time string, precip_past1min double")
+    late = late.select("station_id", F.to_timestamp("time").alias("time") if dict(stream.dtypes)["time"] == "timestamp" else F.col("time"), "precip_past1min")
+    again._enter_run()
+    again.handle(late, 0)
+    assert again.run == 1 and again.state(0).count() == want.count() + 1
+    assert live.LiveNowcast(spark, str(tmp_path / "live"), st, prof, baselines.moving_average, clock, progress="progress-2")._enter_run() == 1
+    again.handle(late, 0)  # replayed
+    assert again.state(0).count() == want.count() + 1 and again.forecasts().select("run", "epoch").distinct().count() == 6
 
 
 def test_watermarked_dedup(spark, tmp_path):
