@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import new_folder, on_arrow, require, written
+from .tables import id_column, new_folder, on_arrow, require, written
 from .tokens import encoder
 from .words import text_slices
 
@@ -209,9 +209,7 @@ def read_tokens(folder: str, files: DataFrame, partitions: int) -> DataFrame:
                 with store.open_input_stream(f"{path}/{name}") as source:
                     for doc_ids, counts, ids in decode_stream(source.read):
                         stop = np.cumsum(counts)
-                        flat = memoryview(ids.astype("<u4").tobytes())
-                        yield ([name] * len(counts), pa.array(doc_ids, mask=doc_ids == NULL_ID), before + stop - counts, counts,
-                               [flat[4 * x : 4 * y] for x, y in zip((stop - counts).tolist(), stop.tolist(), strict=True)])
+                        yield ([name] * len(counts), pa.array(doc_ids, mask=doc_ids == NULL_ID), before + stop - counts, counts, id_column(ids, counts))
                         before += len(ids)
 
     parts = on_arrow(files.select("name").repartition(partitions, "name"), run, "name string, doc_id bigint, start_in_file bigint, n_tokens bigint, ids binary")

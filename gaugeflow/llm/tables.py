@@ -7,6 +7,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..session import shared_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-__all__ = ["shared_dir", "new_folder", "written", "table", "on_arrow", "small_batches", "require", "leave_out", "partitions_for"]
+__all__ = ["shared_dir", "new_folder", "written", "table", "on_arrow", "small_batches", "require", "leave_out", "partitions_for", "id_column"]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -77,6 +78,15 @@ def on_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
+def id_column(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Binary values of ``counts`` ids each, little-endian unsigned 32-bit.
+
+    Made from buffers: ``pa.array`` never lets go of the memory views that it is given.
+    """
+    edge = pa.py_buffer(np.append(0, 4 * np.cumsum(counts)).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, edge, pa.py_buffer(flat.astype("<u4").tobytes())])
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(_arrow(kind.elementType))
