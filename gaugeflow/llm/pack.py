@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import on_arrow, require, written
+from .tables import id_column, on_arrow, require, written
 from .tokens import encoder
 from .words import text_slices
 
@@ -34,9 +34,7 @@ def token_table(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 ids, counts = known.encode(raw, off)
                 n = counts + 1
                 stop = np.cumsum(n)
-                flat = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
-                blob = memoryview(flat.tobytes())
-                yield ([part] * (j - i), place + stop - n, batch.column(0).slice(i, j - i), n, [blob[4 * a : 4 * b] for a, b in zip((stop - n).tolist(), stop.tolist(), strict=True)])
+                yield ([part] * (j - i), place + stop - n, batch.column(0).slice(i, j - i), n, id_column(np.insert(ids, np.cumsum(counts), end_id), n))
                 place += int(stop[-1])
 
     return written(on_arrow(require(documents, "doc_id", "text"), run, TOKENS), "tokens")
