@@ -100,6 +100,22 @@ def replay_scoring(forecasts: DataFrame, truth: DataFrame) -> DataFrame:
                  F.avg(F.abs(F.col("rain_mm_next_minute") - F.col("observed"))).alias("mae_mm"))
 
 
+def score_stream(forecasts: DataFrame, truth: DataFrame, delay: str = "270 minutes") -> DataFrame:
+    """Each streamed forecast once, next to the validated rain of its tick: the streaming form of ``replay_scoring``.
+
+    ``forecasts`` has station_id, valid_time and rain_mm_next_minute, ``truth`` station_id, time, valid and precip.
+    Both sides keep at most ``delay`` of event time; the first of several rows for a station and tick counts. A
+    forecast whose tick gets no valid rain comes out with null once the watermark has passed it. Null stations
+    or times meet nothing.
+    """
+    issued = (forecasts.select("station_id", "valid_time", "rain_mm_next_minute").withWatermark("valid_time", delay)
+              .dropDuplicatesWithinWatermark(["station_id", "valid_time"]))
+    seen = (truth.where("valid > 0").select(F.col("station_id").alias("at_station"), F.col("time").alias("at_time"), F.col("precip").alias("observed"))
+            .withWatermark("at_time", delay).dropDuplicatesWithinWatermark(["at_station", "at_time"]))
+    j = issued.join(seen, (F.col("station_id") == F.col("at_station")) & (F.col("valid_time") == F.col("at_time")), "left")
+    return j.select("station_id", "valid_time", "rain_mm_next_minute", "observed", F.abs(F.col("rain_mm_next_minute") - F.col("observed")).alias("error_mm"))
+
+
 def drop_resent(stream: DataFrame, delay: str = "270 minutes") -> DataFrame:
     """Drop records sent again unchanged; only for feeds that never correct a value (else rely on the upsert)."""
     return stream.withWatermark("time", delay).dropDuplicatesWithinWatermark(["station_id", "time"])

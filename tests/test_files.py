@@ -119,6 +119,47 @@ def test_watermarked_dedup(spark, tmp_path):
     assert spark.table("resent").count() == 2
 
 
+def test_streamed_scores_equal_the_replay(spark, tmp_path):
+    """Truth that comes later than its forecast, re-sent and invalid truth, a forecast without any; restart in between."""
+    at = lambda m: f"2024-01-01T{m // 60:02d}:{m % 60:02d}:00Z"
+    issued = [{"station_id": s, "valid_time": at(m), "rain_mm_next_minute": 0.1 * (m % 4)} for s in ("a", "b") for m in range(90)]
+    rain = [{"station_id": s, "time": at(m), "valid": int(m % 5 > 0), "precip": 0.1 * (m % 3)} for s in ("a", "b") for m in range(90) if not (s == "b" and 20 <= m < 30)]
+    minute = lambda r: int(r.get("valid_time", r.get("time"))[11:13]) * 60 + int(r.get("valid_time", r.get("time"))[14:16])
+    feeds = {"f": issued, "t": rain}
+    for name in feeds:
+        (tmp_path / name).mkdir()
+
+    def feed(k, lo, hi):
+        for name, rows in feeds.items():
+            late = 5 if name == "t" else 0
+            chosen = [r for r in rows if lo - late <= minute(r) < hi - late]
+            (tmp_path / name / f"{k}.json").write_text("\n".join(map(json.dumps, chosen + chosen[:3])))  # some are sent again
+
+    kinds = {"f": "station_id string, valid_time timestamp, rain_mm_next_minute double", "t": "station_id string, time timestamp, valid int, precip double"}
+
+    def run():
+        f, t = (spark.readStream.schema(kinds[n]).option("maxFilesPerTrigger", 1).json(str(tmp_path / n)) for n in "ft")
+        out = live.score_stream(f, t, "20 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        out.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    feed(0, 0, 30), feed(1, 30, 60)
+    run()
+    feed(2, 60, 90)
+    run()  # a restart: the state of the first run is found again
+    got = spark.read.parquet(str(tmp_path / "out"))
+    rows = {(r["station_id"], r["valid_time"].minute + 60 * r["valid_time"].hour): r for r in got.collect()}
+    assert len(rows) == got.count()
+    valid = {(r["station_id"], minute(r)): r["precip"] for r in rain if r["valid"] and minute(r) < 85}
+    assert {k: r["observed"] for k, r in rows.items() if r["observed"] is not None} == valid
+    assert {("a", 20), ("b", 21), ("b", 28)} <= {k for k, r in rows.items() if r["observed"] is None}
+    clock = Clock()
+    forecasts = spark.read.schema(kinds["f"]).json(str(tmp_path / "f")).distinct().withColumn("valid_minute", clock.index(F.col("valid_time")))
+    truth = spark.read.schema(kinds["t"]).json(str(tmp_path / "t")).distinct().withColumn("minute", clock.index(F.col("time")))
+    want = live.replay_scoring(forecasts, truth).first()
+    mean = got.agg(F.count("observed"), F.avg("error_mm")).first()
+    assert mean[0] == want["scored"] and abs(mean[1] - want["mae_mm"]) < 1e-12
+
+
 def test_quoted_commas_and_headers_alone(spark, tmp_path):
     (tmp_path / "00001_a.csv").write_text('time,"wind, dir",precip_past1min\n2024-01-01T00:00:00Z,"1,5",0.3\n"2024-01-01T00:01:00Z",2,0.4\n')
     (tmp_path / "00002_b.csv").write_text("time,precip_past10min\n")
