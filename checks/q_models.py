@@ -268,6 +268,18 @@ def nonneg_stack_gram(p):
     return hybrids.gram(hybrids.wide_rows(p.fit_rows, ["persistence", "kalman_ll"]), 2)
 
 
+@query("nonneg_stack_weights", """
+WITH g AS (SELECT sum(a.y_hat*a.y_hat) AS aa, sum(a.y_hat*b.y_hat) AS ab, sum(b.y_hat*b.y_hat) AS bb, sum(a.y_hat*a.y_true) AS ca, sum(b.y_hat*a.y_true) AS cb
+  FROM fit_rows a JOIN fit_rows b ON a.station_id=b.station_id AND a.minute=b.minute AND a.model='persistence' AND b.model='kalman_ll'),
+w AS (SELECT *, aa*bb-ab*ab>0 AND ca*bb-cb*ab>=0 AND cb*aa-ca*ab>=0 AS two, ca*ca/nullif(aa,0)>=coalesce(cb*cb/nullif(bb,0),0) AS first_ FROM g)
+SELECT CASE WHEN two THEN (ca*bb-cb*ab)/(aa*bb-ab*ab) WHEN first_ THEN ca/aa ELSE 0 END AS w_persistence,
+  CASE WHEN two THEN (cb*aa-ca*ab)/(aa*bb-ab*ab) WHEN first_ OR bb=0 THEN 0 ELSE cb/bb END AS w_kalman_ll FROM w""", dbl="w_persistence w_kalman_ll")
+def nonneg_stack_weights(p):
+    """Two models, whose solution SQL can state: both weights, or the better model alone."""
+    w = hybrids.nonneg_stack_weights(hybrids.wide_rows(p.fit_rows, ["persistence", "kalman_ll"]), 2)
+    return p.spark.createDataFrame([w], "w_persistence double, w_kalman_ll double")
+
+
 @query("logistic_hurdle")
 def logistic_hurdle(p):
     train, val, test = three_way(p)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from gaugeflow.functions import link, names
@@ -205,6 +207,21 @@ def paired_bootstrap(p):
     return resample.paired_bootstrap(rep, resample.model_pairs(stats, stats.where("model like 'kalman%'")))
 
 
+@query("report_tables", f"""
+SELECT 'leaderboard' AS part, model, NULL AS other, csi_rain AS value FROM board UNION ALL SELECT 'metrics', model, NULL, rmse FROM board
+UNION ALL SELECT 'pairwise', a.model, b.model, avg(coalesce(a.csi,0)-coalesce(b.csi,0)) FROM replicates a JOIN replicates b ON b.draw=a.draw AND b.model<>a.model WHERE a.model LIKE 'kalman%' GROUP BY a.model, b.model
+UNION ALL SELECT 'thresholds', model, NULL, thr_rain FROM thr
+UNION ALL SELECT 'excluded', model, NULL, count(*)/(SELECT count(*) FROM idx)::DOUBLE AS c FROM preds p JOIN idx i ON i.station_id=p.station_id AND i.minute=p.minute GROUP BY model HAVING c<{EVAL.min_coverage}""",
+       dbl="value")
+def report_tables(p):
+    """One figure of every table of the report, in one long table."""
+    tables = verify.report_tables(board(p), paired_bootstrap(p), p.thresholds, verify.model_coverage(p.index, p.preds), EVAL.min_coverage)
+    figure = {"leaderboard": "csi_rain", "metrics": "rmse", "pairwise": "d_csi_mean", "thresholds": "thr_rain", "excluded": "coverage"}
+    rows = [t.select(F.lit(k).alias("part"), F.col("model_a" if k == "pairwise" else "model").alias("model"),
+                     (F.col("model_b") if k == "pairwise" else F.lit(None).cast("string")).alias("other"), F.col(figure[k]).alias("value")) for k, t in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 @query("diebold_mariano", "SELECT model_a, model_b, CASE WHEN n>=10 AND v>0 THEN m/sqrt(v/n) END AS dm_stat FROM (SELECT model_a, model_b, count(*) AS n, any_value(m) AS m, sum(c*c)/count(*)"
        + "".join(f"+2*(1-{k}/8.0)*coalesce(sum(c*l{k}),0)/count(*)" for k in range(1, 8)) + " AS v FROM (SELECT *, " + ", ".join(f"lag(c,{k}) OVER w AS l{k}" for k in range(1, 8))
        + " FROM (SELECT a.model AS model_a, b.model AS model_b, a.day, a.sse/a.n-b.sse/b.n-avg(a.sse/a.n-b.sse/b.n) OVER g AS c, avg(a.sse/a.n-b.sse/b.n) OVER g AS m "
