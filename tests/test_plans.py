@@ -74,3 +74,20 @@ def test_contract(spark):
     assert entry.entry(spark).count() > 0
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(o) > 120 and len(q) >= 138
+
+
+def test_stations_reach_scans_without_a_shuffle_by_band(spark, monkeypatch):
+    """All scans of a band would come into one task."""
+    view = Proxy(spark, SF)
+    rows = lambda: sorted(tuple(r) for r in radar.pixel_window_stats(view.comp, view.st_px, RADAR).select("scan", "station_id", "radar_r_mean5").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(radar.pixel_window_stats(view.comp, view.st_px, RADAR))
+        assert not re.search(r"Exchange hashpartitioning\(band#\d+L?, \d+\)", plan)
+        want = rows()
+        monkeypatch.setattr(radar, "MOST_SENT", 0)
+        monkeypatch.setattr(radar, "PART", 2)
+        plan = plan_of(radar.pixel_window_stats(view.comp, view.st_px, RADAR))
+        assert not re.search(r"Exchange hashpartitioning\(band#\d+L?, \d+\)", plan) and rows() == want and want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
