@@ -91,3 +91,15 @@ def test_stations_reach_scans_without_a_shuffle_by_band(spark, monkeypatch):
         assert not re.search(r"Exchange hashpartitioning\(band#\d+L?, \d+\)", plan) and rows() == want and want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_upstream_reads_of_one_band_need_no_join(spark):
+    """Every row of a station and scan stays one row: no row a lead, no second shuffle to put them together."""
+    view = Proxy(spark, SF)
+    plan = plan_of(radar.advect_nowcast(view.comp, view.moving, RADAR))
+    assert "Join" not in plan and not re.search(r"Exchange hashpartitioning\(scan#\d+L, station_id", plan)
+    odd = view.moving.limit(3).unionByName(view.moving.selectExpr("scan", "CAST(NULL AS STRING) AS station_id", "row", "col", "vy", "vx").limit(1))
+    odd = odd.unionByName(view.moving.selectExpr("CAST(NULL AS BIGINT) AS scan", "station_id", "row", "col", "vy", "vx").limit(1))
+    got = radar.advect_nowcast(view.comp, odd.unionByName(odd), RADAR).collect()
+    assert len(got) == 10 and all(len(r.adv) == RADAR.max_lead for r in got)
+    assert all(v is None for r in got if r.scan is None or r.station_id is None for v in r.adv)
