@@ -6,8 +6,9 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from checks.proxies import RADAR, Proxy
+from checks.proxies import RADAR, SLICES, Proxy
 from gaugeflow.operators import radar, truth
+from gaugeflow.operators.halo import Slices
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -103,3 +104,12 @@ def test_upstream_reads_of_one_band_need_no_join(spark):
     got = radar.advect_nowcast(view.comp, odd.unionByName(odd), RADAR).collect()
     assert len(got) == 10 and all(len(r.adv) == RADAR.max_lead for r in got)
     assert all(v is None for r in got if r.scan is None or r.station_id is None for v in r.adv)
+
+
+def test_slices_of_scans_are_dealt_by_a_stated_number(spark):
+    """Adaptive execution sizes tasks by packed bytes; rows of scans unpack to many times that."""
+    view = Proxy(spark, SF)
+    scans = view.scanstat.select("station_id", "scan", "radar_r_mean5")
+    by_scan = Slices(SLICES.chunk, order="scan")
+    for out in (radar.scan_trend(scans, by_scan, "radar_r_mean5"), radar.asof_scan_to_minute(view.obs.select("station_id", "minute"), scans, RADAR, SLICES)):
+        assert re.search(r"Exchange hashpartitioning\(station_id#\d+, chunk_#\d+L?, \d+\), REPARTITION_BY_NUM", plan_of(out))
