@@ -314,6 +314,46 @@ def test_passages_of_frequent_lines(spark):
             assert set(range(55, 127)) <= covered[31] and set(range(72)) <= covered[32] and 30 not in covered
 
 
+def test_near_passages_of_others_than_the_leader(spark):
+    """Earlier documents hold every shingle of a passage, but never two in a row; two later ones hold it with changed words."""
+    rows, want = [], {}
+    for p in range(8):
+        passage = prose(3000 + p, 90).split()
+        for k in range(4):
+            rows.append((10 * p + k, " ".join(f"{' '.join(passage[a : a + 5])} {prose(10_000 + 1000 * p + 100 * k + a, 3)}" for a in range(86))))
+        near = list(passage)
+        near[20], near[72] = "changed", "twice"
+        rows += [(1000 + p, f"{prose(4000 + p, 60)} {' '.join(passage)} {prose(5000 + p, 40)}"), (2000 + p, f"{prose(6000 + p, 30)} {' '.join(near)} {prose(7000 + p, 70)}")]
+        want[2000 + p] = 1000 + p
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = [r for r in substring.passages(docs).collect() if r.doc_id >= 1000]
+    assert {r.doc_id: r.source_doc_id for r in found} == want
+    for d in want:
+        assert set(range(32, 118)) <= {w for r in found if r.doc_id == d for w in range(r.first_word, r.end_word)}
+
+
+def test_spans_name_every_holder():
+    """The index of a group against all pairs, with a line that all spans hold."""
+    rng = np.random.default_rng(5)
+    line = rng.integers(0, 1 << 32, 30).astype("<u4")
+    sources = []
+    for d in range(60):
+        own = np.concatenate([rng.integers(0, 1 << 32, 25), line, rng.integers(0, 1 << 32, 25)]).astype("<u4")
+        if d % 3 == 0 and d:
+            own[5:70] = sources[d // 2][1][5:70]
+            own[rng.integers(5, 70, 3)] = d
+        sources.append((d, own))
+    rows = [(g, side, d, own) for g in (1, 2) for side in (0, 1) for d, own in sources[:: 3 - g]]
+    group, side, doc = (np.array([r[k] for r in rows]) for k in range(3))
+    size = np.array([len(r[3]) for r in rows])
+    out = substring.holders(group, side, doc, np.full(len(rows), -1), size, np.concatenate([r[3] for r in rows]), 46, 75)
+    for k, (g, s, d, own) in enumerate(rows):
+        got = {x for row, x in out if row == k}
+        want = {x for x, its in sources[:: 3 - g] if x < d and substring.repeated(own, its, 46, 75)} if s else set()
+        assert bool(got) == bool(want) and got <= want
+    assert out
+
+
 def test_shards(spark, odd, empty):
     hot = [(i, "the same text over and over") for i in range(3000)] + [(10_000 + i, prose(i, 5 + i % 90)) for i in range(6000)]
     docs = spark.createDataFrame(hot, "doc_id bigint, text string").repartition(7)
