@@ -1,5 +1,6 @@
 """Nothing at or before t changes when the data after t changes, and slicing never shows."""
 
+import math
 import random
 
 import pytest
@@ -89,6 +90,63 @@ def test_ring_edge_and_lonely_station(spark):
     assert got["c"]["regional_wind_u"] == 0.0 and got["c"]["nb_mean"] == 0.0
 
 
+def test_neighbour_columns_equal_a_loop_over_pairs(spark, monkeypatch):
+    """Any cut into blocks and minutes, gaps, unknown signals and winds, a repeated row; no row per pair is made."""
+    def refuse(*_, **__):
+        raise AssertionError("a row per pair and minute")
+
+    monkeypatch.setattr(neighbours, "neighbour_signal_join", refuse)
+    rng = random.Random(3)
+    pts = [(f"s{i}", 9.0 + rng.random() * 1.6, 55.5 + rng.random() * 0.8) for i in range(14)] + [("far", 30.0, 10.0), ("nowhere", None, None)]
+    st = spark.createDataFrame(pts, "station_id string, lon double, lat double")
+    some = lambda v: None if rng.random() < 0.3 else v
+    rows = [(s, m, some(rng.choice([0.0, 0.0, 0.5, 2.0])), some(rng.gauss(0, 3)), some(rng.gauss(0, 3)), rng.randint(0, 9))
+            for s, *_ in pts for m in range(-7, 12) if rng.random() < 0.8]
+    rows += [(r[0], r[1], 1.0, 2.0, None, 20) for r in rows[:3]] + [("unlisted", 1, 1.0, 1.0, 1.0, 1)]
+    sig = spark.createDataFrame(rows, "station_id string, minute long, rain_signal double, wind_u double, wind_v double, tag int")
+    pairs = stations.station_pair_table(st)
+    prof = neighbours.neighbour_profile(pairs, st)
+    static = {}
+    for r in prof.where("NOT is_self").collect():
+        static.setdefault(r["station_id"], []).append(r)
+    at = {}
+    for r in rows:
+        at.setdefault((r[0], r[1]), []).append(r)
+    want = {}
+    for (s, m), own in at.items():
+        if s == "unlisted":
+            continue
+        near = [(p, r) for p in static.get(s, ()) for r in at.get((p["neighbour_id"], m), ())]
+        blow = ([r for p, r in near if p["dist_km"] <= 60] + own) if s in static else []
+        mean = lambda v: sum(v) / len(v) if v else None
+        u, v = mean([r[3] for r in blow if r[3] is not None]), mean([r[4] for r in blow if r[4] is not None])
+        windy = u is not None and v is not None and u * u + v * v > 0.01
+        n, out = len(static.get(s, ())), {"tag": max(r[5] for r in own), "regional_wind_u": u or 0.0, "regional_wind_v": v or 0.0}
+        for i, name in enumerate(channels.CELLS):
+            cell = [p for p in static.get(s, ()) if p["cell"] == i]
+            out[name] = sum(r[2] or 0.0 for p, r in near if p["cell"] == i) / len(cell) if cell else 0.0
+        out["nb_max"] = max([r[2] or 0.0 for _, r in near], default=0.0)
+        out["nb_mean"] = sum(r[2] or 0.0 for _, r in near) / n if n else 0.0
+        out["nb_wet_frac"] = sum((r[2] or 0.0) > 0 for _, r in near) / n if n else 0.0
+        out["nb_nearest"] = sum(r[2] or 0.0 for p, r in near if p["nearest"])
+        for ring in ("r0", "r1"):
+            here = [(p, r) for p, r in near if p[f"in_{ring}"]]
+            k = [max(math.cos(math.radians(p["bearing_deg"]) - math.atan2(u, v) - math.pi), 0.0) if windy else 0.0 for p, _ in here]
+            count = sum(p[f"in_{ring}"] for p in static.get(s, ()))
+            plain = sum(r[2] or 0.0 for _, r in here) / count if count else 0.0
+            out[f"nb_upwind_{ring}"] = sum(w * (r[2] or 0.0) for w, (_, r) in zip(k, here)) / sum(k) if sum(k) > 0 else plain
+        want[s, m] = out
+    for most, minutes, step in ((20_000, 240, 500_000), (5, 3, 40)):
+        for name, value in (("PAIRS_A_BLOCK", most), ("MINUTES_A_GROUP", minutes), ("VALUES_AT_ONCE", step)):
+            monkeypatch.setattr(neighbours, name, value)
+        prof = neighbours.neighbour_profile(pairs, st)
+        assert most > 5 or prof.select("block").distinct().count() > 6
+        got = {(r["station_id"], r["minute"]): r.asDict() for r in neighbours.neighbour_aggregates(sig, prof, payload=["tag"]).collect()}
+        assert got.keys() == want.keys()
+        for key, out in want.items():
+            assert {c: got[key][c] for c in out} == pytest.approx(out, abs=1e-9), key
+
+
 def test_salted_and_broadcast_joins_agree(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "ROWS_A_TASK", 100)
     t = table(spark)
