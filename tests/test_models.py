@@ -459,3 +459,19 @@ def test_filter_runs_equal_the_loop(n):
         x = f.f @ x + p
         want.append(x)
     assert np.allclose(f.states(push, np.array([0.5, -0.2])), want, atol=1e-10)
+
+
+def test_recursions_are_dealt_by_tasks_not_by_bytes(spark, monkeypatch):
+    """Slices of short series stay in many tasks, and the regimes' chains make no call a series."""
+    rows = spark.createDataFrame([(f"s{i}", m, float(m % 3)) for i in range(40) for m in range(20 + i % 2)], "station_id string, minute long, z double")
+    got = sequential.LinearFilter([[0.9]], [0.3], [1.0]).forecast(rows, slices=Slices(chunk=5))
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    model = sequential.RegimeModel()
+    want = sum(model.expected(np.array([[float(m % 3) for m in range(20 + i % 2)]])) for i in range(40))
+
+    def refuse(*_, **__):
+        raise AssertionError("a call a series")
+
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandas", refuse)
+    v = model.expectation(sequential.stretches(rows.withColumnRenamed("z", "rain_rt"), Slices(chunk=5)))
+    assert np.allclose(v, want, rtol=1e-9)
