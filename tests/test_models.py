@@ -211,6 +211,38 @@ def test_bounded_search_equals_the_exhaustive_one(spark):
         assert rows(radar.tile_motion(comp, p, coarse)) == want
 
 
+@pytest.mark.parametrize("coarse", [2, 3, 5])
+def test_bounds_hold_every_score(coarse):
+    p = RadarParams(size=17, max_speed=0.6)
+    rng = np.random.default_rng(coarse)
+    cells = []
+    for _ in range(2):
+        row, col = np.nonzero((rng.random((17, 17)) < 0.5) & (np.add.outer(np.arange(17), np.arange(17)) < 14))
+        cells.append([row, col, rng.random(len(row)) + 0.1])
+    pair, ruled_out = radar._Pair(*cells, 10, p, coarse), 0
+    for tile, r, c in ((8, 0, 0), (8, 5, 3), (8, 2, 4), (17, 0, 0)):
+        start, bound = pair.bounds(r, c, tile)
+        dy, dx, score = pair.scores(r, c, tile, *(d.ravel() for d in np.mgrid[-6:7, -6:7]))
+        assert len(score) > 50
+        ruled_out += int((bound < score.max()).sum())
+        square = lambda d: np.searchsorted(start, d, "right") - 1  # noqa: B023, E731
+        assert (score <= bound[square(dy), square(dx)] + 1e-8).all()
+        best = pair.best(r, c, tile)
+        assert best[2] == score.max()
+    assert ruled_out
+
+
+def test_motion_is_dealt_by_scans_and_only_when_asked_for(spark):
+    """No job runs before a result is read, and pairs of small fields are not merged into a task by their few bytes."""
+    p = RadarParams(size=8, tile=4, tile_step=2)
+    rows = [(t, r, c, float(1 + (r + c + t) % 3)) for t in range(0, 400, 10) for r in range(8) for c in range(8)]
+    comp = spark.createDataFrame(rows, "scan long, row long, col long, rain double")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    tiles, whole = radar.tile_motion(comp, p)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == jobs
+    assert tiles.count() > 0 and whole.rdd.getNumPartitions() == 8 and whole.count() == 39
+
+
 @pytest.mark.parametrize("band", [64, 5])
 def test_bands_equal_windows_cut_by_hand(spark, band, monkeypatch):
     """Unknown and missing cells, stations at the edges and beyond, windows and upstream cells over the border of a band."""
