@@ -16,7 +16,10 @@
 4. Where a document does not link with a leader, that group is searched in full: all pairs across
    components that pass the length bound, and the position bound at their first shared shingle, are
    verified as well, so no link is lost.
-5. Verification walks a prefix tree: the sets to compare with one document are laid out in global
+5. Before verification every set is sent as a bitmap of four to eight bits a shingle. What one set has in
+   bits that the other lacks is not shared, so most pairs that do not link are ruled out without
+   their shingles; a pair that could link never is.
+6. Verification walks a prefix tree: the sets to compare with one document are laid out in global
    order, each branches off from the one before at their common prefix and takes over the overlap
    counted so far; a branch ends where the overlap so far and the rest's length cannot reach the
    bound any more, and later sets below that point are skipped.
@@ -287,7 +290,8 @@ def join(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tu
     stand = classes.where("standing IS NOT NULL").select("doc_id", "standing").distinct()
     led = groups.where("doc_id <> leader").groupBy(F.col("doc_id").alias("x"), F.col("leader").alias("y")).agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("lead_n").alias("m"))
     # groups dealt over several parts have a leader in each; these meet under the smallest
-    heads = groups.select("token", "leader", "lead_n").distinct()
+    deals = _bound(total / SLOTS) * F.pow(F.lit(2.0), F.shiftright("token", BITS) / 2) / PART_ROWS
+    heads = groups.where((F.shiftright("token", BITS) > 0) & (deals > 0.999)).select("token", "leader", "lead_n").distinct()
     tops = heads.groupBy("token").agg(F.min(F.struct("leader", "lead_n")).alias("top"), F.count("*").alias("k")).where("k > 1").select("token", F.col("top.leader").alias("top"), F.col("top.lead_n").alias("top_n"))
     tops = written(heads.join(tops, "token").where("leader <> top"), "part-leaders")
     led = led.unionByName(tops.groupBy(F.col("leader").alias("x"), F.col("top").alias("y")).agg(F.count("*").alias("shared"), F.max("lead_n").alias("n"), F.max("top_n").alias("m")))
@@ -303,9 +307,53 @@ def join(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tu
     return classes, links
 
 
+def _sketches(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """doc_id, n and a bitmap of the hashes of the wanted documents' sets: a power of two bits, four a shingle or more."""
+
+    def run(batches):
+        for batch in batches:
+            n, bits = [], []
+            for _, own in _sets(batch.column(1), width):
+                size = 1 << max(6, (4 * len(own)).bit_length())
+                field = np.zeros(size, bool)
+                field[(own & np.uint64(size - 1)).astype(np.int64)] = True
+                n.append(len(own)), bits.append(np.packbits(field, bitorder="little").tobytes())
+            yield (batch.column(0), n, bits)
+
+    ids = F.broadcast(wanted) if wanted.count() <= 2_000_000 else wanted
+    return written(on_arrow(require(documents, "doc_id", "text").join(ids, "doc_id", "left_semi"), run, "doc_id bigint, n bigint, bits binary"), "sketches")
+
+
+def _most_shared(n: int, x: np.ndarray, m: int, y: np.ndarray) -> int:
+    """Bound of the shingles that sets of n and m share, by their bitmaps: each bit that only one has is a shingle not shared."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    both = int(np.bitwise_count(x & y).sum())
+    return min(n - int(np.bitwise_count(x).sum()), m - int(np.bitwise_count(y).sum())) + both
+
+
+def _sifted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with ``near``: whether their bitmaps allow a link."""
+    of = lambda name, n, bits: sketches.select(F.col("doc_id").alias(name), F.col("n").alias(n), F.col("bits").alias(bits))
+    met = pairs.select("a", "b").join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            x, y = ([np.frombuffer(z.as_buffer(), np.uint8) for z in batch.column(k)] for k in (4, 5))
+            need = lambda n, m: -(-percent * (n + m) // (100 + percent))
+            near = [_most_shared(n, u, m, v) >= need(n, m) for n, m, u, v in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), x, y, strict=True)]
+            yield (batch.column(0), batch.column(1), near)
+
+    # rows with the same id are one node: any two of them may link
+    return written(on_arrow(met, run, "a bigint, b bigint, near boolean").groupBy("a", "b").agg(F.max("near").alias("near")), "sifted")
+
+
 def _verified(documents: DataFrame, pairs: DataFrame, level, width: int, percent: int) -> DataFrame:
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return written(verify(pairs, _ordered_sets(documents, written(ends, "ends"), level, width), percent), "verified")
+    ends = lambda x: written(x.select(F.col("a").alias("doc_id")).unionByName(x.select(F.col("b").alias("doc_id"))).distinct(), "ends")
+    sifted = _sifted(pairs, _sketches(documents, ends(pairs), width), percent)
+    near = sifted.where("near").select("a", "b")
+    checked = verify(near, _ordered_sets(documents, ends(near), level, width), percent)
+    return written(checked.unionByName(sifted.where("NOT near").select("a", "b", F.lit(False).alias("inside"))), "verified")
 
 
 def _apart(groups: DataFrame, tops: DataFrame, stand: DataFrame, links: DataFrame, failed: DataFrame, checked: DataFrame, percent: int) -> DataFrame:

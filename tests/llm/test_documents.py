@@ -241,6 +241,31 @@ def test_jaccard_search_of_failed_groups(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classify(docs).collect()} == _links(texts)
 
 
+def test_bitmaps_rule_out_pairs_before_their_shingles_travel(spark, monkeypatch):
+    """Texts that share a few rare shingles meet; of these pairs only those that could link are verified."""
+    shared, met = prose(3, 12), []
+    texts = {k: prose(700 + k, 60) + " " + shared for k in range(30)} | {30: prose(900, 80), 31: prose(900, 80) + " more"}
+    verify = jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, *rest: met.extend(tuple(r) for r in pairs.collect()) or verify(pairs, *rest))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classify(docs).collect()} == _links(texts)
+    assert set(met) == {(30, 31)}
+
+
+def test_bitmap_bound_is_never_below_the_shared_shingles(spark):
+    rng, rows = np.random.default_rng(2), {}
+    pool = [f"w{k}" for k in range(400)]
+    for k in range(12):
+        rows[k] = " ".join(pool[: int(rng.integers(0, 200))] + [f"x{k}y{j}" for j in range(int(rng.integers(0, 150)))])
+    docs = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    sketch = {r.doc_id: (r.n, np.frombuffer(r.bits, np.uint8)) for r in jaccard._sketches(docs, docs.select("doc_id"), 5).collect()}
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t else set() for k, t in rows.items()}
+    for a in rows:
+        for b in rows:
+            bound, both = jaccard._most_shared(*sketch[a], *sketch[b]), len(sets[a] & sets[b])
+            assert both <= bound <= min(len(sets[a]), len(sets[b]))
+
+
 def test_jaccard_odd_tables(odd, empty):
     got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.classify(odd).collect()}
     assert got[6, max(n for d, n in got if d == 6)] == 5 and got[2, 0] == 2 and got[None, 1] is None
