@@ -75,10 +75,13 @@ class Benchmark:
         return materialise(feats.drop("target", "target_valid", "in_period", "rain_rt"), split)
 
     # ------------------------------------------------------------------ models and scores
-    def forecasts(self, train: DataFrame, val: DataFrame, test: DataFrame, models: Iterable) -> tuple[DataFrame, dict[str, str]]:
+    def forecasts(self, train: DataFrame, val: DataFrame, test: DataFrame, models: Iterable, allow_failed: bool = False) -> tuple[DataFrame, dict[str, str]]:
+        """Forecasts of all models. Each is tried; then a failed one is an error, as scores of the rest would look like the whole report."""
         preds, failed = fit_predict_loop(models, train.where("w > 0"), val.where("w > 0"), {"val": val, "test": test})
         if preds is None:
             raise RuntimeError(f"no model could be fitted: {failed}")
+        if failed and not allow_failed:
+            raise RuntimeError(f"models failed: {failed}")
         return preds, failed
 
     def index(self, table: DataFrame) -> DataFrame:
@@ -101,10 +104,13 @@ class Benchmark:
         tables["by_station_and_month"] = verify.scores_by_station_and_month(scored, self.clock.month(F.col("minute")))
         return tables
 
-    def run(self, readings: DataFrame, station_table: DataFrame, models: Iterable, year_bounds, year=None) -> dict[str, DataFrame]:
+    def run(self, readings: DataFrame, station_table: DataFrame, models: Iterable, year_bounds, year=None, allow_failed: bool = False) -> dict[str, DataFrame]:
+        """The report's tables; one of them, ``failed``, names the models that are not in the others (none, unless ``allow_failed``)."""
         truth_table = self.truth_table(readings)
         gated = self.gated(truth_table, year)
         chans = self.channel_table(truth_table, station_table)
         train, val, test = (self.split_table(chans, gated, s, year_bounds) for s in ("train", "val", "test"))
-        preds, _ = self.forecasts(train, val, test, models)
-        return self.evaluate(val, test, preds)
+        preds, failed = self.forecasts(train, val, test, models, allow_failed)
+        tables = self.evaluate(val, test, preds)
+        tables["failed"] = readings.sparkSession.createDataFrame(sorted(failed.items()), "model string, error string")
+        return tables

@@ -12,6 +12,7 @@ from gaugeflow.models import baselines, boosting, fitted, hybrids, isotonic, loo
 from gaugeflow.operators import radar, sequences
 from gaugeflow.operators.halo import Slices
 from gaugeflow.params import RadarParams
+from gaugeflow.plans.batch import Benchmark
 
 
 def series(spark, values, name="z"):
@@ -507,3 +508,33 @@ def test_recursions_are_dealt_by_tasks_not_by_bytes(spark, monkeypatch):
     monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandas", refuse)
     v = model.expectation(sequential.stretches(rows.withColumnRenamed("z", "rain_rt"), Slices(chunk=5)))
     assert np.allclose(v, want, rtol=1e-9)
+
+
+def test_a_failed_model_is_an_error_of_the_report(spark, monkeypatch):
+    """The report of the others must not look like the whole one, and no forecast of a failed model reaches the sink."""
+    class Late:
+        name = "late"
+
+        def fit(self, train, val):
+            return self
+
+        def predict(self, df):  # fails on the last split only
+            return df.selectExpr("station_id", "minute", "CAST(if(minute > 7, raise_error('no'), 1) AS DOUBLE) AS p_rain", "0D AS y_hat", "CAST(NULL AS DOUBLE) AS q90")
+
+    rows = [spark.createDataFrame([("1", m, 0.1, 1.0)], "station_id string, minute long, P_lag0 double, w double") for m in (5, 8)]
+    models, sunk = [baselines.Simple("persistence"), Late()], []
+    _, failed = loop.fit_predict_loop(models, rows[0], rows[0], {"val": rows[0], "test": rows[1]}, sink=lambda name, split, _: sunk.append((name, split)))
+    assert list(failed) == ["late"] and sunk == [("persistence", "val"), ("persistence", "test")]
+    bench = Benchmark({"train": (0, 5), "val": (5, 8), "test": (8, 9)})
+    with pytest.raises(RuntimeError, match="late"):
+        bench.forecasts(rows[0], *rows, models)
+    monkeypatch.setattr(Benchmark, "truth_table", lambda self, readings: readings)
+    monkeypatch.setattr(Benchmark, "gated", lambda self, table, year=None: table)
+    monkeypatch.setattr(Benchmark, "channel_table", lambda self, table, stations: table)
+    monkeypatch.setattr(Benchmark, "split_table", lambda self, chans, gated, split, bounds: rows[split == "test"])
+    monkeypatch.setattr(Benchmark, "evaluate", lambda self, val, test, preds: {"all": preds})
+    with pytest.raises(RuntimeError, match="late"):
+        bench.run(rows[0], rows[0], models, None)
+    tables = bench.run(rows[0], rows[0], models, None, allow_failed=True)
+    assert [r["model"] for r in tables["failed"].collect()] == ["late"] and {r["model"] for r in tables["all"].collect()} == {"persistence"}
+    assert bench.run(rows[0], rows[0], models[:1], None)["failed"].count() == 0
