@@ -538,3 +538,19 @@ def test_a_failed_model_is_an_error_of_the_report(spark, monkeypatch):
     tables = bench.run(rows[0], rows[0], models, None, allow_failed=True)
     assert [r["model"] for r in tables["failed"].collect()] == ["late"] and {r["model"] for r in tables["all"].collect()} == {"persistence"}
     assert bench.run(rows[0], rows[0], models[:1], None)["failed"].count() == 0
+
+
+def training_rows(spark):
+    rng = random.Random(5)
+    rows = [("a", i, rng.gauss(1.0 if i % 3 else -1.0, 0.5), 0.2 if i % 3 else 0.0, 1.0, 0.0) for i in range(400)]
+    return spark.createDataFrame(rows, "station_id string, minute long, P_a double, y double, w double, rain_now double")
+
+
+@pytest.mark.parametrize("fit", [lambda d: fitted.BoostedHurdle(rounds=2, depth=2).fit(d, d), lambda d: fitted.TweedieAmount(rounds=2, depth=2).fit(d, d),
+                                 lambda d: loop.tuning_leak_experiment(d, d, d, rounds=2, depth=2)])
+def test_boosted_models_have_no_bound_on_training_rows(spark, monkeypatch, fit):
+    def refuse(*_, **__):
+        raise AssertionError("training rows are thinned")
+
+    monkeypatch.setattr(fitted, "uniform_row_cap", refuse, raising=False)
+    fit(training_rows(spark))
