@@ -554,3 +554,11 @@ def test_boosted_models_have_no_bound_on_training_rows(spark, monkeypatch, fit):
 
     monkeypatch.setattr(fitted, "uniform_row_cap", refuse, raising=False)
     fit(training_rows(spark))
+
+
+def test_every_tree_sees_all_training_rows(spark):
+    """The model whose inputs are ranked, too: no tree is fitted on a share of the rows."""
+    df = training_rows(spark)
+    m = fitted.BoostedHurdle(quantile=False, rounds=3, depth=2).fit(df, df)
+    for model, rows in ((m.clf, 400), (m.reg, df.where("y > 0").count())):
+        assert [t._java_obj.rootNode().impurityStats().count() for t in model.trees] == [rows] * len(model.trees)
