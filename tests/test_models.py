@@ -2,12 +2,14 @@
 
 import math
 import random
+import types
 
 import numpy as np
 import pytest
 from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
+from checks import q_models
 from gaugeflow.models import baselines, boosting, fitted, hybrids, isotonic, loop, sequential
 from gaugeflow.operators import radar, sequences
 from gaugeflow.operators.halo import Slices
@@ -562,3 +564,14 @@ def test_every_tree_sees_all_training_rows(spark):
     m = fitted.BoostedHurdle(quantile=False, rounds=3, depth=2).fit(df, df)
     for model, rows in ((m.clf, 400), (m.reg, df.where("y > 0").count())):
         assert [t._java_obj.rootNode().impurityStats().count() for t in model.trees] == [rows] * len(model.trees)
+
+
+def test_regime_query_runs_to_its_own_end(spark, monkeypatch):
+    """The query stops by the model's rule, as the library does, not after a few rounds."""
+    rows = [(s, i, float(v)) for s in ("a", "b") for i, v in enumerate(wet_series(ord(s), 90))]
+    models, fit = [], sequential.RegimeModel.fit
+    monkeypatch.setattr(sequential.RegimeModel, "fit", lambda self, *a, **k: models.append(self) or fit(self, *a, **k))
+    view = types.SimpleNamespace(own_channels=spark.createDataFrame(rows, "station_id string, minute long, rain_rt double"))
+    got = q_models.regime_em(view).first()
+    line = models[0].loglik
+    assert got["loglik"] == line[-1] and (len(line) == 30 or line[-1] - line[-2] < 1e-8 * abs(line[-1]))
