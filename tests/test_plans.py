@@ -4,11 +4,13 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from checks.proxies import RADAR, SLICES, Proxy
 from gaugeflow.operators import radar, truth
 from gaugeflow.operators.halo import Slices
+from gaugeflow.params import RadarParams
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -113,3 +115,69 @@ def test_slices_of_scans_are_dealt_by_a_stated_number(spark):
     by_scan = Slices(SLICES.chunk, order="scan")
     for out in (radar.scan_trend(scans, by_scan, "radar_r_mean5"), radar.asof_scan_to_minute(view.obs.select("station_id", "minute"), scans, RADAR, SLICES)):
         assert re.search(r"Exchange hashpartitioning\(station_id#\d+, chunk_#\d+L?, \d+\), REPARTITION_BY_NUM", plan_of(out))
+
+
+def radar_rows(spark, scans=6, stations=5):
+    """Cells, stations at scans and vectors of a few scans; one scan has no tile, one no vector at all."""
+    comp = spark.createDataFrame([(4 * s, r, c, float((s + r * c) % 5) if (r + c + s) % 7 else None) for s in range(scans) for r in range(8) for c in range(8)], "scan long, row long, col long, rain double")
+    at = spark.createDataFrame([(4 * s, f"s{k}", 2 + k % 4, 2 + 3 * k % 4, 0.5 * k, k) for s in range(scans) for k in range(stations)], "scan long, station_id string, row long, col long, stat double, more int")
+    tiles = spark.createDataFrame([(4 * s, 2.0, 2.0 * t, 0.1 * s, -0.2) for s in range(scans - 2) for t in range(2)], "scan long, tile_r double, tile_c double, vy double, vx double")
+    whole = spark.createDataFrame([(4 * s, 0.1, -0.1 * s) for s in range(scans - 1)], "scan long, vy double, vx double")
+    return comp, at, tiles, whole
+
+
+def test_rows_of_scans_stay_where_they_are_for_the_motion(spark, monkeypatch):
+    """Vectors go to the rows; past the bound they are joined by scan, with the same rows."""
+    _, at, tiles, whole = radar_rows(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = radar.motion_blend(at, tiles, whole, RADAR)
+        assert "Exchange hashpartitioning" not in plan_of(d)
+        want = sorted(map(tuple, d.collect()))
+        monkeypatch.setattr(radar, "MOST_VECTORS", 0)
+        d = radar.motion_blend(at, tiles, whole, RADAR)
+        assert "Exchange hashpartitioning" in plan_of(d) and sorted(map(tuple, d.collect())) == want and len(want) == 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("size", [8, 96])
+def test_rows_of_a_band_travel_packed(spark, monkeypatch, size):
+    """Packed, loose or both, the reads are the same, with all other columns."""
+    comp, at, tiles, whole = radar_rows(spark)
+    p = RadarParams(max_lead=5, size=size, tile=4, tile_step=2)
+    moving = radar.motion_blend(at, tiles, whole, p)
+    odd = moving.unionByName(moving.where("station_id = 's1'").withColumn("station_id", F.lit(None).cast("string"))).unionByName(moving.where("scan = 8").withColumn("vy", F.lit(None).cast("double")))
+    got = []
+    for most in (1, 3, 10 ** 9):
+        monkeypatch.setattr(radar, "PACKED", most)
+        d = radar.advect_nowcast(comp, odd, p)
+        got.append(sorted(map(repr, d.select(sorted(d.columns)).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 41 and "stat=2.0" in "".join(got[0])
+
+
+def test_statistics_of_scans_are_not_joined_again(spark):
+    view = Proxy(spark, SF)
+    view.scanstat, view.comp  # noqa: B018
+    built = []
+    original, radar_reads = view.build_scanfeat, radar.advect_nowcast
+    radar.advect_nowcast = lambda comp, moving, p: built.append(moving.columns) or radar_reads(comp, moving, p)
+    try:
+        plan = plan_of(original())
+    finally:
+        radar.advect_nowcast = radar_reads
+    assert "radar_r_mean5" in built[0] and "SortMergeJoin" not in plan
+
+
+def test_scans_that_no_minute_meets_do_not_travel(spark):
+    """Neither those after the last minute nor those too old for the first; the trend still sees the scan before."""
+    minutes = spark.createDataFrame([("a", m) for m in range(100, 110)], "station_id string, minute long")
+    scans = spark.createDataFrame([("a", s, float(s), [float(s)] * 5) for s in range(0, 400, 3) if not 90 < s < 101], "station_id string, scan long, radar_r_mean11 double, adv array<double>")
+    by = Slices(chunk=20)
+    d = radar.asof_scan_to_minute(minutes, scans, RADAR, by)
+    assert "Subquery" in plan_of(d)
+    want = {m: max((s for s in range(0, 400, 3) if not 90 < s < 101 and m - 3 <= s <= m - 1), default=None) for m in range(100, 110)}
+    assert {r["minute"]: r["scan"] for r in d.collect()} == want and None in want.values()
+    got = {r["minute"]: (r["radar_r_mean11"], r["radar_trend11"]) for r in radar.radar_minute_channels(minutes, scans, RADAR, by).collect()}
+    assert got[103] == (102.0, 12.0) and got[106] == (105.0, 3.0) and got[100] == (None, None)
+    assert radar.asof_scan_to_minute(minutes.limit(0), scans, RADAR, by).count() == 0
