@@ -408,3 +408,17 @@ def test_sql(spark, name):
 def test_digest_of_items(spark):
     row = spark.createDataFrame([([10, 9, 100],), ([],)], "items array<bigint>").select(decontam.items_digest().alias("d")).collect()
     assert [r.d for r in row] == [hashlib.sha256(b"10,100,9").hexdigest(), hashlib.sha256(b"").hexdigest()]
+
+
+def test_windows_travel_as_compressed_planes():
+    """Places, documents and kinds take few bytes beside the signatures, and come back as they were."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    rows = [rng.integers(0, 1 << 63, n).astype(np.uint64), np.sort(rng.integers(-5, 90_000, n)), *[rng.integers(0, 900, n).astype(np.int32) for _ in range(3)], rng.integers(0, 6, n).astype(np.int32), rng.random(n) < 0.5]
+    part, *columns = substring._cut(rng.integers(0, 4, n), *rows)
+    assert part.tolist() == [0, 1, 2, 3] and sum(len(x) for c in columns[1:] for x in c) < 0.4 * sum(x.nbytes for x in rows[1:])
+    for c, x in zip(columns, rows, strict=True):
+        back = np.concatenate([substring._plain(b, x.dtype) for b in c])
+        assert back.dtype == x.dtype and sorted(back.tolist()) == sorted(x.tolist())
+    one = np.array([-7], np.int64)
+    assert substring._plain(substring._squeezed(one), np.int64).tolist() == [-7]
